@@ -11,6 +11,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 
 _RNG = np.random.Generator(np.random.PCG64(20240607))
 #: A random odd 64-bit value for each byte, the symbol values of the hashes.
