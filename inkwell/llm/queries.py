@@ -21,7 +21,25 @@ def op9_bpe_encoding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode(docs, public_tokenizers.path("word_bpe_49k.json"), keep=["doc_id"], decoded=False, id_lists=False)
 
 
+def op10_transport_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from inkwell.llm.mpegts import store
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return store(docs, keep=["doc_id"], media=False, units=False)
+
+
+def op4_output_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from inkwell.llm.langid import fit, fold, predict
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    model = fit(docs.where(fold() != 0))
+    out = predict(docs.select("doc_id", "text"), model, keep=["doc_id"])
+    return out.withColumn("held_out", fold() == 0)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op4_output_codes": op4_output_codes,
+    "op10_transport_stream": op10_transport_stream,
     "op9_bpe_encoding": op9_bpe_encoding,
 }
 ORACLES: dict[str, str] = {}
