@@ -37,7 +37,15 @@ def op4_output_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.withColumn("held_out", fold() == 0)
 
 
+def op1_deleted_interpolation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from inkwell.llm.langid import fold
+    from inkwell.llm.ngram_lm import score
+
+    return score(table(spark, sf_dir, "documents").select("doc_id", "text"), fold(parts=7) == 2)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_deleted_interpolation": op1_deleted_interpolation,
     "op4_output_codes": op4_output_codes,
     "op10_transport_stream": op10_transport_stream,
     "op9_bpe_encoding": op9_bpe_encoding,
