@@ -37,3 +37,13 @@ def written(df: DataFrame, name: str, compression: str = "zstd") -> DataFrame:
     df.write.option("compression", compression).parquet(path)
     atexit.register(remove, spark, path.rsplit("/", 1)[0])
     return spark.read.schema(df.schema).parquet(path)
+
+
+def bucketed(df: DataFrame, name: str, key: str, buckets: int) -> DataFrame:
+    """``df`` as a table bucketed by ``key`` in the shared folder, so that later groupings by ``key`` move only the other side."""
+    spark = df.sparkSession
+    table = f"inkwell_{name}_{uuid.uuid4().hex}"
+    path = f"{workdir(spark)}/{table}"
+    df.write.option("compression", "zstd").option("path", path).bucketBy(buckets, key).saveAsTable(table)
+    atexit.register(remove, spark, path)
+    return spark.table(table)

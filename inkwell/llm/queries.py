@@ -44,10 +44,17 @@ def op1_deleted_interpolation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score(table(spark, sf_dir, "documents").select("doc_id", "text"), fold(parts=7) == 2)
 
 
+def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from inkwell.llm.suffix_dedup import remove_repeats
+
+    return remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"), text=False, spans=False)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_deleted_interpolation": op1_deleted_interpolation,
     "op4_output_codes": op4_output_codes,
     "op10_transport_stream": op10_transport_stream,
+    "op6_suffix_dedup": op6_suffix_dedup,
     "op9_bpe_encoding": op9_bpe_encoding,
 }
 ORACLES: dict[str, str] = {}
