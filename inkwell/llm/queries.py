@@ -28,6 +28,12 @@ def op10_transport_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     return store(docs, keep=["doc_id"], media=False, units=False)
 
 
+def op3_signature_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from inkwell.llm.signature_join import link
+
+    return link(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op4_output_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     from inkwell.llm.langid import fit, fold, predict
 
@@ -52,6 +58,7 @@ def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_deleted_interpolation": op1_deleted_interpolation,
+    "op3_signature_trees": op3_signature_trees,
     "op4_output_codes": op4_output_codes,
     "op10_transport_stream": op10_transport_stream,
     "op6_suffix_dedup": op6_suffix_dedup,
