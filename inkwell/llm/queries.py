@@ -12,6 +12,48 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op7_quality_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from inkwell.llm.quality import cascade, metrics
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = metrics(docs)
+    failed = (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))
+    verdict, _ = cascade(docs)
+    return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", failed.alias("base_failed"), verdict.isNull().alias("kept"))
+
+
+OP7_SQL = r"""
+WITH docs AS (
+  SELECT doc_id, coalesce(text, '') AS text,
+         list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda w: w <> '') AS w,
+         string_split(coalesce(text, ''), chr(10)) AS lines
+  FROM documents),
+grams AS (
+  SELECT doc_id, i, array_to_string(w[i:i + 7], ' ') AS g
+  FROM (SELECT doc_id, w, unnest(range(1, len(w) - 6)) AS i FROM docs)),
+twice AS (
+  SELECT doc_id, i FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, g) AS n FROM grams) WHERE n > 1),
+covered AS (
+  SELECT doc_id, count(DISTINCT j) AS n FROM (SELECT doc_id, unnest(range(i, i + 8)) AS j FROM twice) GROUP BY doc_id),
+dup AS (
+  SELECT doc_id, count(*) - count(DISTINCT x) AS n FROM (SELECT doc_id, unnest(lines) AS x FROM docs)
+  WHERE regexp_matches(x, '[^\x20\x09-\x0D]') GROUP BY doc_id),
+m AS (
+  SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words,
+         CAST(length(regexp_replace(text, '[\x20\x09-\x0D]', '', 'g')) AS BIGINT) AS word_chars,
+         CAST(length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols,
+         CAST(coalesce(dup.n, 0) AS BIGINT) AS n_dup_lines, CAST(coalesce(covered.n, 0) AS BIGINT) AS n_repeat_words,
+         len(lines) AS n_lines,
+         length(regexp_replace(text, '[^\p{Lu}]', '', 'g')) AS upper, length(regexp_replace(text, '[^\p{L}]', '', 'g')) AS letters
+  FROM docs d LEFT JOIN dup USING (doc_id) LEFT JOIN covered USING (doc_id)),
+f AS (SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed FROM m)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+       NOT base_failed AND word_chars >= 2 * n_words AND word_chars <= 15 * n_words AND 4 * n_symbols <= n_words
+       AND 2 * n_dup_lines <= n_lines AND (letters = 0 OR 2 * upper <= letters) AS kept
+FROM f
+"""
+
+
 def op9_bpe_encoding(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -62,6 +104,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_output_codes": op4_output_codes,
     "op10_transport_stream": op10_transport_stream,
     "op6_suffix_dedup": op6_suffix_dedup,
+    "op7_quality_cascade": op7_quality_cascade,
     "op9_bpe_encoding": op9_bpe_encoding,
 }
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op7_quality_cascade": OP7_SQL,
+}
