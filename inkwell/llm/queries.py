@@ -12,6 +12,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op5_pfair_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from inkwell.llm.mixing import schedule
+
+    return schedule(table(spark, sf_dir, "documents").select("doc_id", "source"))
+
+
 def op7_quality_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
     from inkwell.llm.quality import cascade, metrics
 
@@ -103,6 +109,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_signature_trees": op3_signature_trees,
     "op4_output_codes": op4_output_codes,
     "op10_transport_stream": op10_transport_stream,
+    "op5_pfair_mixing": op5_pfair_mixing,
     "op6_suffix_dedup": op6_suffix_dedup,
     "op7_quality_cascade": op7_quality_cascade,
     "op9_bpe_encoding": op9_bpe_encoding,
