@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 
 from inkwell.llm._text import pack, pack_sorted, unpack, unpack_sorted
 
-KEYS_PER_PART = 2_000_000
+KEYS_PER_PART = 1_000_000
 REQUEST = "chunk long, part int, keys binary, counts binary"
 ANSWER = "chunk long, part int, counts binary, distinct long"
 

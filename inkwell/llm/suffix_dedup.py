@@ -3,11 +3,14 @@
 A window is a string of ``length`` bytes.  Every byte that lies in a window
 which also starts anywhere else in the corpus is removed.
 
-* Every window is named by the least hash of its 32-byte substrings, so equal
-  windows have equal names.  Consecutive windows with one name form a *piece*
-  (at most ``length - 32`` windows), a short string with all of its windows.
-* The corpus is counted by name and by piece.  A name that one piece has alone
-  is settled by its count.  The other pieces meet by name in parts of bounded
+* Every window has an anchor, its leftmost 32-byte substring of least hash.
+  Consecutive windows with one anchor, split by the anchor's distance in them
+  into two ranges, form a *piece*: a short string with at most
+  ``(length - 32) / 2`` windows, all of which hold a *core* of more than half
+  of ``length`` bytes.  The core's hash is the piece's name.  Anchor, range and
+  core follow from a window's content, so equal windows have equal names.
+* The corpus is counted by name and by piece.  Where all pieces of a name are
+  alike, the count settles them.  The other pieces meet by name in parts of bounded
   size.
 * In a part the distinct pieces are the documents of a collection
   Burrows-Wheeler transform: each round inserts one symbol of every piece, from
@@ -40,8 +43,8 @@ from inkwell.llm._spill import bucketed, written
 from inkwell.llm._text import BASE, BYTE_VALUES, flat, mix, pack, ragged, slabs, unpack
 
 LENGTH, GRAM, HOT = 200, 32, 20_000
-PART_BYTES = 2 << 20
-CHUNK_BYTES = 3 << 20
+PART_BYTES = 1 << 20
+CHUNK_BYTES = 2 << 20
 NOTHING = np.uint8(255)  # before the first symbol; no byte of UTF-8
 EVEN = np.uint64(2**64 - 2)
 ZSTD = pa.Codec("zstd", 1)
@@ -133,7 +136,7 @@ def repeated_windows(data: np.ndarray, offs: np.ndarray, length: int = LENGTH) -
 
 
 class Pieces:
-    """The pieces of a slab of texts: start, number of windows, name, hash, and whether the name recurs within."""
+    """The pieces of a slab of texts: start, number of windows, name (an even hash of the core), hash (odd)."""
 
     def __init__(self, data: np.ndarray, offs: np.ndarray, length: int):
         self.length = length
@@ -142,41 +145,33 @@ class Pieces:
         if n <= 0 or not spans.any():
             self.start = self.windows = np.zeros(0, np.int64)
             self.name = self.hash = np.zeros(0, np.uint64)
-            self.within = np.zeros(0, bool)
             return
+        step = self.step(length)
         grams, whole = rolling(data, GRAM, length)
-        grams = mix(grams)
         width = length - GRAM + 1
-        least = sliding(grams, width, np.minimum)[:n]
-        valid = np.zeros(n, bool)
+        place = mix(grams)
+        place >>= np.uint64(32)
+        place <<= np.uint64(32)
+        place |= np.arange(len(grams), dtype=np.uint64)
+        least = sliding(place, width, np.minimum)[:n] & np.uint64(0xFFFFFFFF)  # the leftmost least substring of each window
+        del place, grams
         at, _ = ragged(offs[:-1], spans)
-        valid[at] = True
-        begin = valid.copy()
-        begin[1:] &= ~valid[:-1] | (least[1:] != least[:-1])
-        firsts = offs[:-1][spans > 0]
-        begin[firsts] = True
-        run = np.flatnonzero(begin)
-        stop = valid.copy()
-        stop[:-1] &= ~valid[1:] | begin[1:]
-        sizes = np.flatnonzero(stop) + 1 - run
-        most = length - GRAM
-        if len(sizes) and sizes.max() > most:
-            cut = -(-sizes // most)
-            index, _ = ragged(np.zeros(len(cut), np.int64), cut)
-            run, left = np.repeat(run, cut) + index * most, np.repeat(sizes, cut) - index * most
-            sizes = np.minimum(left, most)
+        spot = least[at].astype(np.int64)
+        slot = (spot - at) // step
+        begin = np.ones(len(at), bool)
+        begin[1:] = (spot[1:] != spot[:-1]) | (slot[1:] != slot[:-1])
+        begin[np.cumsum(spans)[:-1][np.cumsum(spans)[:-1] < len(at)]] = True
+        first = np.flatnonzero(begin)
+        run, sizes = at[first], np.diff(first, append=len(at))
+        core = spot[first] - slot[first] * step
         self.start, self.windows = run, sizes
-        self.name = least[run] & EVEN
         self.hash = mix(mix(whole[run]) + whole[run + sizes - 1] * np.uint64(3) + sizes.astype(np.uint64)) | np.uint64(1)
-        tops = np.where(valid, least, np.uint64(0))
-        tops = np.concatenate((np.zeros(width - 1, np.uint64), tops, np.zeros(width - 1, np.uint64)))
-        peak = sliding(tops, width, np.maximum)[: len(grams)]
-        spots = np.flatnonzero(grams == peak)
-        again = (grams[spots[1:]] == grams[spots[:-1]]) & (np.diff(spots) < width)
-        twice = np.zeros(len(data) + 1, np.int64)
-        twice[spots[:-1][again] + 1] = 1
-        twice = np.cumsum(twice)
-        self.within = twice[np.minimum(run + sizes + width - 1, len(data))] > twice[run]
+        del whole
+        self.name = mix(rolling(data, 1, length - step + 1)[1][core]) & EVEN
+
+    @staticmethod
+    def step(length: int) -> int:
+        return (length - GRAM) // 2
 
 
 def rolling(data: np.ndarray, small: int, large: int) -> tuple[np.ndarray, np.ndarray]:
@@ -192,7 +187,7 @@ def rolling(data: np.ndarray, small: int, large: int) -> tuple[np.ndarray, np.nd
         if 2 * size > large and size >= small:
             return first, whole
         current = current[: len(data) - 2 * size + 1] * power + current[size:]
-        power = power * power
+        power = np.uint64(int(power) ** 2 & (1 << 64) - 1)
         size *= 2
 
 
@@ -205,7 +200,7 @@ def sliding(values: np.ndarray, width: int, keep) -> np.ndarray:
     return keep(current[: len(values) - width + 1], current[width - size :][: len(values) - width + 1])
 
 
-CHUNK = "chunk long, doc_ids binary, offsets binary, text binary, starts binary, windows binary, names binary, hashes binary, within binary, n_keys long"
+CHUNK = "chunk long, doc_ids binary, offsets binary, text binary, starts binary, windows binary, names binary, hashes binary, n_keys long"
 SHIP = "chunk long, part int, sizes binary, counts binary, text binary"
 
 
@@ -216,7 +211,7 @@ def _chunks(length: int):
             data, offs = flat(slab.column(1))
             p = Pieces(data, offs, length)
             keys = len(np.unique(p.name)) + len(np.unique(p.hash))
-            row = {"chunk": next(ids), "doc_ids": pack(np.asarray(slab.column(0))), "offsets": pack(offs), "text": squeeze(data), "starts": pack(np.diff(p.start, prepend=0)), "windows": pack(p.windows.astype(np.uint16)), "names": pack(p.name), "hashes": pack(p.hash), "within": pack(p.within), "n_keys": keys}
+            row = {"chunk": next(ids), "doc_ids": pack(np.asarray(slab.column(0))), "offsets": pack(offs), "text": squeeze(data), "starts": pack(np.diff(p.start, prepend=0)), "windows": pack(p.windows.astype(np.uint16)), "names": pack(p.name), "hashes": pack(p.hash), "n_keys": keys}
             yield pa.RecordBatch.from_pylist([row])
 
     return run
@@ -228,7 +223,6 @@ class Chunk:
         self.start = np.cumsum(unpack(row["starts"], np.int64))
         self.windows = unpack(row["windows"], np.uint16).astype(np.int64)
         self.name, self.hash = unpack(row["names"], np.uint64), unpack(row["hashes"], np.uint64)
-        self.within = unpack(row["within"], bool)
         self.keys, self.inverse = np.unique(np.concatenate((self.name, self.hash)), return_inverse=True)
         self.row = row
 
@@ -240,7 +234,7 @@ class Chunk:
         every = counts.astype(np.int64)[self.inverse]
         named, alike = every[: len(self.name)], every[len(self.name) :]
         self.repeat = alike > 1
-        meets = (named > alike) | (self.within & (alike == 1))
+        meets = named > alike
         self.hot = np.flatnonzero(meets & (named > hot))
         meets[self.hot] = False
         which = np.flatnonzero(meets)
