@@ -76,6 +76,75 @@ def op10_transport_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     return store(docs, keep=["doc_id"], media=False, units=False)
 
 
+def op2_quotation_linking(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from inkwell.llm.quotes import conversations
+
+    found = conversations(table(spark, sf_dir, "conversations"))
+    return found.select("conv_id", "turn", "role", F.md5(F.col("text").cast("binary")).alias("text_md5"), "quote_levels", "n_passages", "n_linked", "n_cross", "parent", "thread", "depth")
+
+
+def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The table has no paths: an id's thousands, hundreds and tens are its directories; an id that ends in 0, 00 or 000 is
+    the licence file of the directory of that size.
+    """
+    from inkwell.llm.licenses import scan
+
+    part = lambda size: F.expr(f"CAST(doc_id div {size} AS STRING)")
+    n = F.col("doc_id")
+    path = (
+        F.when(n % 1000 == 0, F.concat_ws("/", part(1000), F.lit("LICENSE")))
+        .when(n % 100 == 0, F.concat_ws("/", part(1000), part(100), F.lit("LICENSE")))
+        .when(n % 10 == 0, F.concat_ws("/", part(1000), part(100), part(10), F.lit("LICENSE")))
+        .otherwise(F.concat_ws("/", part(1000), part(100), part(10), F.concat(part(1), F.lit(".txt"))))
+    )
+    found = scan(table(spark, sf_dir, "documents").select("doc_id", "text", path.alias("path")))
+    return found.select("doc_id", "path", "own_license", "own_score", "license", "license_dir")
+
+
+def op8_sql() -> str:
+    from inkwell.llm.licenses import TEMPLATES, THRESHOLD
+
+    rows = ", ".join(f"('{a}', '{b}')" for a, b in TEMPLATES)
+    return rf"""
+WITH t(license, line) AS (VALUES {rows}),
+f AS (
+  SELECT doc_id, CASE WHEN doc_id % 1000 = 0 THEN '' || doc_id // 1000 WHEN doc_id % 100 = 0 THEN doc_id // 1000 || '/' || doc_id // 100
+              ELSE doc_id // 1000 || '/' || doc_id // 100 || '/' || doc_id // 10 END AS dir,
+         CASE WHEN doc_id % 10 = 0 THEN 'LICENSE' ELSE doc_id || '.txt' END AS name, text FROM documents),
+h AS (
+  SELECT DISTINCT doc_id, dir, name, trim(regexp_replace(x, '\s+', ' ', 'g')) AS line
+  FROM (SELECT doc_id, dir, name, unnest(string_split(text, chr(10))) AS x FROM f)
+  WHERE regexp_matches(x, '(?i)licen[cs]e|copyright|spdx|public domain')),
+every AS (SELECT DISTINCT CAST(NULL AS VARCHAR) AS license, line FROM h UNION ALL SELECT license, line FROM t),
+terms AS (
+  SELECT license, line, term, count(*) AS tf
+  FROM (SELECT license, line, unnest(regexp_extract_all(lower(line), '[a-z0-9]+(?:[.-][a-z0-9]+)*')) AS term FROM every) GROUP BY ALL),
+df AS (SELECT term, count(*) AS df FROM terms GROUP BY term),
+w AS (
+  SELECT license, line, term, (1 + ln(tf)) * (ln((1 + (SELECT count(*) FROM every)) / CAST(1 + df AS DOUBLE)) + 1) AS w FROM terms JOIN df USING (term)),
+norms AS (SELECT license, line, sqrt(sum(w * w)) AS norm FROM w GROUP BY ALL),
+idx AS (SELECT term, w.license AS dest, w / norm AS u FROM w JOIN norms ON w.license = norms.license),
+scores AS (
+  SELECT w.line, dest, round(sum(w.w * u) / any_value(norm), 6) AS score
+  FROM w JOIN idx USING (term) JOIN norms ON norms.license IS NULL AND norms.line = w.line WHERE w.license IS NULL GROUP BY w.line, dest),
+fit AS (
+  SELECT h.doc_id, dir, name, score, dest,
+         row_number() OVER (PARTITION BY h.doc_id ORDER BY score DESC, dest) AS k
+  FROM h JOIN (SELECT * FROM scores WHERE score >= {THRESHOLD}
+               QUALIFY row_number() OVER (PARTITION BY line ORDER BY score DESC, dest) = 1) s USING (line)),
+own AS (SELECT * FROM fit WHERE k = 1),
+givers AS (
+  SELECT dir AS license_dir, dest AS given FROM own WHERE name = 'LICENSE'
+  QUALIFY row_number() OVER (PARTITION BY dir ORDER BY score DESC, dest) = 1),
+near AS (
+  SELECT f.doc_id, g.license_dir, g.given FROM f JOIN givers g ON f.dir = g.license_dir OR f.dir LIKE g.license_dir || '/%' OR g.license_dir = ''
+  QUALIFY row_number() OVER (PARTITION BY f.doc_id ORDER BY length(g.license_dir) DESC) = 1)
+SELECT f.doc_id, f.dir || '/' || f.name AS path, own.dest AS own_license, own.score AS own_score,
+       coalesce(own.dest, near.given) AS license, CASE WHEN own.dest IS NULL THEN near.license_dir END AS license_dir
+FROM f LEFT JOIN own USING (doc_id) LEFT JOIN near USING (doc_id)
+"""
+
+
 def op3_signature_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
     from inkwell.llm.signature_join import link
 
@@ -106,14 +175,17 @@ def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_deleted_interpolation": op1_deleted_interpolation,
+    "op2_quotation_linking": op2_quotation_linking,
     "op3_signature_trees": op3_signature_trees,
     "op4_output_codes": op4_output_codes,
     "op10_transport_stream": op10_transport_stream,
     "op5_pfair_mixing": op5_pfair_mixing,
     "op6_suffix_dedup": op6_suffix_dedup,
     "op7_quality_cascade": op7_quality_cascade,
+    "op8_license_scan": op8_license_scan,
     "op9_bpe_encoding": op9_bpe_encoding,
 }
 ORACLES: dict[str, str] = {
     "op7_quality_cascade": OP7_SQL,
+    "op8_license_scan": op8_sql(),
 }
