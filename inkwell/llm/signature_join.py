@@ -3,9 +3,10 @@
 1. *Candidates.*  A document's shingles are ordered by their hash.  Sets with a
    Jaccard similarity of ``num/den`` or more share at least ``need(size)`` of
    each other's first ``prefix(size)`` shingles, so documents with fewer shared
-   ones (counted over the corpus) link with nothing.  The others fall into
-   blocks: components of the graph of shared prefix shingles.  Identical sets
-   are one member.
+   ones (counted over the corpus) link with nothing.  Of the others' shared ones
+   the ``need(size) - 1`` most frequent can go: a linked pair still shares its
+   rarest, and passages that many documents have join no unlike ones.  Blocks
+   are components of the graph of what is left.  Identical sets are one member.
 2. *Signature trees.*  A block, or for a large block each tile of members of
    about one size, becomes a tree: a leaf holds a member's token bitmap, size
    and collisions, a node the OR of its children's bitmaps and the ranges of
@@ -43,11 +44,12 @@ STEP = np.uint64(0xC2B2AE3D27D4EB4F)
 
 def need(size, num: int = NUM, den: int = DEN):
     """The least number of common prefix shingles of a linked pair whose smaller set may be ``num/den`` of ``size``."""
-    return np.maximum(1, -(-size * num // den) // 10)
+    return np.maximum(1, -(-size * num // den) * 4 // 10)
 
 
 def prefix(size, num: int = NUM, den: int = DEN):
-    return size - -(-size * num // den) + np.maximum(1, size // 10)
+    """How many first shingles of a set two linked sets share ``max(1, 0.4 of the smaller size)`` of."""
+    return size - -(-size * num // den) + np.maximum(1, size * 4 // 10)
 
 
 def shingle_sets(data: np.ndarray, offs: np.ndarray, words_each: int = WORDS) -> tuple[np.ndarray, np.ndarray]:
@@ -264,6 +266,12 @@ def _members(left: pa.Table, right: pa.Table) -> pa.Table:
         total = np.concatenate((np.zeros(1, np.uint64), np.cumsum(value)))
         out[name] = mix(total[bound[1:]] - total[bound[:-1]]).view(np.int64)
     hits = sets[at]
+    owner = np.repeat(np.arange(len(size)), np.diff(starts))
+    often = count.astype(np.int64)[inverse] if len(keys) else np.zeros(0, np.int64)
+    order = np.lexsort((hits, often, ~shared, owner))  # of each document: shared first, rarest first
+    rank = np.empty(len(order), np.int64)
+    rank[order] = np.arange(len(order)) - np.repeat(starts[:-1], np.diff(starts))
+    shared &= rank < np.repeat(np.diff(n) - need(size) + 1, np.diff(starts))
     out["set"] = pa.array([sets[a:b].tobytes() if c else None for a, b, c in zip(bound[:-1].tolist(), bound[1:].tolist(), candidate.tolist(), strict=True)], pa.binary())
     out["shared"] = pa.array([hits[a:b][shared[a:b]].tobytes() if c else None for a, b, c in zip(starts[:-1].tolist(), starts[1:].tolist(), candidate.tolist(), strict=True)], pa.binary())
     return pa.table(out)
