@@ -13,10 +13,11 @@ which also starts anywhere else in the corpus is removed.
   alike, the count settles them.  The other pieces meet by name in parts of bounded
   size.
 * In a part the distinct pieces are the documents of a collection
-  Burrows-Wheeler transform: each round inserts one symbol of every piece, from
-  the right, into the sequential columns of preceding symbols and of common
-  prefixes; after the last round a window that shares ``length`` symbols with
-  its neighbour in suffix order is a repeat.
+  Burrows-Wheeler transform, a core as one symbol of its own: each round inserts
+  one symbol of every piece, from the right, into the sequential columns of
+  preceding symbols and of common prefixes (a core counts with its bytes);
+  after the last round a window that shares ``length`` bytes with its neighbour
+  in suffix order is a repeat.
 * A name with more than ``HOT`` pieces doesn't meet in one part: the windows of
   its pieces are counted by 64-bit hash instead, which is exact up to collisions.
 
@@ -45,7 +46,7 @@ from inkwell.llm._text import BASE, BYTE_VALUES, flat, mix, pack, ragged, slabs,
 LENGTH, GRAM, HOT = 200, 32, 20_000
 PART_BYTES = 1 << 20
 CHUNK_BYTES = 2 << 20
-NOTHING = np.uint8(255)  # before the first symbol; no byte of UTF-8
+NOTHING = np.uint16(65535)  # before the first symbol
 EVEN = np.uint64(2**64 - 2)
 ZSTD = pa.Codec("zstd", 1)
 
@@ -58,73 +59,77 @@ def stretch(blob: bytes) -> np.ndarray:
     return np.frombuffer(ZSTD.decompress(blob[8:], int.from_bytes(blob[:8], "little"), asbytes=True), np.uint8)
 
 
-def insert_columns(data: np.ndarray, offs: np.ndarray, cap: int) -> tuple[np.ndarray, np.ndarray]:
+def insert_columns(symbols: np.ndarray, offs: np.ndarray, cap: int, core: int = 1) -> tuple[np.ndarray, np.ndarray]:
     """(preceding symbols, common prefixes up to ``cap``) of all suffixes of the strings in suffix order.
 
-    The strings' empty suffixes come first, in the strings' order.  Round ``j``
-    inserts the suffix of length ``j`` of every string that long: its symbol
-    stands before the suffix inserted last, so its place follows from the
-    number of equal symbols above it, and its common prefix from the least one
-    between those two symbols' places.
+    Symbols from 256 on count as ``core`` in a common prefix.  The strings'
+    empty suffixes come first, in the strings' order.  Round ``j`` inserts the
+    suffix of length ``j`` of every string that long: its symbol stands before
+    the suffix inserted last, so its place follows from the number of equal
+    symbols above it, and its common prefix from the least one between those
+    two symbols' places.
     """
     count = len(offs) - 1
     left = offs[1:] - 1
-    before = np.full(count, NOTHING)
     some = np.diff(offs) > 0
-    before[some] = data[left[some]]
-    prefix = np.zeros(count, np.uint8)
+    column = np.full(count, NOTHING, np.uint32)  # the symbol in the low half, the common prefix in the third byte
+    column[some] = symbols[left[some]]
     place = np.arange(count)
     active = np.flatnonzero(some)
-    owner = np.zeros(int(offs[-1]) + count, np.int64)
+    owner = np.zeros(int(offs[-1]) + count, np.int32)
     while len(active):
-        n = len(before)
+        before, prefix = halves(column)
+        n = len(column)
         fresh = np.zeros(n, bool)
         fresh[place[active]] = True
         owner[place[active]] = active
         order = np.argsort(before, kind="stable")[: n - np.count_nonzero(before == NOTHING)]
         new = fresh[order]
-        who = owner[order[new]]
-        symbols = np.empty(count + len(order), np.uint8)
-        symbols[:count] = before[:count]
-        tail = symbols[count:]
-        tail[~new] = before[count:]
-        at = left[who]
-        tail[new] = np.where(at > offs[who], data[at - 1], NOTHING)
-        common = np.zeros(count + len(order), np.uint8)
-        rest = common[count:]
-        rest[~new] = prefix[count:]
-        touched = new.copy()
-        touched[1:] |= new[:-1]
-        j = np.flatnonzero(touched)
+        at = np.flatnonzero(new)
+        who = owner[order[at]]
+        grown = np.empty(count + len(order), np.uint32)
+        grown[:count] = column[:count]
+        rest = grown[count:]
+        rest[~new] = column[count:]
+        spot = left[who]
+        rest[at] = np.where(spot > offs[who], symbols[spot - 1], NOTHING)
+        after = at[np.append(at[1:] > at[:-1] + 1, at[-1] + 1 < len(order))] + 1
+        j = np.sort(np.concatenate((at, after)), kind="stable")
         high = order[j]
         low = order[np.maximum(j - 1, 0)]
-        same = (j > 0) & (before[high] == before[low])
-        rest[j] = 0
+        symbol = before[high]
+        same = (j > 0) & (symbol == before[low])
+        rest[j] &= np.uint32(0xFFFF)
         js, low, high = j[same], low[same] + 1, high[same] + 1
         if len(js):
             down = np.argsort(-low, kind="stable")  # descending, so that the stretches between ranges are empty
             pairs = np.stack([low[down], high[down]], 1).ravel()
             padded = np.append(prefix, np.uint8(255))
-            least = np.minimum.reduceat(padded, pairs)[::2]
-            rest[js[down]] = np.minimum(least.astype(np.int64) + 1, cap)
-        place[who] = count + np.flatnonzero(new)
+            least = np.minimum.reduceat(padded, pairs)[::2].astype(np.uint32)
+            least += np.where(symbol[same][down] < 256, np.uint32(1), np.uint32(core))
+            rest[js[down]] |= np.minimum(least, np.uint32(cap)) << np.uint32(16)
+        place[who] = count + at
         left[who] -= 1
-        before, prefix = symbols, common
+        column = grown
         active = active[left[active] >= offs[active]]
-    return before, prefix
+    return halves(column)
 
 
-def repeated_windows(data: np.ndarray, offs: np.ndarray, length: int = LENGTH) -> np.ndarray:
+def halves(column: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    return np.ascontiguousarray(column.view(np.uint16)[::2]), np.ascontiguousarray(column.view(np.uint8)[2::4])
+
+
+def repeated_windows(symbols: np.ndarray, offs: np.ndarray, length: int = LENGTH, core: int = 1) -> np.ndarray:
     """For each position of the strings: does its window of ``length`` start at another position as well?"""
     count = len(offs) - 1
-    before, prefix = insert_columns(data, offs, length)
+    before, prefix = insert_columns(symbols, offs, length, core)
     long = prefix >= length
     twice = long.copy()
     twice[:-1] |= long[1:]
-    order = np.argsort(before, kind="stable")[: len(data)]
+    order = np.argsort(before, kind="stable")[: len(symbols)]
     follow = np.zeros(len(before), np.int64)
     follow[order] = count + np.arange(len(order))
-    out = np.zeros(len(data), bool)
+    out = np.zeros(len(symbols), bool)
     place, at = np.arange(count), offs[1:] - 1
     active = np.flatnonzero(np.diff(offs) > 0)
     while len(active):  # from each empty suffix to ever longer ones
@@ -143,7 +148,7 @@ class Pieces:
         n = len(data) - length + 1
         spans = np.maximum(np.diff(offs) - length + 1, 0)
         if n <= 0 or not spans.any():
-            self.start = self.windows = np.zeros(0, np.int64)
+            self.start = self.windows = self.core = np.zeros(0, np.int64)
             self.name = self.hash = np.zeros(0, np.uint64)
             return
         step = self.step(length)
@@ -164,7 +169,7 @@ class Pieces:
         first = np.flatnonzero(begin)
         run, sizes = at[first], np.diff(first, append=len(at))
         core = spot[first] - slot[first] * step
-        self.start, self.windows = run, sizes
+        self.start, self.windows, self.core = run, sizes, core - run
         self.hash = mix(mix(whole[run]) + whole[run + sizes - 1] * np.uint64(3) + sizes.astype(np.uint64)) | np.uint64(1)
         del whole
         self.name = mix(rolling(data, 1, length - step + 1)[1][core]) & EVEN
@@ -200,8 +205,8 @@ def sliding(values: np.ndarray, width: int, keep) -> np.ndarray:
     return keep(current[: len(values) - width + 1], current[width - size :][: len(values) - width + 1])
 
 
-CHUNK = "chunk long, doc_ids binary, offsets binary, text binary, starts binary, windows binary, names binary, hashes binary, n_keys long"
-SHIP = "chunk long, part int, sizes binary, counts binary, text binary"
+CHUNK = "chunk long, doc_ids binary, offsets binary, text binary, starts binary, windows binary, cores binary, names binary, hashes binary, n_keys long"
+SHIP = "chunk long, part int, sizes binary, cores binary, counts binary, text binary"
 
 
 def _chunks(length: int):
@@ -211,7 +216,7 @@ def _chunks(length: int):
             data, offs = flat(slab.column(1))
             p = Pieces(data, offs, length)
             keys = len(np.unique(p.name)) + len(np.unique(p.hash))
-            row = {"chunk": next(ids), "doc_ids": pack(np.asarray(slab.column(0))), "offsets": pack(offs), "text": squeeze(data), "starts": pack(np.diff(p.start, prepend=0)), "windows": pack(p.windows.astype(np.uint16)), "names": pack(p.name), "hashes": pack(p.hash), "n_keys": keys}
+            row = {"chunk": next(ids), "doc_ids": pack(np.asarray(slab.column(0))), "offsets": pack(offs), "text": squeeze(data), "starts": pack(np.diff(p.start, prepend=0)), "windows": pack(p.windows.astype(np.uint16)), "cores": pack(p.core.astype(np.uint16)), "names": pack(p.name), "hashes": pack(p.hash), "n_keys": keys}
             yield pa.RecordBatch.from_pylist([row])
 
     return run
@@ -222,6 +227,7 @@ class Chunk:
         self.id = row["chunk"]
         self.start = np.cumsum(unpack(row["starts"], np.int64))
         self.windows = unpack(row["windows"], np.uint16).astype(np.int64)
+        self.core = unpack(row["cores"], np.uint16).astype(np.int64)
         self.name, self.hash = unpack(row["names"], np.uint64), unpack(row["hashes"], np.uint64)
         self.keys, self.inverse = np.unique(np.concatenate((self.name, self.hash)), return_inverse=True)
         self.row = row
@@ -264,19 +270,31 @@ def _meet(length: int):
         texts = [stretch(b) for b in table.column("text").to_pylist()]
         sizes = [unpack(b, np.uint16).astype(np.int64) for b in table.column("sizes").to_pylist()]
         counts = np.concatenate([unpack(b, np.uint32) for b in table.column("counts").to_pylist()])
+        cores = np.concatenate([unpack(b, np.uint16) for b in table.column("cores").to_pylist()]).tolist()
+        core = length - Pieces.step(length) + 1
         known: dict[bytes, int] = {}
+        names: dict[bytes, int] = {}
+        strings: list[np.ndarray] = []
         which = []
         for text, size in zip(texts, sizes, strict=True):
             raw, at = text.tobytes(), 0
             for n in size.tolist():
-                which.append(known.setdefault(raw[at : at + n], len(known)))
+                piece = raw[at : at + n]
                 at += n
+                if piece not in known:  # its core, which all of its windows hold, becomes one symbol
+                    c = cores[len(which)]
+                    symbols = np.frombuffer(piece, np.uint8).astype(np.uint16)
+                    name = names.setdefault(piece[c : c + core], 256 + len(names))
+                    strings.append(np.concatenate((symbols[:c], np.array([name], np.uint16), symbols[c + core :])))
+                which.append(known.setdefault(piece, len(known)))
+        if len(names) > 65000:
+            raise ValueError("a part has more names than symbols")
         which = np.array(which, np.int64)
-        offs = np.concatenate(([0], np.cumsum([len(k) for k in known]))).astype(np.int64)
-        twice = repeated_windows(np.frombuffer(b"".join(known), np.uint8), offs, length)
+        offs = np.concatenate(([0], np.cumsum([len(k) for k in strings]))).astype(np.int64)
+        twice = repeated_windows(np.concatenate(strings), offs, length, core)
+        windows = np.array([len(k) for k in known], np.int64) - length + 1
         many = np.bincount(which, weights=counts, minlength=len(known)) > 1
         twice |= np.repeat(many, np.diff(offs))
-        windows = np.diff(offs) - length + 1
         out, done = [], 0
         for size in sizes:
             mine = which[done : done + len(size)]
@@ -335,7 +353,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, text: bool = True, spa
             mine = chunk.sent[cut[p] : cut[p + 1]]
             size = chunk.windows[mine] + length - 1
             at, _ = ragged(chunk.start[mine], size)
-            rows.append({"chunk": chunk.id, "part": int(p), "sizes": pack(size.astype(np.uint16)), "counts": pack(chunk.local[cut[p] : cut[p + 1]].astype(np.uint32)), "text": squeeze(data[at])})
+            rows.append({"chunk": chunk.id, "part": int(p), "sizes": pack(size.astype(np.uint16)), "cores": pack(chunk.core[mine].astype(np.uint16)), "counts": pack(chunk.local[cut[p] : cut[p + 1]].astype(np.uint32)), "text": squeeze(data[at])})
         return pa.Table.from_pylist(rows, schema=_schema(SHIP))
 
     def ask_hot(left: pa.Table, right: pa.Table) -> pa.Table:

@@ -28,10 +28,10 @@ def test_columns():
     rng = random.Random(3)
     for _ in range(60):
         strings = ["".join(rng.choice("abc") for _ in range(rng.randint(0, 12))) for _ in range(rng.randint(1, 8))]
-        data, offs = np.frombuffer("".join(strings).encode(), np.uint8), np.cumsum([0] + [len(s) for s in strings])
+        data, offs = np.frombuffer("".join(strings).encode(), np.uint8).astype(np.uint16), np.cumsum([0] + [len(s) for s in strings])
         before, prefix = insert_columns(data, offs, 200)
         suffixes = sorted((s[i:], k, i) for k, s in enumerate(strings) for i in range(len(s) + 1))
-        assert [chr(b) if b != 255 else "" for b in before] == [strings[k][i - 1] if i else "" for _, k, i in suffixes]
+        assert [chr(b) if b != 65535 else "" for b in before] == [strings[k][i - 1] if i else "" for _, k, i in suffixes]
         common = [0] + [next((n for n in range(min(len(a), len(b)), -1, -1) if a[:n] == b[:n])) for (a, _, _), (b, _, _) in zip(suffixes, suffixes[1:])]
         assert prefix.tolist() == common
         twice = repeated_windows(data, offs, 3)
