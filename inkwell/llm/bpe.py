@@ -320,9 +320,11 @@ def encode(docs: DataFrame, path: str, keep: list[str] | None = None, decoded: b
 
     Adds ``n_tokens`` long, ``ids_sha256`` and ``decoded_sha256`` and, where
     asked for, ``token_ids`` (array of int) and ``decoded`` text.  ``keep``
-    names the input columns that are returned; all by default.  Map-only.
+    names the input columns that are returned; all by default, but those of the
+    names above, which are replaced.  Map-only.
     """
-    keep = docs.columns if keep is None else keep
+    new = ("n_tokens", "ids_sha256", "decoded_sha256", "token_ids", "decoded")
+    keep = [c for c in (docs.columns if keep is None else keep) if c not in new]
     kept = [docs.schema[c] for c in keep]
     extra = "n_tokens long, ids_sha256 string, decoded_sha256 string" + ", token_ids array<int>" * id_lists + ", decoded string" * decoded
     from pyspark.sql.types import StructType

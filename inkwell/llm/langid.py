@@ -150,8 +150,9 @@ def fit(labelled: DataFrame, per_language: int = PER_LANGUAGE) -> Model:
 
 
 def predict(docs: DataFrame, model: Model, keep: list[str] | None = None, margin: float = AMBIGUOUS) -> DataFrame:
-    """``docs`` with ``lang_pred``, ``score`` (share of the chosen codeword), ``ambiguous`` and ``runner_up``."""
-    keep = docs.columns if keep is None else keep
+    """``docs`` with ``lang_pred``, ``score`` (share of the chosen codeword), ``ambiguous`` and ``runner_up``; input columns of those names are replaced."""
+    new = ("lang_pred", "score", "ambiguous", "runner_up")
+    keep = [c for c in (docs.columns if keep is None else keep) if c not in new]
     schema = StructType([*(docs.schema[c] for c in keep), *StructType.fromDDL("lang_pred string, score double, ambiguous boolean, runner_up string").fields])
     shared = docs.sparkSession.sparkContext.broadcast(model)  # bounded: DIM x bits of the codebook
 

@@ -215,8 +215,10 @@ def store(docs: DataFrame, keep: list[str] | None = None, media: bool = True, un
 
     ``media`` adds the stream itself (binary), ``units`` its access units
     (array of struct: offset, pts, random_access).  Null text is empty text.
+    Input columns of the names that are added are replaced.
     """
-    keep = docs.columns if keep is None else keep
+    new = ("n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "media", "units")
+    keep = [c for c in (docs.columns if keep is None else keep) if c not in new]
     extra = "n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
     extra += ", media binary" * media + ", units array<struct<offset: long, pts: long, random_access: boolean>>" * units
     schema = StructType([*(docs.schema[c] for c in keep), *StructType.fromDDL(extra).fields])

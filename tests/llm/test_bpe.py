@@ -43,7 +43,7 @@ def test_documents():
 
 def test_operator(spark):
     rows = [(i, t, "x") for i, t in enumerate(ODD)]
-    df = spark.createDataFrame(rows, "doc_id long, text string, n_tokens_note string")
+    df = spark.createDataFrame(rows, "doc_id long, text string, n_tokens string")
     got = {r.doc_id: r for r in encode(df, PATH).collect()}
     want, text = brute(ODD)
     for i in range(len(ODD)):

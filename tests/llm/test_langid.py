@@ -23,7 +23,7 @@ def test_held_out_accuracy(spark):
 
 def test_edges(spark):
     rows = [(1, "the cat and the dog", "en", 1), (2, "der hund und die katze", "de", 1), (3, None, "en", 1), (4, "", "de", 1), (5, "123 !?", None, 1), (6, "the " * 90000, None, 1), (7, "a", None, 1)]
-    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, score_note int")
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, score int")
     got = {r.doc_id: r for r in predict(df, fit(df)).collect()}
     assert [got[i].lang_pred for i in (3, 4, 5)] == ["und"] * 3 and got[3].score == 0
     assert got[1].lang_pred == "en" and got[2].lang_pred == "de" and got[6].lang_pred == "en" and 0 <= got[7].score <= 1

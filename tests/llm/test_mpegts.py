@@ -40,7 +40,7 @@ def test_damage_is_counted():
 
 def test_operator(spark):
     rows = [(1, None, "z"), (2, "", "z"), (3, "héllo", "z"), (4, "x" * 100000, "z"), (5, "héllo", "z"), (6, "y" * 576, "z")]
-    df = spark.createDataFrame(rows, "doc_id long, text string, media_note string")
+    df = spark.createDataFrame(rows, "doc_id long, text string, media string")
     got = {r.doc_id: r for r in store(df).collect()}
     for i, text, _ in rows:
         raw = (text or "").encode()
