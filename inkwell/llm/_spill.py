@@ -7,6 +7,20 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+
+#: Stands for a null id while ids travel as plain numbers.
+NO_ID = -(1 << 63)
+
+
+def with_ids(docs: DataFrame) -> DataFrame:
+    """doc_id (long, NO_ID for null) and text."""
+    return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc_id"), "text")
+
+
+def null_ids(found: DataFrame, *columns: str) -> DataFrame:
+    return found.withColumns({c: F.nullif(F.col(c), F.lit(NO_ID)) for c in ("doc_id", *columns)})
 
 
 def workdir(spark: SparkSession) -> str:

@@ -25,7 +25,8 @@ The columns of a part are a few MB and stay in memory; what is larger than a
 part is in sequential Parquet files in the session's shared folder.
 
 Defined results: null and empty text stay empty; texts shorter than ``length``
-stay whole; matches never cross documents; copies count as each other's repeat.
+stay whole; matches never cross documents; copies count as each other's
+repeat; a null id stays null.
 """
 
 from __future__ import annotations
@@ -40,7 +41,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from inkwell.llm._exchange import REQUEST, bounds, chunk_ids, counted, parts_for, read_answer, request
-from inkwell.llm._spill import bucketed, written
+from inkwell.llm._spill import bucketed, null_ids, with_ids, written
 from inkwell.llm._text import BASE, BYTE_VALUES, flat, mix, pack, ragged, slabs, unpack
 
 LENGTH, GRAM, HOT = 200, 32, 20_000
@@ -323,7 +324,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, text: bool = True, spa
     if length < 2 * GRAM:
         raise ValueError(f"length must be at least {2 * GRAM}")
     spark = docs.sparkSession
-    source = docs.select(F.col("doc_id").cast("long"), "text")
+    source = with_ids(docs)
     width = int(spark.conf.get("spark.sql.shuffle.partitions"))
     chunks = bucketed(source.mapInArrow(_chunks(length), CHUNK), "chunks", "chunk", width)
     total = chunks.agg(F.coalesce(F.sum("n_keys"), F.lit(0)).alias("n")).first().n
@@ -419,7 +420,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, text: bool = True, spa
             out["removed"] = pa.array(lists, pa.list_(pa.struct([("begin", pa.int64()), ("end", pa.int64())])))
         return pa.table(out)
 
-    return chunks.groupBy("chunk").cogroup(every.groupBy("chunk")).applyInArrow(finish, schema)
+    return null_ids(chunks.groupBy("chunk").cogroup(every.groupBy("chunk")).applyInArrow(finish, schema))
 
 
 def _settled(chunk: Chunk, table: pa.Table, meets: int) -> np.ndarray:

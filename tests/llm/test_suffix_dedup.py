@@ -68,6 +68,8 @@ def test_passages(spark, hot):
         assert (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) == w, i
         assert sum(s.end - s.begin for s in r.removed) == w[1] and len(r.removed) == w[2]
     assert remove_repeats(df.limit(0)).count() == 0
+    none = spark.createDataFrame([(None, "n" * 300), (None, None), (1, "n" * 300)], "doc_id long, text string")
+    assert sorted((r.doc_id or 0, r.n_removed) for r in remove_repeats(none).collect()) == [(0, 0), (0, 300), (1, 300)]
 
 
 def test_documents(spark):
