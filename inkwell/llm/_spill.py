@@ -14,9 +14,9 @@ from pyspark.sql import functions as F
 NO_ID = -(1 << 63)
 
 
-def with_ids(docs: DataFrame) -> DataFrame:
-    """doc_id (long, NO_ID for null) and text."""
-    return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc_id"), "text")
+def with_ids(docs: DataFrame, *more: str) -> DataFrame:
+    """doc_id (long, NO_ID for null), text and the columns named."""
+    return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc_id"), "text", *more)
 
 
 def null_ids(found: DataFrame, *columns: str) -> DataFrame:

@@ -16,7 +16,7 @@ over a histogram of at most 41 * 1023 * 1024 cells, quantised to an eighth of
 an octave, of which only those that occur exist (thousands).
 
 Tokens are told apart by 64-bit hashes.  Defined results: null or empty text is
-one token, the end; a first word has the text's beginning as its context.
+one token, the end; a null id stays null and its text is for training; a first word has the text's beginning as its context.
 """
 
 from __future__ import annotations
@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from inkwell.llm._exchange import ANSWER, REQUEST, chunk_ids, counted, parts_for, read_answer, request
-from inkwell.llm._spill import written
+from inkwell.llm._spill import null_ids, with_ids, written
 from inkwell.llm._text import flat, lower, mix, pack, pack_sorted, slabs, unpack, unpack_sorted, word_hashes, words
 
 EVEN = np.uint64(2**64 - 2)
@@ -37,7 +37,7 @@ END = np.uint64(0x5851F42D4C957F2C)
 BEGIN = np.uint64(0x14057B7EF767814F)
 KEPT, DELETED, HELD_OUT = 0, 1, 2
 OCTAVE, SHIFT, CELLS = 8, 160, 1024
-CHUNK_BYTES = 8 << 20
+CHUNK_BYTES = 4 << 20
 CHUNK = "chunk long, doc_ids binary, lengths binary, roles binary, vocabulary binary, tokens binary, n_keys long, n_kept long, n_deleted long, d_kept long, d_deleted long"
 
 
@@ -153,7 +153,7 @@ def score(docs: DataFrame, held_out) -> DataFrame:
     and ``bits_per_token``.
     """
     role = F.when(held_out, HELD_OUT).when(F.pmod(F.xxhash64("doc_id"), F.lit(10)) == 0, DELETED).otherwise(KEPT)
-    chunks = written(docs.select(F.col("doc_id").cast("long"), "text", role.cast("int").alias("role")).mapInArrow(_chunks, CHUNK), "chunks")
+    chunks = written(with_ids(docs.withColumn("_role", role.cast("int")), "_role").mapInArrow(_chunks, CHUNK), "chunks")
     total = chunks.agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("n_keys", "n_kept", "n_deleted", "d_kept", "d_deleted")]).first()
     parts = parts_for(total.n_keys)
 
@@ -213,6 +213,7 @@ def score(docs: DataFrame, held_out) -> DataFrame:
                 out = {"doc_id": unpack(row["doc_ids"], np.int64), "held_out": roles == HELD_OUT, "n_tokens": lengths, "n_known": unpack(row["known"], np.int64), "train_tokens": np.full(len(lengths), train), "base_score": unpack(row["base"], np.float64), "score": total, "bits_per_token": -total / lengths * np.log2(10)}
                 yield pa.RecordBatch.from_pydict(out)
 
-    return resolved.select("doc_ids", "lengths", "roles", "base", "known", "one", "both").mapInArrow(
+    out = resolved.select("doc_ids", "lengths", "roles", "base", "known", "one", "both").mapInArrow(
         finish, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, bits_per_token double"
     )
+    return null_ids(out)

@@ -1,10 +1,9 @@
 """Exact Jaccard self-join of word shingles with signature trees.
 
-1. *Candidates.*  A document's shingles are ordered by their hash.  Sets with a
-   Jaccard similarity of ``num/den`` or more share at least ``need(size)`` of
-   each other's first ``prefix(size)`` shingles, so documents with fewer shared
-   ones (counted over the corpus) link with nothing.  Of the others' shared ones
-   the ``need(size) - 1`` most frequent can go: a linked pair still shares its
+1. *Candidates.*  Sets with a Jaccard similarity of ``num/den`` or more share at
+   least ``need(size)`` shingles, so a document with fewer that occur elsewhere
+   (counted over the corpus) links with nothing.  Of the others' shared ones the
+   ``need(size) - 1`` most frequent can go: a linked pair still shares its
    rarest, and passages that many documents have join no unlike ones.  Blocks
    are components of the graph of what is left.  Identical sets are one member.
 2. *Signature trees.*  A block, or for a large block each tile of members of
@@ -19,7 +18,8 @@
 
 No link is lost: components are those of all pairs at the threshold.  Defined
 results: a text without words has an empty set and links with nothing; with
-fewer words than ``words_each`` the whole sequence is one shingle.
+fewer words than ``words_each`` the whole sequence is one shingle.  Rows with a
+null id link with nothing; rows that repeat an id are one member for each text.
 """
 
 from __future__ import annotations
@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 
 from inkwell.llm._exchange import REQUEST, chunk_ids, counted, parts_for, read_answer, request
 from inkwell.llm._graph import components
-from inkwell.llm._spill import bucketed, written
+from inkwell.llm._spill import NO_ID, bucketed, null_ids, with_ids, written
 from inkwell.llm._text import flat, lower, mix, pack, pack_sorted, ragged, slabs, unpack, unpack_sorted, word_hashes, words
 
 NUM, DEN, WORDS = 80, 100, 5
@@ -43,13 +43,8 @@ STEP = np.uint64(0xC2B2AE3D27D4EB4F)
 
 
 def need(size, num: int = NUM, den: int = DEN):
-    """The least number of common prefix shingles of a linked pair whose smaller set may be ``num/den`` of ``size``."""
-    return np.maximum(1, -(-size * num // den) * 4 // 10)
-
-
-def prefix(size, num: int = NUM, den: int = DEN):
-    """How many first shingles of a set two linked sets share ``max(1, 0.4 of the smaller size)`` of."""
-    return size - -(-size * num // den) + np.maximum(1, size * 4 // 10)
+    """How many of its shingles a set shares with any set that it links with, at least."""
+    return -(-size * num // den)
 
 
 def shingle_sets(data: np.ndarray, offs: np.ndarray, words_each: int = WORDS) -> tuple[np.ndarray, np.ndarray]:
@@ -226,13 +221,11 @@ MEMBER = "doc_id long, n_shingles long, high long, low long, set binary, shared
 EDGE = "u long, v long"
 
 
-def _prefixes(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(sets, their offsets, index of the prefix shingles in sets, their offsets, distinct keys, key of each)."""
+def _keyed(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(sets, their offsets, distinct shingles of all sets, which of them each one is)."""
     sets, bound = shingle_sets(data, offs)
-    size = np.diff(bound)
-    at, starts = ragged(bound[:-1], np.where(size > 0, np.minimum(prefix(size), size), 0))
-    keys, inverse = np.unique(sets[at], return_inverse=True)
-    return sets, bound, at, starts, keys, inverse
+    keys, inverse = np.unique(sets, return_inverse=True)
+    return sets, bound, keys, inverse
 
 
 def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -241,7 +234,7 @@ def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     ids = chunk_ids()
     for slab in slabs(batches, limit=CHUNK_BYTES):
         data, offs = flat(slab.column(1))
-        keys = int(np.count_nonzero(np.diff(offs)) + len(data) // 18)  # about; only sizes the parts
+        keys = int(np.count_nonzero(np.diff(offs)) + len(data) // 7)  # about; only sizes the parts
         yield pa.RecordBatch.from_pylist([{"chunk": next(ids), "doc_ids": pack(np.asarray(slab.column(0))), "offsets": pack(offs), "text": squeeze(data), "n_keys": keys}])
 
 
@@ -254,26 +247,27 @@ def _open(row: dict) -> tuple[np.ndarray, np.ndarray]:
 def _members(left: pa.Table, right: pa.Table) -> pa.Table:
     """A row for each document of a chunk; the set and the shared prefix shingles only for candidates."""
     row = left.to_pylist()[0]
-    sets, bound, at, starts, keys, inverse = _prefixes(*_open(row))
+    sets, bound, keys, inverse = _keyed(*_open(row))
     count = read_answer(right, 1)[0]
     shared = (count > 1)[inverse] if len(keys) else np.zeros(0, bool)
-    n = np.concatenate(([0], np.cumsum(shared)))[starts]
+    n = np.concatenate(([0], np.cumsum(shared)))[bound]
     size = np.diff(bound)
     candidate = (np.diff(n) >= need(size)) & (size > 0)
     twin = mix(sets ^ STEP)
     out = {"doc_id": unpack(row["doc_ids"], np.int64), "n_shingles": size}
+    candidate &= out["doc_id"] != NO_ID
     for name, value in (("high", mix(sets)), ("low", twin)):
         total = np.concatenate((np.zeros(1, np.uint64), np.cumsum(value)))
         out[name] = mix(total[bound[1:]] - total[bound[:-1]]).view(np.int64)
-    hits = sets[at]
-    owner = np.repeat(np.arange(len(size)), np.diff(starts))
+
+    owner = np.repeat(np.arange(len(size)), np.diff(bound))
     often = count.astype(np.int64)[inverse] if len(keys) else np.zeros(0, np.int64)
-    order = np.lexsort((hits, often, ~shared, owner))  # of each document: shared first, rarest first
+    order = np.lexsort((sets, often, ~shared, owner))  # of each document: shared first, rarest first
     rank = np.empty(len(order), np.int64)
-    rank[order] = np.arange(len(order)) - np.repeat(starts[:-1], np.diff(starts))
-    shared &= rank < np.repeat(np.diff(n) - need(size) + 1, np.diff(starts))
+    rank[order] = np.arange(len(order)) - np.repeat(bound[:-1], np.diff(bound))
+    shared &= rank < np.repeat(np.diff(n) - need(size) + 1, np.diff(bound))
     out["set"] = pa.array([sets[a:b].tobytes() if c else None for a, b, c in zip(bound[:-1].tolist(), bound[1:].tolist(), candidate.tolist(), strict=True)], pa.binary())
-    out["shared"] = pa.array([hits[a:b][shared[a:b]].tobytes() if c else None for a, b, c in zip(starts[:-1].tolist(), starts[1:].tolist(), candidate.tolist(), strict=True)], pa.binary())
+    out["shared"] = pa.array([sets[a:b][shared[a:b]].tobytes() if c else None for a, b, c in zip(bound[:-1].tolist(), bound[1:].tolist(), candidate.tolist(), strict=True)], pa.binary())
     return pa.table(out)
 
 
@@ -289,7 +283,7 @@ def link(docs: DataFrame, tile: int = TILE) -> DataFrame:
     """``docs`` (doc_id, text): doc_id, n_shingles, component_id, n_copies_of_set (documents with the same set)."""
     spark = docs.sparkSession
     width = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    source = docs.select(F.col("doc_id").cast("long"), "text")
+    source = with_ids(docs)
     chunks = bucketed(source.mapInArrow(_chunks, CHUNK), "shingles", "chunk", width)
     parts = parts_for(chunks.agg(F.coalesce(F.sum("n_keys"), F.lit(0)).alias("n")).first().n)
 
@@ -299,7 +293,7 @@ def link(docs: DataFrame, tile: int = TILE) -> DataFrame:
         for batch in batches:
             for i in range(batch.num_rows):
                 row = batch.slice(i, 1).to_pylist()[0]
-                *_, keys, inverse = _prefixes(*_open(row))
+                *_, keys, inverse = _keyed(*_open(row))
                 yield from _rows(request(row["chunk"], keys, [np.bincount(inverse, minlength=len(keys))], parts), REQUEST)
 
     answers = counted(chunks.select("chunk", "offsets", "text").mapInArrow(ask, REQUEST)).select("chunk", "part", "counts")
@@ -307,7 +301,7 @@ def link(docs: DataFrame, tile: int = TILE) -> DataFrame:
 
     same = members.where("set is not null").groupBy("n_shingles", "high", "low").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies"))
     same = written(same, "sets")
-    reps = written(members.where("set is not null").join(same.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi").select("doc_id", "n_shingles", "set", "shared"), "reps")
+    reps = written(members.where("set is not null").join(same.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi").dropDuplicates(["doc_id", "high"]).select("doc_id", "n_shingles", "set", "shared"), "reps")
     keys = reps.select("doc_id", "shared").mapInArrow(_spread, "doc_id long, key long")
     keys = written(keys, "keys")
     least = keys.groupBy("key").agg(F.min("doc_id").alias("v"), F.count(F.lit(1)).alias("n")).where("n > 1").select("key", "v")
@@ -348,4 +342,4 @@ def link(docs: DataFrame, tile: int = TILE) -> DataFrame:
     top = top.select("n_shingles", "high", "low", "copies", F.coalesce("root", "u").alias("component_id"))
     alone = members.where("set is null").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"), F.lit(1).cast("long").alias("n_copies_of_set"))
     grouped = members.where("set is not null").select("doc_id", "n_shingles", "high", "low").join(top, ["n_shingles", "high", "low"]).select("doc_id", "n_shingles", "component_id", F.col("copies").alias("n_copies_of_set"))
-    return alone.unionByName(grouped)
+    return null_ids(alone.unionByName(grouped), "component_id")

@@ -45,6 +45,8 @@ def test_edges(spark):
     df = spark.createDataFrame([(*r, 5) for r in rows], "doc_id long, text string, score int")
     got = {r.doc_id: r for r in score(df, fold(parts=7) == 2).collect()}
     check(rows, got)
+    none = spark.createDataFrame([(None, "a b"), (2, "a"), (None, None)], "doc_id long, text string")
+    assert sorted((r.doc_id or 0, r.n_tokens) for r in score(none, fold(parts=7) == 2).collect()) == [(0, 1), (0, 3), (2, 2)]
     assert score(df.limit(0), fold(parts=7) == 2).count() == 0
 
 

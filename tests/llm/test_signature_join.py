@@ -84,6 +84,9 @@ def test_documents(spark):
     df = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in link(df).collect()} == brute(rows)
     assert link(df.limit(0)).count() == 0
+    odd = spark.createDataFrame([(None, "a b c d e f"), (None, "a b c d e f"), (3, "a b c d e f"), (3, "a b c d e f"), (2, "A B c d e f"), (2, "other words")], "doc_id long, text string")
+    got = sorted((r.doc_id or 0, r.component_id or 0, r.n_shingles) for r in link(odd).collect())
+    assert got == [(0, 0, 2), (0, 0, 2), (2, 2, 1), (2, 2, 2), (3, 2, 2), (3, 2, 2)]
 
 
 def test_tree_keeps_every_link():
