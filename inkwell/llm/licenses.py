@@ -54,9 +54,9 @@ def match_lines(lines: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     every = lines.select(F.lit(None).cast("string").alias("license"), "line").unionByName(given)
     terms = every.select("license", "line", F.explode(tokens(F.col("line"))).alias("term")).groupBy("license", "line", "term").agg(F.count(F.lit(1)).alias("tf"))
     df = terms.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    n = every.groupBy().agg(F.count(F.lit(1)).alias("n"))
-    weight = (1 + F.log(F.col("tf").cast("double"))) * (F.log((1 + F.col("n")) / (1 + F.col("df")).cast("double")) + 1)
-    weighed = terms.join(df, "term").crossJoin(F.broadcast(n)).select("license", "line", "term", weight.alias("w"))  # n is one row
+    n = every.agg(F.count(F.lit(1))).scalar()
+    weight = (1 + F.log(F.col("tf").cast("double"))) * (F.log((1 + n) / (1 + F.col("df")).cast("double")) + 1)
+    weighed = terms.join(df, "term").select("license", "line", "term", weight.alias("w"))
     norms = weighed.groupBy("license", "line").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
     index = weighed.where("license is not null").join(norms.where("license is not null").drop("line"), "license").select("term", F.col("license").alias("to"), (F.col("w") / F.col("norm")).alias("u"))
     dots = weighed.where("license is null").select("line", "term", "w").join(F.broadcast(index), "term").groupBy("line", "to").agg(F.sum(F.col("w") * F.col("u")).alias("dot"))
