@@ -206,5 +206,7 @@ def passage_containment(docs: DataFrame, passages: DataFrame, anchor: int = 4) -
     pairs = runs.select("doc_id", F.explode(F.array_distinct("keys")).alias("key")).join(long.select("item_id", "key"), "key").select("doc_id", "item_id").distinct()
     sure = pairs.join(long.select("item_id", "passage"), "item_id").join(docs.select("doc_id", "text"), "doc_id").where(F.contains("text", "passage")).select("doc_id", "item_id")
     short = items.where(F.size("_a") < anchor).select("item_id", "passage")
+    if short.isEmpty():
+        return sure
     few = docs.select("doc_id", "text").join(short, F.contains("text", "passage")).select("doc_id", "item_id")
     return sure.unionByName(few)

@@ -96,8 +96,8 @@ def latex_roots(files: DataFrame) -> DataFrame:
     """Roots (path, text): both document markers uncommented; those at the top if any, else at any depth."""
     marker = lambda m: F.col("text").rlike(r"(?m)^[^%\n]*\\" + m)
     found = files.where(F.lower("path").endswith(".tex") & marker("documentclass") & marker(r"begin\{document\}")).select("path", (~F.col("path").contains("/")).alias("top"))
-    any_top = found.agg(F.coalesce(F.bool_or("top"), F.lit(False)).alias("has_top"))
-    return found.crossJoin(F.broadcast(any_top)).where(F.col("top") | ~F.col("has_top")).select("path")  # one row
+    any_top = found.agg(F.coalesce(F.bool_or("top"), F.lit(False))).scalar()
+    return found.where(F.col("top") | ~any_top).select("path")
 
 
 def choose_root(roots: DataFrame) -> DataFrame:
