@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
 import tempfile
 import uuid
 
@@ -44,11 +45,33 @@ def remove(spark: SparkSession, path: str) -> None:
         pass
 
 
+def discard(table: DataFrame) -> None:
+    """Deletes a table of :func:`written` or :func:`bucketed` that nothing reads any more."""
+    files = table.inputFiles()
+    if files:
+        remove(table.sparkSession, files[0].rsplit("/", 1)[0])
+
+
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+@contextlib.contextmanager
+def tidy(spark: SparkSession):
+    """Within it, a query's shuffle files go when it ends: what it wrote is read from the table."""
+    held = spark.conf.get(CLEANUP, "false")
+    spark.conf.set(CLEANUP, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(CLEANUP, held)
+
+
 def written(df: DataFrame, name: str, compression: str = "zstd") -> DataFrame:
     """``df`` as a Parquet table in the shared folder: cuts lineage, survives lost executors."""
     spark = df.sparkSession
     path = f"{workdir(spark)}/inkwell-{uuid.uuid4().hex}/{name}"
-    df.write.option("compression", compression).parquet(path)
+    with tidy(spark):
+        df.write.option("compression", compression).parquet(path)
     atexit.register(remove, spark, path.rsplit("/", 1)[0])
     return spark.read.schema(df.schema).parquet(path)
 
@@ -58,6 +81,7 @@ def bucketed(df: DataFrame, name: str, key: str, buckets: int) -> DataFrame:
     spark = df.sparkSession
     table = f"inkwell_{name}_{uuid.uuid4().hex}"
     path = f"{workdir(spark)}/{table}"
-    df.write.option("compression", "zstd").option("path", path).bucketBy(buckets, key).saveAsTable(table)
+    with tidy(spark):
+        df.write.option("compression", "zstd").option("path", path).bucketBy(buckets, key).saveAsTable(table)
     atexit.register(remove, spark, path)
     return spark.table(table)

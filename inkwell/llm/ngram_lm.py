@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from inkwell.llm._exchange import ANSWER, REQUEST, chunk_ids, counted, parts_for, read_answer, request
-from inkwell.llm._spill import null_ids, with_ids, written
+from inkwell.llm._spill import discard, null_ids, with_ids, written
 from inkwell.llm._text import flat, lower, mix, pack, pack_sorted, slabs, unpack, unpack_sorted, word_hashes, words
 
 EVEN = np.uint64(2**64 - 2)
@@ -188,6 +188,8 @@ def score(docs: DataFrame, held_out) -> DataFrame:
 
     fields = "doc_ids binary, lengths binary, roles binary, base binary, known binary, one binary, both binary, cells binary, n binary"
     resolved = written(chunks.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(resolve, fields), "resolved")
+    discard(chunks)
+    discard(answers)
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 
 from inkwell.llm._exchange import REQUEST, chunk_ids, counted, parts_for, read_answer, request
 from inkwell.llm._graph import components
-from inkwell.llm._spill import NO_ID, bucketed, null_ids, with_ids, written
+from inkwell.llm._spill import NO_ID, bucketed, discard, null_ids, with_ids, written
 from inkwell.llm._text import flat, lower, mix, pack, pack_sorted, ragged, slabs, unpack, unpack_sorted, word_hashes, words
 
 NUM, DEN, WORDS = 80, 100, 5
@@ -298,6 +298,7 @@ def link(docs: DataFrame, tile: int = TILE) -> DataFrame:
 
     answers = counted(chunks.select("chunk", "offsets", "text").mapInArrow(ask, REQUEST)).select("chunk", "part", "counts")
     members = written(chunks.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(_members, MEMBER), "members")
+    discard(chunks)
 
     same = members.where("set is not null").groupBy("n_shingles", "high", "low").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies"))
     same = written(same, "sets")
