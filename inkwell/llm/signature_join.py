@@ -302,7 +302,9 @@ def link(docs: DataFrame, tile: int = TILE) -> DataFrame:
 
     same = members.where("set is not null").groupBy("n_shingles", "high", "low").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies"))
     same = written(same, "sets")
-    reps = written(members.where("set is not null").join(same.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi").dropDuplicates(["doc_id", "high"]).select("doc_id", "n_shingles", "set", "shared"), "reps")
+    # a node is a distinct set, named by its hash; bucketed by name, so that later joins don't move the sets
+    reps = members.where("set is not null").select(F.col("high").alias("doc_id"), "n_shingles", "set", "shared").dropDuplicates(["doc_id"])
+    reps = bucketed(reps, "reps", "doc_id", width)
     keys = reps.select("doc_id", "shared").mapInArrow(_spread, "doc_id long, key long")
     keys = written(keys, "keys")
     least = keys.groupBy("key").agg(F.min("doc_id").alias("v"), F.count(F.lit(1)).alias("n")).where("n > 1").select("key", "v")
@@ -339,8 +341,9 @@ def link(docs: DataFrame, tile: int = TILE) -> DataFrame:
         more = one.unionByName(two).join(sets, "doc_id").groupBy(*key).applyInArrow(_between, EDGE)
         edges = edges.unionByName(written(more, "links"))
         found = components(edges)
-    top = same.select("n_shingles", "high", "low", "copies", F.col("rep").alias("u")).join(found, "u", "left")
-    top = top.select("n_shingles", "high", "low", "copies", F.coalesce("root", "u").alias("component_id"))
+    nodes = same.join(found.select(F.col("u").alias("high"), "root"), "high", "left").withColumn("root", F.coalesce("root", "high"))
+    least = nodes.groupBy("root").agg(F.min("rep").alias("component_id"))
+    top = nodes.join(least, "root").select("n_shingles", "high", "low", "copies", "component_id")
     alone = members.where("set is null").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"), F.lit(1).cast("long").alias("n_copies_of_set"))
     grouped = members.where("set is not null").select("doc_id", "n_shingles", "high", "low").join(top, ["n_shingles", "high", "low"]).select("doc_id", "n_shingles", "component_id", F.col("copies").alias("n_copies_of_set"))
     return null_ids(alone.unionByName(grouped), "component_id")
