@@ -13,9 +13,8 @@ from inkwell.operators.segment import lines
 
 FENCE = re.compile(r"^ {0,3}(`{3,}|~{3,})(.*)$")
 LABELS = ("**Rule:**", "**Location:**", "**Quote:**", "**Suggested revision:**")
-REPORT_TITLE = "AI Slop Review"
-RULES_TITLE = "Writing rules for this paper"
-CATALOG_TITLE = "AI Writing Tropes to Avoid"
+#: First-level titles that mark a report and a rules document, and a catalog's second-level one; callers give their own.
+REPORT_TITLE, RULES_TITLE, CATALOG_TITLE = "Prose Review", "Writing Rules", "Tropes to Avoid"
 ROW = "array<struct<line:int,rule:string,message:string>>"
 
 

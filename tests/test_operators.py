@@ -163,9 +163,9 @@ def test_lint(spark):
     assert text(got) >= {(2, "md001"), (3, "md009"), (5, "md012"), (6, "md025"), (6, "md047"), (2, "md022")}
     again = lint.line_rules(lint.fixed(docs(spark, bad)))
     assert {r for _, r in text(again)} == {"md001", "md022", "md025"}
-    page = "# AI Slop Review\n\n#### Finding 1\n\n**Rule:** x\n**Location:** y\n**Quote:** z\n\n```\n#### Finding 9\n```\n"
+    page = "# Prose Review\n\n#### Finding 1\n\n**Rule:** x\n**Location:** y\n**Quote:** z\n\n```\n#### Finding 9\n```\n"
     assert [r.message for r in lint.structure(docs(spark, page)).collect()] == ["**Suggested revision:**"]
-    rule = "# Writing rules for this paper\n## AI Writing Tropes to Avoid\n# Inner\n## AI Writing Tropes to Avoid\n"
+    rule = "# Writing Rules\n## Tropes to Avoid\n# Inner\n## Tropes to Avoid\n"
     assert text(lint.structure(docs(spark, rule))) == {(3, "writing-md-structure"), (4, "writing-md-structure")}
     printed = spark.createDataFrame([("a.md:3:1: MD009: Trailing spaces (no-trailing-spaces)",), ("other",)], "text string")
     assert [tuple(r) for r in lint.lint_rows(printed).collect()] == [(3, "md009", "Trailing spaces")]
