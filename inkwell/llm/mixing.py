@@ -4,35 +4,52 @@ Rows of a source are dealt, in hash order, into blocks of ``block_rows``.  One
 block is emitted per slot.  With weight ``w`` the ``j``-th block of a source is
 released at ``floor(j / w)`` and due at ``ceil((j + 1) / w)``; in each slot the
 released block with the earliest deadline is emitted, so after any number of
-slots every source has had its weight's share to within less than one block.
-
-Weights are whole shares of ``Q`` slots, so the schedule repeats every ``Q``
-slots and only one period is worked out on the driver: its size depends on the
-number of sources (at most ``MAX_SOURCES``), not on rows.  When a source runs
-out, a new phase begins with the others' weights scaled up; no row is dropped
-or repeated.  Sources without a target weight come last, by their sizes.
-
+slots of a phase every source has had its weight's share to within less than
+one block.  Weights are exact: integers over a common denominator, not rounded
+to a period.
+
+Sources of one weight and one number of blocks are a *kind*.  A kind is
+scheduled as one source of all their weight, and its blocks go to its sources
+in turn, which keeps each within its own releases and deadlines.  There can be
+any number of sources; kinds are fewer than the square root of twice the number
+of blocks (and the given weights), and only they reach the driver.  When a kind
+runs out, a new phase begins with the others' weights scaled up; no row is
+dropped or repeated.  Sources without a target weight come last, by their sizes.
+
+The slots of blocks follow from each other, so one task works them out: it
+reads the kinds and writes a row for each block, none for a row of ``docs``.
 Places within a source come from counts by hash bucket and a window within a
-bucket of about ``BUCKET_ROWS`` rows, so a hot source is never in one task.
+bucket of about ``BUCKET_ROWS`` rows, so a hot source is never in one task; a
+bucket brings the slots of its blocks along.
 
 Defined results: a null source is a source of its own; repeated rows are rows
-of their own; an empty table gives an empty schedule.
+of their own; an empty table gives an empty schedule; equal deadlines go to the
+kind of less weight, then of fewer blocks.
 """
 
 from __future__ import annotations
 
 import heapq
+from collections.abc import Iterator
 from dataclasses import dataclass
-from math import ceil
+from fractions import Fraction
+from math import ceil, lcm
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from inkwell.llm._spill import written
+
 BLOCK_ROWS = 8
 BUCKET_ROWS = 4096
 PERIOD = 1024
 MAX_SOURCES = 256
 NO_SOURCE = "\x00"
+SLOT = "kind int, i long, phase int, slot long, release long, due long"
+
+
+# shares, one_period and plan are the schedule of weights rounded to a period: tests hold it, schedule() doesn't use it.
 
 
 def shares(weights: dict[str, float], period: int) -> dict[str, int]:
@@ -104,45 +121,106 @@ def plan(blocks: dict[str, int], weights: dict[str, float] | None = None) -> lis
     return phases
 
 
+def slots(kinds: list[tuple[float, int, int]]) -> Iterator[tuple[int, int, int, int, int, int]]:
+    """(kind, i, phase, slot, release, due) of every block, slot by slot, for kinds of (weight, blocks, sources).
+
+    The ``i``-th block of a kind is block ``i // sources`` of its source ``i % sources``; release and due are that
+    source's own.
+    """
+    exact = [Fraction(w) * m for w, _, m in kinds]
+    scale = lcm(*(x.denominator for x in exact))
+    given = [int(x * scale) for x in exact]
+    left, done = [n * m for _, n, m in kinds], [0] * len(kinds)
+    base = phase = 0
+    while active := [k for k, n in enumerate(left) if n]:
+        share = {k: given[k] for k in active if given[k] > 0} or {k: left[k] for k in active}
+        total, first = sum(share.values()), list(done)
+        ready = [(-(-total // w), k) for k, w in share.items()]
+        heapq.heapify(ready)
+        later: list[tuple[int, int, int]] = []
+        t = 0
+        while True:
+            while later and later[0][0] <= t:
+                heapq.heappush(ready, heapq.heappop(later)[1:])
+            due, k = heapq.heappop(ready)
+            if t >= due:
+                raise AssertionError("a block missed its deadline")
+            w, m, p = share[k], kinds[k][2], done[k] - first[k]
+            q = p // m * m
+            yield k, done[k], phase, base + t, base + q * total // w, base - (-(q + m) * total // w)
+            done[k] += 1
+            left[k] -= 1
+            t += 1
+            if not left[k]:
+                break
+            at, due = (p + 1) * total // w, -(-(p + 2) * total // w)
+            if at <= t:
+                heapq.heappush(ready, (due, k))
+            else:
+                heapq.heappush(later, (at, due, k))
+        base += t
+        phase += 1
+
+
+def _slot_table(spark, kinds: list[tuple[float, int, int]]) -> DataFrame:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from itertools import batched
+
+        types = [pa.int32(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()]
+        names = [c.split()[0] for c in SLOT.split(", ")]
+        for _ in batches:
+            for rows in batched(slots(kinds), 1 << 15):
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names=names)
+
+    return written(spark.range(0, 1 if kinds else 0, 1, 1).mapInArrow(run, SLOT), "slots")
+
+
+def _sources(spark, rows: DataFrame, weights: dict[str, float] | None, block_rows: int) -> tuple[DataFrame, list[tuple[float, int, int]], int]:
+    """(_s, kind, _m sources of the kind, _c place among them) of every source; the kinds; rows of the largest source."""
+    sizes = rows.groupBy("_s").agg(F.count(F.lit(1)).alias("_n")).withColumn("_blocks", F.ceil(F.col("_n") / block_rows))
+    if weights is None:
+        sizes = sizes.withColumn("_w", F.sqrt(F.col("_blocks").cast("double")))
+    else:
+        given = spark.createDataFrame([(s, float(w)) for s, w in weights.items() if w > 0], "_s string, _w double")
+        sizes = sizes.join(given, "_s", "left").withColumn("_w", F.coalesce("_w", F.lit(0.0)))
+    sizes = written(sizes, "sources")
+    found = sorted((r["_w"], r["_blocks"], r["m"], r["n"]) for r in sizes.groupBy("_w", "_blocks").agg(F.count(F.lit(1)).alias("m"), F.max("_n").alias("n")).collect())
+    table = spark.createDataFrame([(k, *f[:3]) for k, f in enumerate(found)], "kind int, _w double, _blocks long, _m long")
+    hashed, spots = F.xxhash64("_s"), max(1, ceil(max((f[2] for f in found), default=0) / BUCKET_ROWS))
+    sizes = sizes.join(F.broadcast(table), ["_w", "_blocks"]).withColumn("_b", F.pmod(hashed, F.lit(spots)))
+    before = F.coalesce(F.sum("_x").over(Window.partitionBy("kind").orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    counts = sizes.groupBy("kind", "_b").agg(F.count(F.lit(1)).alias("_x")).select("kind", "_b", before.alias("_before"))
+    within = F.row_number().over(Window.partitionBy("kind", "_b").orderBy(hashed, "_s"))
+    placed = sizes.withColumn("_r", within).join(counts, ["kind", "_b"]).select("_s", "kind", "_m", (F.col("_before") + F.col("_r") - 1).alias("_c"))
+    return placed, [f[:3] for f in found], max((f[3] for f in found), default=0)
+
+
 def schedule(docs: DataFrame, weights: dict[str, float] | None = None, source: str = "source", key: str = "doc_id", block_rows: int = BLOCK_ROWS) -> DataFrame:
     """``docs`` with phase, block, slot, release, due (of the block) and place (within it).
 
     ``(slot, place)`` is the mixed order.  Columns of those names in ``docs``
-    are replaced.
+    are replaced.  Weights default to the square roots of the sources' blocks.
     """
     spark = docs.sparkSession
     new = ["phase", "block", "slot", "release", "due", "place"]
     kept = docs.drop(*new)
     name, hashed = F.coalesce(F.col(source).cast("string"), F.lit(NO_SOURCE)), F.xxhash64(F.col(key))
-    sizes = {r["s"]: r["n"] for r in docs.groupBy(name.alias("s")).agg(F.count(F.lit(1)).alias("n")).limit(MAX_SOURCES + 1).collect()}
-    if len(sizes) > MAX_SOURCES:
+    sources, kinds, largest = _sources(spark, docs.select(name.alias("_s")), weights, block_rows)
+    if sum(m for *_, m in kinds) > MAX_SOURCES:
         raise ValueError(f"more than {MAX_SOURCES} sources: group them first")
-    buckets = max(1, ceil(max(sizes.values(), default=0) / BUCKET_ROWS))
-    phases = plan({s: ceil(n / block_rows) for s, n in sizes.items()}, weights)
-    by_source: dict[str, list[tuple]] = {}
-    for p in phases:
-        by_source.setdefault(p.source, []).append((p.phase, p.base, p.first, p.count, p.share, p.period, p.pattern))
-    kind = "_s string, _phases array<struct<phase: int, base: long, first: long, count: long, share: long, period: long, pattern: array<int>>>"
-    table = spark.createDataFrame(list(by_source.items()), kind)
-    rows = kept.withColumns({"_s": name, "_b": F.pmod(hashed, F.lit(buckets))})
-    counts = docs.groupBy(name.alias("_s"), F.pmod(hashed, F.lit(buckets)).alias("_b")).agg(F.count(F.lit(1)).alias("_n"))
+    bucket = F.pmod(hashed, F.lit(max(1, ceil(largest / BUCKET_ROWS))))
+    counts = docs.groupBy(name.alias("_s"), bucket.alias("_b")).agg(F.count(F.lit(1)).alias("_n"))
     offset = F.coalesce(F.sum("_n").over(Window.partitionBy("_s").orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    counts = counts.select("_s", "_b", offset.alias("_before"))
+    block = lambda k: F.floor(k / block_rows)
+    spans = counts.withColumn("_before", offset).withColumn("block", F.explode(F.sequence(block(F.col("_before")), block(F.col("_before") + F.col("_n") - 1))))
+    spans = spans.join(sources, "_s").withColumn("i", F.col("block") * F.col("_m") + F.col("_c")).join(_slot_table(spark, kinds), ["kind", "i"])
+    found = F.array_sort(F.collect_list(F.struct("block", "phase", "slot", "release", "due")))
+    spans = spans.groupBy("_s", "_b").agg(F.first("_before").alias("_before"), found.alias("_slots"))
     within = F.row_number().over(Window.partitionBy("_s", "_b").orderBy(hashed, F.col(key)))
-    ranked = rows.withColumn("_r", within).join(counts, ["_s", "_b"]).withColumn("_k", F.col("_before") + F.col("_r") - 1)
-    found = ranked.join(F.broadcast(table), "_s").withColumn("block", F.floor(F.col("_k") / block_rows))
-    found = found.withColumn("_p", F.get(F.filter("_phases", lambda p: (F.col("block") >= p["first"]) & (F.col("block") < p["first"] + p["count"])), F.lit(0)))
-    j, share, period = F.col("block") - F.col("_p.first"), F.col("_p.share"), F.col("_p.period")
-    whole = F.floor(j / share)
-    return found.withColumns(
-        {
-            "phase": F.col("_p.phase"),
-            "slot": F.col("_p.base") + whole * period + F.get(F.col("_p.pattern"), (j % share).cast("int")),
-            "release": F.col("_p.base") + F.expr("((block - _p.first) * _p.period) div _p.share"),
-            "due": F.col("_p.base") + F.expr("((block - _p.first + 1) * _p.period + _p.share - 1) div _p.share"),
-            "place": (F.col("_k") % block_rows).cast("int"),
-        }
-    ).select(*kept.columns, *new)
+    ranked = kept.withColumns({"_s": name, "_b": bucket}).withColumn("_r", within).join(spans, ["_s", "_b"])
+    k = F.col("_before") + F.col("_r") - 1
+    at = F.get("_slots", (block(k) - block(F.col("_before"))).cast("int"))
+    return ranked.withColumns({c: at[c] for c in new[:-1]} | {"place": (k % block_rows).cast("int")}).select(*kept.columns, *new)
 
 
 def mixed(docs: DataFrame, weights: dict[str, float] | None = None, **options) -> DataFrame:

@@ -3,7 +3,7 @@ from fractions import Fraction
 
 from pyspark.sql import functions as F
 
-from inkwell.llm.mixing import BLOCK_ROWS, mixed, one_period, plan, schedule, shares
+from inkwell.llm.mixing import BLOCK_ROWS, mixed, one_period, plan, schedule, shares, slots
 
 
 def test_period_is_fair():
@@ -72,3 +72,28 @@ def test_rows(spark):
     ids = [r.doc_id for r in mixed(docs).collect()]
     assert ids == [r.doc_id for r in sorted(out, key=lambda r: (r.slot, r.place))]
     assert schedule(docs.limit(0)).count() == 0
+
+
+def test_target_weights_over_many_periods():
+    for weights in ([0.5] + [0.5 / 19] * 19, [0.9999, 0.0001], [1 / 3, 2 / 3], [n**0.5 for n in (7, 90, 2000)]):
+        exact = [Fraction(w) / sum(map(Fraction, weights)) for w in weights]
+        had = Counter()
+        for (k, i, phase, slot, release, due), _ in zip(slots([(w, 10**6, 1) for w in weights]), range(20000)):
+            assert (i, phase) == (had[k], 0) and release == i // exact[k] and due == -(-(i + 1) // exact[k])
+            had[k] += 1
+            if slot % 97 == 0 or slot == 19999:
+                assert all(abs(had[s] - w * (slot + 1)) < 1 for s, w in enumerate(exact))
+
+
+def test_sources_of_one_kind_keep_their_own_windows():
+    kinds = [(0.25, 40, 30), (1.0, 300, 2), (0.0, 3, 5)]
+    exact = {k: Fraction(w) / Fraction(sum(x * m for x, _, m in kinds)) for k, (w, _, _) in enumerate(kinds)}
+    had, seen = Counter(), []
+    for k, i, phase, slot, release, due in slots(kinds):
+        assert release <= slot < due and i == had[k]
+        had[k] += 1
+        seen.append((k, i % kinds[k][2]))
+        if phase == 0 and slot % 50 == 0:
+            each = Counter(seen)
+            assert all(abs(each[j, c] - exact[j] * (slot + 1)) < 1 for j, (_, _, m) in enumerate(kinds) for c in range(m))
+    assert dict(had) == {k: n * m for k, (_, n, m) in enumerate(kinds)}
