@@ -44,7 +44,6 @@ from inkwell.llm._spill import written
 BLOCK_ROWS = 8
 BUCKET_ROWS = 4096
 PERIOD = 1024
-MAX_SOURCES = 256
 NO_SOURCE = "\x00"
 SLOT = "kind int, i long, phase int, slot long, release long, due long"
 
@@ -206,8 +205,6 @@ def schedule(docs: DataFrame, weights: dict[str, float] | None = None, source: s
     kept = docs.drop(*new)
     name, hashed = F.coalesce(F.col(source).cast("string"), F.lit(NO_SOURCE)), F.xxhash64(F.col(key))
     sources, kinds, largest = _sources(spark, docs.select(name.alias("_s")), weights, block_rows)
-    if sum(m for *_, m in kinds) > MAX_SOURCES:
-        raise ValueError(f"more than {MAX_SOURCES} sources: group them first")
     bucket = F.pmod(hashed, F.lit(max(1, ceil(largest / BUCKET_ROWS))))
     counts = docs.groupBy(name.alias("_s"), bucket.alias("_b")).agg(F.count(F.lit(1)).alias("_n"))
     offset = F.coalesce(F.sum("_n").over(Window.partitionBy("_s").orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))

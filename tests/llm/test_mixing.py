@@ -97,3 +97,16 @@ def test_sources_of_one_kind_keep_their_own_windows():
             each = Counter(seen)
             assert all(abs(each[j, c] - exact[j] * (slot + 1)) < 1 for j, (_, _, m) in enumerate(kinds) for c in range(m))
     assert dict(had) == {k: n * m for k, (_, n, m) in enumerate(kinds)}
+
+
+def test_many_sources(spark):
+    docs = spark.range(9000).select(F.col("id").alias("doc_id"), F.when(F.col("id") < 4000, "big").otherwise(F.concat(F.lit("www"), F.col("id") % 1500)).alias("source"))
+    for weights in (None, {"big": 0.7, "www3": 0.2, "www4": 0.1}):
+        out = schedule(docs, weights).collect()
+        assert sorted(r.doc_id for r in out) == list(range(9000))
+        blocks = {(r.source, r.block): r.slot for r in out}
+        assert sorted(blocks.values()) == list(range(len(blocks))) and all(r.release <= r.slot < r.due for r in out)
+        if weights:
+            start = [r for r in out if r.phase == 0]
+            had = Counter(s for s, _ in {(r.source, r.block) for r in start})
+            assert all(abs(had[s] - w * len({r.slot for r in start})) < 1 for s, w in weights.items())
