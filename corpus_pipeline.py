@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from inkwell.llm._spill import written
+from inkwell.llm._spill import numbered, written
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
@@ -27,19 +27,30 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document of least id of each component of links (Jaccard of 5-word shingles of 0.8 or more)."""
+    """Keeps the row of least id of each component of links (Jaccard of 5-word shingles of 0.8 or more).
+
+    Rows are told apart by number, not by id: ids may repeat or be null. Nulls come last; of one id, the first row stays.
+    """
     from inkwell.llm.signature_join import link
 
-    gone = link(docs.select("doc_id", "text")).where("component_id <> doc_id").select("doc_id")
-    return docs.select(*COLUMNS).join(gone, "doc_id", "left_anti")
+    rows = numbered(docs.select(*COLUMNS), "_row")
+    linked = link(rows.select(F.col("_row").alias("doc_id"), "text")).select(F.col("doc_id").alias("_row"), "component_id")
+    linked = written(linked, "components")
+    several = linked.where("component_id <> _row").select("component_id").distinct()
+    shared = linked.join(several, "component_id", "left_semi")
+    first = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "_row"))["_row"]
+    least = shared.join(rows.select("_row", "doc_id"), "_row").groupBy("component_id").agg(first.alias("_row")).select("_row")
+    gone = shared.select("_row").join(least, "_row", "left_anti")
+    return rows.join(gone, "_row", "left_anti").select(*COLUMNS)
 
 
 def drop_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Cuts every byte in a 200-byte string that also starts elsewhere; all documents stay."""
+    """Cuts every byte in a 200-byte string that also starts elsewhere; all documents stay, each row with its own text."""
     from inkwell.llm.suffix_dedup import remove_repeats
 
-    kept = remove_repeats(docs.select("doc_id", "text"), spans=False).where("n_removed > 0").select("doc_id", "kept_text")
-    out = docs.select(*COLUMNS).join(kept, "doc_id", "left").withColumn("text", F.coalesce("kept_text", "text"))
+    rows = numbered(docs.select(*COLUMNS), "_row")
+    kept = remove_repeats(rows.select(F.col("_row").alias("doc_id"), "text"), spans=False).where("n_removed > 0").select(F.col("doc_id").alias("_row"), "kept_text")
+    out = rows.join(kept, "_row", "left").withColumn("text", F.coalesce("kept_text", "text"))
     return out.withColumn("n_chars", F.when(F.col("kept_text").isNotNull(), F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(*COLUMNS)
 
 

@@ -7,6 +7,7 @@ import contextlib
 import tempfile
 import uuid
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -85,3 +86,27 @@ def bucketed(df: DataFrame, name: str, key: str, buckets: int) -> DataFrame:
         df.write.option("compression", "zstd").option("path", path).bucketBy(buckets, key).saveAsTable(table)
     atexit.register(remove, spark, path)
     return spark.table(table)
+
+
+def numbered(docs: DataFrame, name: str) -> DataFrame:
+    """``docs`` with a number of its own for every row, from 0, which stays the same each time it is read.
+
+    Numbers are places in the Parquet files, so nothing is written where ``docs`` is read from such; else it is first.
+    """
+    plan = docs._jdf.queryExecution().analyzed()
+    while plan.nodeName() in ("Project", "Filter"):
+        plan = plan.children().head()
+    place = [F.col("_metadata.file_path").alias("_file"), F.col("_metadata.row_index").alias("_place")]
+    try:
+        if plan.getClass().getSimpleName() != "LogicalRelation":
+            raise AnalysisException("not a table of files")
+        found = docs.select("*", *place)
+    except AnalysisException:
+        found = written(docs, "numbered").select("*", *place)
+    sizes = found.groupBy("_file").agg((F.max("_place") + 1).alias("n")).collect()
+    starts, total = [], 0
+    for r in sorted(sizes, key=lambda r: r["_file"]):
+        starts.append((r["_file"], total))
+        total += r["n"]
+    table = docs.sparkSession.createDataFrame(starts, "_file string, _start long")
+    return found.join(F.broadcast(table), "_file").withColumn(name, F.col("_start") + F.col("_place")).select(*docs.columns, name)

@@ -54,3 +54,20 @@ def test_empty_and_odd_rows(spark):
         for _, stage in corpus_pipeline.STAGES:
             docs = corpus_pipeline.written(stage(spark, docs, SF), "t")
         assert sorted(r.doc_id for r in docs.collect()) == want
+
+
+def test_repeated_and_null_ids(spark):
+    import random
+
+    rng = random.Random(5)
+    word = lambda: "".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=7))
+    a, b, c, d, e = (" ".join(word() for _ in range(60)) for _ in range(5))
+    rows = [(1, a), (1, a), (2, b), (5, c), (5, b), (None, d), (None, d), (None, a), (7, e + " one"), (8, "x " + e + " two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen seventeen eighteen")]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long").repartition(3)
+    for given in (docs, corpus_pipeline.written(docs, "t")):
+        near = corpus_pipeline.written(corpus_pipeline.drop_near_copies(spark, given, SF), "t")
+        got = sorted(((r.doc_id, r.text) for r in near.collect()), key=str)
+        assert [x for x in got if x[0] not in (7, 8)] == sorted([(1, a), (2, b), (5, c), (None, d)], key=str) and {7, 8} <= {i for i, _ in got}
+        out = corpus_pipeline.drop_repeats(spark, given, SF).collect()
+        assert sorted((str(r.doc_id), r.text) for r in out) == sorted((str(i), t) for (i, _), t in zip(rows, cut([t for _, t in rows])))
+        assert all(r.n_chars == len(r.text) for r in out)
