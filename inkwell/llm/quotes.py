@@ -14,8 +14,9 @@ thread.  Threads are found by pointer jumping, so a chain of n replies takes
 log2(n) joins.  ``(conv_id, thread, turn)`` is the reply order: a parent always
 comes before its replies.
 
-The offers of one hash are reduced to their first before any join, so a passage
-that very many messages share stays one row.
+The offers of one hash are reduced to those of its two first conversations
+before any join, so a passage that very many messages share stays one row, and
+a conversation that offers it too late itself still finds the other.
 
 Defined results: null text is empty; a line of marks alone ends no passage of
 its level; rows repeated in (conv_id, turn) are all kept, the least text of
@@ -80,12 +81,15 @@ def link(messages: DataFrame) -> DataFrame:
     asked = quoted.select("hash").unionByName(quoted.select(F.explode("lines").alias("hash"))).distinct()
     offered = offers(messages).join(asked, "hash", "left_semi")
     here = written(offered.groupBy("conv_id", "hash").agg(F.min("turn").alias("first")), "offers")
-    anywhere = here.groupBy("hash").agg(F.min(F.struct("conv_id", "first")).alias("any"))
+    # two conversations of each hash, so that each asker finds one that isn't its own; the limit is applied before rows move
+    rank = F.row_number().over(Window.partitionBy("hash").orderBy("conv_id"))
+    two = here.where("conv_id is not null").withColumn("_r", rank).where("_r <= 2")
+    anywhere = two.groupBy("hash").agg(F.array_sort(F.collect_list(F.struct("conv_id", "first"))).alias("any"))
 
     def fit(asks: DataFrame) -> DataFrame:
         own = asks.join(here, ["conv_id", "hash"], "left").withColumn("first", F.when(F.col("first") < F.col("turn"), F.col("first")))
-        own = own.join(anywhere, "hash", "left")
-        other = F.col("first").isNull() & (F.col("any.conv_id") != F.col("conv_id"))
+        own = own.join(anywhere, "hash", "left").withColumn("any", F.get(F.filter("any", lambda x: x["conv_id"] != F.col("conv_id")), F.lit(0)))
+        other = F.col("first").isNull() & F.col("any").isNotNull()
         return own.select(*asks.columns, F.when(other, F.col("any.conv_id")).when(F.col("first").isNotNull(), F.col("conv_id")).alias("to_conv"), F.when(other, F.col("any.first")).otherwise(F.col("first")).alias("to_turn"))
 
     whole = written(fit(quoted), "whole")

@@ -56,3 +56,12 @@ def test_whole_table(spark):
     out = op2_quotation_linking(spark, sf)
     want = spark.read.parquet(f"{sf}/conversations.parquet")
     assert out.count() == want.count() and out.where(F.col("text_md5").isNull()).count() == 0
+
+
+def test_cross_link_past_the_own_conversation(spark):
+    for asker, other in ((1, 2), (2, 1)):
+        rows = [(asker, 0, "a", "> the shared words\nyes"), (asker, 1, "b", "the shared words"), (other, 0, "a", "the shared words"), (3, 0, "a", "> own words\nown words"), (9, 0, "a", "the shared words")]
+        df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+        got = {(r.conv_id, r.turn): (r.to_conv, r.to_turn, r.cross) for r in link(df).collect()}
+        assert got == {(asker, 0): (other, 0, True), (3, 0): (None, None, False)}
+        assert {(r.conv_id, r.turn): (r.n_linked, r.n_cross) for r in conversations(df).collect()}[asker, 0] == (1, 1)
