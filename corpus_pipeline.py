@@ -2,7 +2,9 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; it is written
 as Parquet and read again as the next one's ``docs``.  All but the last return
-the columns of ``documents`` (doc_id, text, lang, source, n_chars).
+the columns of ``documents`` (doc_id, text, lang, source, n_chars).  The mixing
+adds slot and place and the last keeps them: files may be read in any order, so
+``(slot, place)`` is the order of the result.
 """
 
 from __future__ import annotations
@@ -55,19 +57,19 @@ def drop_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, in the order of the Pfair schedule: weights are the square roots of the sources' sizes."""
+    """All documents, in the order of the Pfair schedule: weights are the square roots of the sources' sizes; with slot and place."""
     from inkwell.llm.mixing import mixed
 
-    return mixed(docs.select(*COLUMNS))
+    return mixed(docs.select(*COLUMNS), order=True)
 
 
 def encode_text(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids of every document, in the order given, with digests of the ids and of what they decode to."""
+    """Token ids of every document, with its slot and place where ``docs`` has them, and with digests of the ids and of what they decode to."""
     import public_tokenizers
 
     from inkwell.llm.bpe import encode
 
-    return encode(docs, public_tokenizers.path("word_bpe_49k.json"), keep=["doc_id", "lang", "source", "n_chars"], decoded=False)
+    return encode(docs, public_tokenizers.path("word_bpe_49k.json"), keep=["doc_id", "lang", "source", "n_chars", *(c for c in ("slot", "place") if c in docs.columns)], decoded=False)
 
 
 STAGES = [

@@ -220,8 +220,8 @@ def schedule(docs: DataFrame, weights: dict[str, float] | None = None, source: s
     return ranked.withColumns({c: at[c] for c in new[:-1]} | {"place": (k % block_rows).cast("int")}).select(*kept.columns, *new)
 
 
-def mixed(docs: DataFrame, weights: dict[str, float] | None = None, **options) -> DataFrame:
-    """The rows of ``docs`` in mixed order: range-partitioned and sorted by slot and place."""
+def mixed(docs: DataFrame, weights: dict[str, float] | None = None, order: bool = False, **options) -> DataFrame:
+    """The rows of ``docs`` in mixed order: range-partitioned and sorted by slot and place, which ``order`` keeps as columns."""
     found = schedule(docs.withColumnsRenamed({c: c for c in docs.columns}), weights, **options)
     width = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return found.repartitionByRange(width, "slot", "place").sortWithinPartitions("slot", "place").select(*docs.columns)
+    return found.repartitionByRange(width, "slot", "place").sortWithinPartitions("slot", "place").select(*dict.fromkeys([*docs.columns, *(["slot", "place"] if order else [])]))

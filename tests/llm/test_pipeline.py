@@ -71,3 +71,14 @@ def test_repeated_and_null_ids(spark):
         out = corpus_pipeline.drop_repeats(spark, given, SF).collect()
         assert sorted((str(r.doc_id), r.text) for r in out) == sorted((str(i), t) for (i, _), t in zip(rows, cut([t for _, t in rows])))
         assert all(r.n_chars == len(r.text) for r in out)
+
+
+def test_order_survives_the_files(spark):
+    from inkwell.llm.mixing import schedule
+
+    docs = spark.createDataFrame([(i, f"text {i}", "en", "ab"[i % 5 == 0], 6) for i in range(600)], "doc_id long, text string, lang string, source string, n_chars long")
+    mixed = corpus_pipeline.written(corpus_pipeline.mix_sources(spark, docs, SF), "t")
+    assert len(mixed.inputFiles()) > 1
+    want = {r.doc_id: (r.slot, r.place) for r in schedule(docs).collect()}
+    got = corpus_pipeline.encode_text(spark, mixed.repartition(3), SF).collect()
+    assert {r.doc_id: (r.slot, r.place) for r in got} == want and len({(r.slot, r.place) for r in got}) == 600
