@@ -10,6 +10,15 @@ directory; a file without one of its own takes that of its nearest ancestor
 directory.  Each distinct directory is looked up once, by joins on its
 ancestors' paths.
 
+Beside the lines, *notices* are compared in the same way, as a collection of
+their own, to full texts, headers, titles and SPDX tags (:func:`notices`): the
+whole text of a licence file, its first lines, and every run of adjacent
+comment or notice lines that has a licence word.  Comment marks and lines of
+copyright holders are no part of them.  A file takes the licence of its whole
+text, else of its best other notice, else of its best line.  The full text of
+AGPL-3.0 is made from that of GPL-3.0; CC BY licences have titles and headers,
+but no full text.
+
 Defined results: null text has no header; equal scores go to the template that
 comes first by name; two licence files in one directory: the greater score,
 then the lesser licence name; a path without a directory has the root's.
@@ -17,9 +26,13 @@ then the lesser licence name; a path without a directory has the root's.
 
 from __future__ import annotations
 
+from pathlib import Path
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from inkwell.llm._spill import written
+
 #: Words that make a line a header, and names of licence files.
 MARK = r"(?i)licen[cs]e|copyright|spdx|public domain"
 NAMES = r"(?i)^(licen[cs]e|copying|notice|unlicense)([.-].*)?$"
@@ -40,6 +53,43 @@ TEMPLATES = (
     ("MPL-2.0", "Subject to the terms of the Mozilla Public License, version 2.0."),
 )
 THRESHOLD = 0.8
+#: What begins a comment line, lines that name holders, SPDX tags.
+COMMENT = r"(?m)^[ \t]*(?:#+|//+|/\*+|\*+/|\*+|--|;+|%+|<!--)[ \t]*"
+HOLDER = r"(?im)^\W*(?:copyright|\(c\)|\xA9).*\d{4}.*$"
+SPDX = r"(?i)spdx-license-identifier:\s*\S+"
+GNU = "This {0} is free software{1} you can redistribute it and/or modify it under the terms of the GNU {2} as published by the Free Software Foundation, "
+OLD = "either version {} of the License, or (at your option) any later version."
+WARRANTY = " This {0} is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU {1} for more details. You should have received a copy of the GNU {1} along with this {0}. If not, see <https://www.gnu.org/licenses/>."
+FAMILY = {"GPL-2.0": ("program", ";", "General Public License", 2), "GPL-3.0": ("program", ":", "General Public License", 3), "LGPL-3.0": ("library", ":", "Lesser General Public License", 3), "AGPL-3.0": ("program", ":", "Affero General Public License", 3)}
+TITLES = (
+    ("Apache-2.0", "Apache License Version 2.0, January 2004"),
+    ("Apache-2.0", "Apache License Version 2.0"),
+    ("BSD-2-Clause", "BSD 2-Clause License"),
+    ("BSD-3-Clause", "BSD 3-Clause License"),
+    ("CC-BY-4.0", "Creative Commons Attribution 4.0 International Public License"),
+    ("CC-BY-4.0", "Attribution 4.0 International"),
+    ("CC-BY-4.0", "This work is licensed under the Creative Commons Attribution 4.0 International License."),
+    ("CC-BY-NC-4.0", "Creative Commons Attribution-NonCommercial 4.0 International Public License"),
+    ("CC-BY-NC-4.0", "Attribution-NonCommercial 4.0 International"),
+    ("CC-BY-NC-4.0", "This work is licensed under the Creative Commons Attribution-NonCommercial 4.0 International License."),
+    ("CC-BY-SA-4.0", "Creative Commons Attribution-ShareAlike 4.0 International Public License"),
+    ("CC-BY-SA-4.0", "Attribution-ShareAlike 4.0 International"),
+    ("CC-BY-SA-4.0", "This work is licensed under the Creative Commons Attribution-ShareAlike 4.0 International License."),
+    ("CC0-1.0", "CC0 1.0 Universal"),
+    ("CC0-1.0", "Creative Commons Legal Code CC0 1.0 Universal"),
+    ("GPL-2.0", "GNU GENERAL PUBLIC LICENSE Version 2, June 1991"),
+    ("GPL-3.0", "GNU GENERAL PUBLIC LICENSE Version 3, 29 June 2007"),
+    ("LGPL-3.0", "GNU LESSER GENERAL PUBLIC LICENSE Version 3, 29 June 2007"),
+    ("AGPL-3.0", "GNU AFFERO GENERAL PUBLIC LICENSE Version 3, 19 November 2007"),
+    ("MIT", "MIT License"),
+    ("MIT", "The MIT License (MIT)"),
+    ("MPL-2.0", "Mozilla Public License Version 2.0"),
+)
+HEADERS = (
+    ("Apache-2.0", 'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0 Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License.'),
+    ("Apache-2.0", 'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. You may obtain a copy of the License at'),
+    ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/."),
+    )
 
 
 def tokens(line: Column) -> Column:
@@ -65,6 +115,57 @@ def match_lines(lines: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     return best.select("line", F.col("b.to").alias("license"), (-F.col("b.s")).alias("score"))
 
 
+def notices() -> list[tuple[str, str]]:
+    """Licence names and a notice each: full texts, headers, titles, SPDX tags."""
+    out = [*TITLES, *HEADERS]
+    for name in dict.fromkeys(n for n, _ in TEMPLATES):
+        held = Path(__file__).parent / "license_texts" / f"{name}.txt"
+        if held.exists():
+            out.append((name, held.read_text()))
+        tags = [f"{name}-only", f"{name}-or-later", f"{name}+"] if name in FAMILY else []
+        out += [(name, f"SPDX-License-Identifier: {tag}") for tag in [name, *tags]]
+    out.append(("AGPL-3.0", next(t for n, t in out if n == "GPL-3.0" and len(t) > 9999).replace("GNU General Public License", "GNU Affero General Public License").replace("GNU GENERAL", "GNU AFFERO GENERAL")))
+    for name, (what, mark, full, version) in FAMILY.items():
+        first = GNU.format(what, mark, full) + OLD.format(version)
+        out += [(name, first), (name, first + WARRANTY.format(what, full))]
+    return out
+
+
+def match_notices(given: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """Distinct ``given`` (key, notice) that fit one of :func:`notices`: key, license, score (rounded to 6 places)."""
+    spark = given.sparkSession
+    known = spark.createDataFrame([(i, a, b) for i, (a, b) in enumerate(notices())], "t int, license string, notice string")
+    every = given.select("key", F.lit(None).cast("int").alias("t"), "notice").unionByName(known.select(F.lit(None).cast("string").alias("key"), "t", "notice"))
+    terms = written(every.select("key", "t", F.explode(tokens(F.col("notice"))).alias("term")).groupBy("key", "t", "term").agg(F.count(F.lit(1)).alias("tf")), "terms")
+    df = terms.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    n = every.agg(F.count(F.lit(1))).scalar()
+    weight = (1 + F.log(F.col("tf").cast("double"))) * (F.log((1 + n) / (1 + F.col("df")).cast("double")) + 1)
+    weighed = terms.join(df, "term").select("key", "t", "term", weight.alias("w"))
+    norms = weighed.groupBy("key", "t").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
+    index = weighed.where("t is not null").join(norms.where("t is not null").select("t", "norm"), "t").select("term", "t", (F.col("w") / F.col("norm")).alias("u"))
+    dots = weighed.where("t is null").select("key", "term", "w").join(F.broadcast(index), "term").groupBy("key", "t").agg(F.sum(F.col("w") * F.col("u")).alias("dot"))
+    scores = dots.join(norms.where("t is null").select("key", "norm"), "key").select("key", "t", F.round(F.col("dot") / F.col("norm"), 6).alias("score"))
+    fit = scores.where(F.col("score") >= threshold).join(F.broadcast(known.select("t", "license")), "t")
+    return fit.groupBy("key").agg(F.min(F.struct((-F.col("score")).alias("s"), "license")).alias("b")).select("key", F.col("b.license").alias("license"), (-F.col("b.s")).alias("score"))
+
+
+def parts(files: DataFrame) -> DataFrame:
+    """path, rank, notice of ``files`` (path, text): whole licence files (0); their first lines, runs of adjacent notice lines and SPDX tags (1)."""
+    flat = lambda x: F.trim(F.regexp_replace(F.regexp_replace(x, HOLDER, ""), r"[\s\x01]+|\*/|-->", " "))
+    named = F.coalesce(F.regexp_extract("path", r"[^/]*$", 0).rlike(NAMES), F.lit(False))
+    rows = files.where(F.col("text").rlike(MARK) | (named & F.col("text").isNotNull()))
+    marked = F.regexp_replace(F.regexp_replace("text", "\r\n?", "\n"), COMMENT, "\x01")
+    apart = F.regexp_replace(F.regexp_replace(marked, r"(?m)^(\x01.*)\n(?=[^\x01\n])", "$1\n\n"), r"(?m)^([^\x01\n].*)\n(?=\x01)", "$1\n\n")
+    runs = F.filter(F.split(apart, r"\n(?:[ \t]*\n)+"), lambda x: x.rlike(MARK) & F.trim(x).contains("\n"))
+    head = F.filter(F.split(marked, "\n"), lambda x: x.rlike(r"\w"))
+    heads = F.when(named, F.array(F.get(head, F.lit(0)), F.array_join(F.slice(head, 1, 2), "\n"))).otherwise(F.array())
+    tags = F.regexp_extract_all("text", F.lit(SPDX), F.lit(0))
+    whole = F.struct(F.lit(0).alias("rank"), flat(marked).alias("notice"))
+    each = F.transform(F.filter(F.concat(heads, runs, tags), lambda x: x.isNotNull()), lambda x: F.struct(F.lit(1).alias("rank"), flat(x).alias("notice")))
+    found = F.array_distinct(F.concat(F.when(named, F.array(whole)).otherwise(F.array()), each))
+    return rows.select("path", F.inline(found)).where("notice <> ''")
+
+
 def scan(files: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """``files`` (path, text and any other columns) with the licence of each.
 
@@ -78,7 +179,11 @@ def scan(files: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     lines = F.array_distinct(F.transform(lines, lambda x: F.trim(F.regexp_replace(x, r"[\s]+", " "))))
     headers = kept.where(F.col("text").rlike(MARK)).select("path", F.explode(lines).alias("line"))
     found = match_lines(headers.select("line").distinct(), threshold)
-    own = headers.join(found, "line").groupBy("path").agg(F.min(F.struct((-F.col("score")).alias("s"), "license")).alias("b"))
+    fits = headers.join(found, "line").select("path", F.lit(2).alias("rank"), "license", "score")
+    noted = written(parts(kept.select("path", "text")).withColumn("key", F.md5(F.col("notice").cast("binary"))), "notices")
+    found = written(match_notices(noted.select("key", "notice").dropDuplicates(["key"]), threshold), "matches")
+    fits = fits.unionByName(noted.select("path", "rank", "key").join(found, "key").select("path", "rank", "license", "score"))
+    own = fits.groupBy("path").agg(F.min(F.struct("rank", (-F.col("score")).alias("s"), "license")).alias("b"))
     own = own.select("path", F.col("b.license").alias("own_license"), (-F.col("b.s")).alias("own_score"))
     givers = own.where(F.regexp_extract("path", r"[^/]*$", 0).rlike(NAMES)).groupBy(directory(F.col("path")).alias("license_dir"))
     givers = givers.agg(F.min(F.struct((-F.col("own_score")).alias("s"), F.col("own_license").alias("l"))).alias("b")).select("license_dir", F.col("b.l").alias("given"))

@@ -40,3 +40,37 @@ def test_query(spark):
     got = sorted((tuple(r[c] for c in sorted(names)) for r in df.collect()), key=str)
     assert got == want and any(r[names.index("license_dir") if False else 0] is not None for r in got)
     assert df.where("own_license is not null").count() >= 30 and df.where("license is not null and own_license is null").count() > 0
+
+
+def test_whole_files_and_headers(spark):
+    from pathlib import Path
+
+    import inkwell.llm.licenses as module
+
+    text = lambda name: (Path(module.__file__).parent / "license_texts" / f"{name}.txt").read_text()
+    apache = [x.strip() for x in text("Apache-2.0").split("Licensed under the Apache License")[1].split("\n")]
+    apache = ["Copyright 2019 The Example Authors", "", "Licensed under the Apache License" + apache[0], *apache[1:]]
+    gpl = "This program is free software: you can redistribute it and/or modify\nit under the terms of the GNU General Public License as published by\nthe Free Software Foundation, either version 3 of the License, or\n(at your option) any later version.\n"
+    mit = "\n\nCopyright (c) 2021 Jane Q. Example\n\n" + text("MIT")
+    rows = [
+        ("a/LICENSE", "MIT License" + mit, "MIT"),
+        ("b/LICENSE.txt", "The MIT License (MIT)" + mit, "MIT"),
+        ("c/COPYING", text("GPL-3.0"), "GPL-3.0"),
+        ("d/COPYING", text("GPL-2.0"), "GPL-2.0"),
+        ("e/LICENSE", text("MPL-2.0"), "MPL-2.0"),
+        ("f/LICENSE", text("Apache-2.0"), "Apache-2.0"),
+        ("g/LICENSE", "Copyright (c) 2020, Someone\nAll rights reserved.\n\n" + text("BSD-3-Clause"), "BSD-3-Clause"),
+        ("h/LICENSE", text("BSD-2-Clause"), "BSD-2-Clause"),
+        ("i/COPYING.LESSER", text("LGPL-3.0"), "LGPL-3.0"),
+        ("j/x.py", "#!/usr/bin/env python\n" + "\n".join(f"# {x}".rstrip() for x in apache) + "\nimport os\n", "Apache-2.0"),
+        ("k/x.c", "/*\n" + "\n".join(f" * {x}" for x in gpl.split("\n")) + "\n */\nint main() {}\n", "GPL-3.0"),
+        ("l/x.go", "// SPDX-License-Identifier: BSD-3-Clause\npackage x\n", "BSD-3-Clause"),
+        ("m/x.rs", "// SPDX-License-Identifier: GPL-2.0-or-later\n", "GPL-2.0"),
+        ("n/x.txt", "A long tale\nof a license to kill and\nother such matters\n", None),
+        ("o/LICENSE", "All of it is mine. You may read it on Sundays, after lunch, aloud.\nNot otherwise.", None),
+        ("p/LICENSE", "Apache License\nVersion 2.0, January 2004\n\nsee the site", "Apache-2.0"),
+        ("a/deep/er/y.txt", "words", None),
+    ]
+    got = {r.path: (r.own_license, r.license) for r in scan(spark.createDataFrame([r[:2] for r in rows], "path string, text string")).collect()}
+    assert {p: got[p][0] for p, _, _ in rows} == {p: n for p, _, n in rows}
+    assert got["a/deep/er/y.txt"][1] == "MIT"
