@@ -11,7 +11,7 @@ directory.  Each distinct directory is looked up once, by joins on its
 ancestors' paths.
 
 Beside the lines, *notices* are compared in the same way, as a collection of
-their own, to full texts, headers, titles and SPDX tags (:func:`notices`): the
+their own (copies count as often as they occur), to full texts, headers, titles and SPDX tags (:func:`notices`): the
 whole text of a licence file, its first lines, and every run of adjacent
 comment or notice lines that has a licence word.  Comment marks and lines of
 copyright holders are no part of them.  A file takes the licence of its whole
@@ -32,6 +32,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from inkwell.llm._spill import written
+from inkwell.llm.quality import bound
 
 #: Words that make a line a header, and names of licence files.
 MARK = r"(?i)licen[cs]e|copyright|spdx|public domain"
@@ -131,26 +132,48 @@ def notices() -> list[tuple[str, str]]:
     return out
 
 
+def term_counts(text: Column) -> Column:
+    """array<struct<term, n>> of the distinct tokens of a text: runs of equal ones in sorted order, so no row leaves its task."""
+    runs = lambda own: F.filter(F.sequence(F.lit(0), F.size(own) - 1), lambda i: (i == 0) | (F.get(own, i) != F.get(own, i - 1)))
+    each = lambda own: bound(runs(own), lambda at: F.transform(at, lambda i, k: F.struct(F.get(own, i).alias("term"), (F.coalesce(F.get(at, k + 1), F.size(own)) - i).alias("n"))))
+    return bound(F.sort_array(tokens(text)), lambda own: F.when(F.size(own) > 0, each(own)))
+
+
 def match_notices(given: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """Distinct ``given`` (key, notice) that fit one of :func:`notices`: key, license, score (rounded to 6 places)."""
+    """``given`` (key, notice; a key names one text) that fit one of :func:`notices`: key, license, score (rounded to 6 places).
+
+    A notice's weights outside the templates' words are at least
+    ``1 + log tf`` each, so those words alone tell that most texts cannot reach
+    the threshold: only the words of the others meet the document frequencies.
+    """
     spark = given.sparkSession
     known = spark.createDataFrame([(i, a, b) for i, (a, b) in enumerate(notices())], "t int, license string, notice string")
-    every = given.select("key", F.lit(None).cast("int").alias("t"), "notice").unionByName(known.select(F.lit(None).cast("string").alias("key"), "t", "notice"))
-    terms = written(every.select("key", "t", F.explode(tokens(F.col("notice"))).alias("term")).groupBy("key", "t", "term").agg(F.count(F.lit(1)).alias("tf")), "terms")
-    df = terms.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    n = every.agg(F.count(F.lit(1))).scalar()
-    weight = (1 + F.log(F.col("tf").cast("double"))) * (F.log((1 + n) / (1 + F.col("df")).cast("double")) + 1)
-    weighed = terms.join(df, "term").select("key", "t", "term", weight.alias("w"))
-    norms = weighed.groupBy("key", "t").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
-    index = weighed.where("t is not null").join(norms.where("t is not null").select("t", "norm"), "t").select("term", "t", (F.col("w") / F.col("norm")).alias("u"))
-    dots = weighed.where("t is null").select("key", "term", "w").join(F.broadcast(index), "term").groupBy("key", "t").agg(F.sum(F.col("w") * F.col("u")).alias("dot"))
-    scores = dots.join(norms.where("t is null").select("key", "norm"), "key").select("key", "t", F.round(F.col("dot") / F.col("norm"), 6).alias("score"))
+    own = known.select("t", F.inline(term_counts(F.col("notice"))))
+    theirs = given.select("key", F.inline(term_counts(F.col("notice"))))
+    df = written(theirs.select("term").unionByName(own.select("term")).groupBy("term").agg(F.count(F.lit(1)).alias("df")), "frequencies")
+    n = given.agg(F.count(F.lit(1)) + F.lit(known.count())).scalar()
+    idf = F.log((1 + n) / (1 + F.col("df")).cast("double")) + 1
+    tf = 1 + F.log(F.col("n").cast("double"))
+    words = df.join(F.broadcast(own.select("term").distinct()), "term").select("term", idf.alias("idf"))  # of fixed size
+    bounds = theirs.join(F.broadcast(words), "term", "left").groupBy("key").agg(
+        F.sum(F.when(F.col("idf").isNotNull(), (tf * F.col("idf")) ** 2)).alias("inside"), F.sum(F.when(F.col("idf").isNull(), tf**2).otherwise(0.0)).alias("outside")
+    )
+    rest = 1 / (threshold - 1e-5) ** 2 - 1
+    able = bounds.where(F.col("outside") <= F.col("inside") * rest).select("key")
+    texts = written(given.join(able, "key", "left_semi").dropDuplicates(["key"]), "able")
+    weighed = texts.select("key", F.inline(term_counts(F.col("notice")))).join(df, "term").select("key", "term", (tf * idf).alias("w"))
+    norms = weighed.groupBy("key").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
+    mine = own.join(F.broadcast(words), "term").select("t", "term", (tf * F.col("idf")).alias("w"))
+    lengths = mine.groupBy("t").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
+    index = mine.join(lengths, "t").select("term", "t", (F.col("w") / F.col("norm")).alias("u"))
+    dots = weighed.join(F.broadcast(index), "term").groupBy("key", "t").agg(F.sum(F.col("w") * F.col("u")).alias("dot"))
+    scores = dots.join(norms, "key").select("key", "t", F.round(F.col("dot") / F.col("norm"), 6).alias("score"))
     fit = scores.where(F.col("score") >= threshold).join(F.broadcast(known.select("t", "license")), "t")
     return fit.groupBy("key").agg(F.min(F.struct((-F.col("score")).alias("s"), "license")).alias("b")).select("key", F.col("b.license").alias("license"), (-F.col("b.s")).alias("score"))
 
 
 def parts(files: DataFrame) -> DataFrame:
-    """path, rank, notice of ``files`` (path, text): whole licence files (0); their first lines, runs of adjacent notice lines and SPDX tags (1)."""
+    """path, rank, notice of ``files`` (path, text): whole licence files (0); their first lines, runs of adjacent notice lines and SPDX tags (1); header lines (2)."""
     flat = lambda x: F.trim(F.regexp_replace(F.regexp_replace(x, HOLDER, ""), r"[\s\x01]+|\*/|-->", " "))
     named = F.coalesce(F.regexp_extract("path", r"[^/]*$", 0).rlike(NAMES), F.lit(False))
     rows = files.where(F.col("text").rlike(MARK) | (named & F.col("text").isNotNull()))
@@ -162,7 +185,9 @@ def parts(files: DataFrame) -> DataFrame:
     tags = F.regexp_extract_all("text", F.lit(SPDX), F.lit(0))
     whole = F.struct(F.lit(0).alias("rank"), flat(marked).alias("notice"))
     each = F.transform(F.filter(F.concat(heads, runs, tags), lambda x: x.isNotNull()), lambda x: F.struct(F.lit(1).alias("rank"), flat(x).alias("notice")))
-    found = F.array_distinct(F.concat(F.when(named, F.array(whole)).otherwise(F.array()), each))
+    lines = F.filter(F.split("text", "\n"), lambda x: x.rlike(MARK))
+    lines = F.transform(lines, lambda x: F.struct(F.lit(2).alias("rank"), F.trim(F.regexp_replace(x, r"[\s]+", " ")).alias("notice")))
+    found = F.array_distinct(F.concat(F.when(named, F.array(whole)).otherwise(F.array()), each, lines))
     return rows.select("path", F.inline(found)).where("notice <> ''")
 
 
@@ -175,14 +200,12 @@ def scan(files: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     new = ["own_license", "own_score", "license", "license_dir"]
     kept = files.drop(*new)
     rows = kept.withColumn("_dir", directory(F.col("path")))
-    lines = F.filter(F.split(F.coalesce("text", F.lit("")), "\n"), lambda x: x.rlike(MARK))
-    lines = F.array_distinct(F.transform(lines, lambda x: F.trim(F.regexp_replace(x, r"[\s]+", " "))))
-    headers = kept.where(F.col("text").rlike(MARK)).select("path", F.explode(lines).alias("line"))
-    found = match_lines(headers.select("line").distinct(), threshold)
-    fits = headers.join(found, "line").select("path", F.lit(2).alias("rank"), "license", "score")
     noted = written(parts(kept.select("path", "text")).withColumn("key", F.md5(F.col("notice").cast("binary"))), "notices")
-    found = written(match_notices(noted.select("key", "notice").dropDuplicates(["key"]), threshold), "matches")
-    fits = fits.unionByName(noted.select("path", "rank", "key").join(found, "key").select("path", "rank", "license", "score"))
+    headers, whole = noted.where("rank = 2"), noted.where("rank < 2")
+    found = match_lines(headers.select(F.col("notice").alias("line")).distinct(), threshold)
+    fits = headers.withColumnRenamed("notice", "line").join(found, "line").select("path", "rank", "license", "score")
+    found = written(match_notices(whole.select("key", "notice"), threshold), "matches")
+    fits = fits.unionByName(whole.select("path", "rank", "key").join(found, "key").select("path", "rank", "license", "score"))
     own = fits.groupBy("path").agg(F.min(F.struct("rank", (-F.col("score")).alias("s"), "license")).alias("b"))
     own = own.select("path", F.col("b.license").alias("own_license"), (-F.col("b.s")).alias("own_score"))
     givers = own.where(F.regexp_extract("path", r"[^/]*$", 0).rlike(NAMES)).groupBy(directory(F.col("path")).alias("license_dir"))
