@@ -8,22 +8,26 @@ root.  All words of a size class are merged in step, one numpy operation for
 all roots, so a merge costs ``O(log n)`` vector operations.
 
 Words of a batch are first made distinct by a 64-bit hash of their characters
-(with a bounded per-task memo), so frequent words are encoded once.
+(with a bounded per-task memo), so frequent words are encoded once; a word takes
+the ids of a remembered one only where all characters are equal.
 
 The vocabulary file is the ``tokenizers`` JSON format with a BPE model,
-``end_of_word_suffix`` and byte-level symbols; its path is a parameter.  The
-file's own normaliser runs as it stands; splitting, merging and decoding are
-done here.
+``end_of_word_suffix`` and byte-level symbols; its path is a parameter.  What
+depends on the Unicode version comes from the library: the file's normaliser
+runs as it stands, but for texts of characters whose normal form is their lower
+case in every version (``STABLE``), and the file's own split says of each code
+point whether it is a letter, a number, white space or another character.
+Splitting, merging and decoding are done here.
 
 Defined results: null or empty text gives no ids and an empty decoding; very
-long words are one tree; added tokens in the text become their ids.
+long words are one tree; added tokens in the text become their ids; rows that
+repeat an id, and rows with a null one, are rows of their own.
 """
 
 from __future__ import annotations
 
 import hashlib
 import json
-import unicodedata
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -32,15 +36,15 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from inkwell.llm._text import flat, mix, ragged, slabs, span_hashes
+from inkwell.llm._text import flat, ragged, slabs, span_hashes
 
 NONE = np.int64(1) << np.int64(60)
 POS = np.int64((1 << 32) - 1)
 LETTER, NUMBER, SPACE, OTHER = 1, 2, 3, 0
 #: Fixed values of the split pattern: the endings that an apostrophe begins.
 ENDINGS = ("s", "t", "re", "ve", "m", "ll", "d")
-#: The white space of the split pattern.
-WHITE = "\t\n\x0b\x0c\r \x85\xa0  -     　"
+#: Ranges of characters that no normal form changes or joins, with lower cases that are settled.
+STABLE = regex.compile("[\x00-\u02ff\u0400-\u0481\u048a-\u052f\u2010-\u2027\u2030-\u205e\u3041-\u3096\u30a1-\u30fa\u4e00-\u9fff\U0001f300-\U0001faff]*")
 MEMO = 1 << 20
 
 
@@ -52,18 +56,18 @@ def byte_symbols() -> list[str]:
 
 
 class Vocabulary:
-    """Tables of one vocabulary file."""
+    """Tables of one vocabulary file; ``runs`` are its :func:`class_runs`."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, runs: tuple[bytes, bytes]):
         from tokenizers import Tokenizer
 
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         vocab, suffix = spec["model"]["vocab"], spec["model"]["end_of_word_suffix"] or ""
         steps = (spec["normalizer"] or {}).get("normalizers", [])
-        plain = [x["type"] for x in steps] == ["NFC", "Replace", "Lowercase"] and steps[1]["pattern"] == {"Regex": "\\s+"}
+        self.plain = [x["type"] for x in steps] == ["NFC", "Replace", "Lowercase"] and steps[1]["pattern"] == {"Regex": "\\s+"}
         own = Tokenizer.from_file(path).normalizer
-        self.normalize = normalize if plain else own.normalize_str if own else str
+        self.own = own.normalize_str if own else str
         symbols = byte_symbols()
         self.inner = np.array([vocab[s] for s in symbols], np.int64)
         self.last = np.array([vocab[s + suffix] for s in symbols], np.int64)
@@ -84,11 +88,14 @@ class Vocabulary:
         self.token_starts = np.cumsum(self.token_lengths) - self.token_lengths
         self.token_bytes = np.frombuffer(b"".join(joined), np.uint8)
         self.cut = regex.compile("|".join(map(regex.escape, sorted(self.added, key=len, reverse=True))) or r"(?!)")
-        self.classes = np.zeros(0x110000, np.uint8)
-        every = "".join(map(chr, [*range(0xD800), *range(0xE000, 0x110000)]))
-        for pattern, kind in ((r"\p{L}", LETTER), (r"\p{N}", NUMBER), (f"[{WHITE}]", SPACE)):
-            found = "".join(regex.findall(f"{pattern}+", every))
-            self.classes[np.frombuffer(found.encode("utf-32-le"), np.uint32)] = kind
+        starts, kinds = np.frombuffer(runs[0], np.uint32), np.frombuffer(runs[1], np.uint8)
+        self.classes = np.repeat(kinds, np.diff(starts, append=np.uint32(0x110000)))
+
+    def normalize(self, text: str) -> str:
+        """The file's normal form, but for white space, which only separates words."""
+        if self.plain and STABLE.fullmatch(text):
+            return text.lower()
+        return self.own(text)
 
     def pair_ranks(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         """Rank of each pair of ids, -1 where there is no such merge."""
@@ -97,16 +104,35 @@ class Vocabulary:
         return np.where(self.keys[at] == key, self.ranks[at], -1)
 
 
-def normalize(text: str) -> str:
-    """NFC, then each character's lower case (no final sigma). White space only separates words, so it stays as it is."""
-    if text.isascii():
-        return text.lower()
-    return unicodedata.normalize("NFC", text).replace("\u03a3", "\u03c3").lower()
+@lru_cache(4)
+def class_runs(path: str) -> tuple[bytes, bytes]:
+    """(first code points, classes) of runs of code points of one class, as the file's own split tells them.
+
+    Each code point stands twice between a letter and a digit: a letter joins
+    the one before it, a number is a piece of its own, other characters join
+    each other, and white space is in no piece.
+    """
+    from tokenizers import Tokenizer
+
+    cut = Tokenizer.from_file(path).pre_tokenizer
+    points = np.concatenate((np.arange(0xD800), np.arange(0xE000, 0x110000)))
+    kinds = np.zeros(0x110000, np.uint8)
+    for part in np.array_split(points, 64):
+        spans = np.array([span for _, span in cut.pre_tokenize_str("".join(f"a{c}{c}1" for c in map(chr, part.tolist())))], np.int64)
+        begins = np.zeros(4 * len(part) + 1, bool)
+        begins[spans[:, 0]] = True
+        inside = np.zeros(4 * len(part) + 1, np.int64)
+        np.add.at(inside, spans[:, 0], 1)
+        np.add.at(inside, spans[:, 1], -1)
+        first, second, held = begins[1:-1:4], begins[2:-1:4], np.cumsum(inside)[1:-1:4] > 0
+        kinds[part] = np.select([~held, ~first, second], [SPACE, LETTER, NUMBER], OTHER)
+    starts = np.flatnonzero(np.diff(kinds, prepend=255))
+    return starts.astype(np.uint32).tobytes(), kinds[starts].tobytes()
 
 
 @lru_cache(4)
-def vocabulary(path: str) -> Vocabulary:
-    return Vocabulary(path)
+def vocabulary(path: str, runs: tuple[bytes, bytes] | None = None) -> Vocabulary:
+    return Vocabulary(path, runs or class_runs(path))
 
 
 def merge_words(vocab: Vocabulary, symbols: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -223,21 +249,33 @@ def split(vocab: Vocabulary, points: np.ndarray, edges: np.ndarray) -> tuple[np.
 
 
 class Encoder:
-    """Encodes slabs of texts; remembers up to MEMO distinct words by hash."""
+    """Encodes slabs of texts; remembers up to MEMO distinct words, found by hash and compared by characters."""
 
-    def __init__(self, path: str):
-        self.vocab = vocabulary(path)
+    def __init__(self, path: str, runs: tuple[bytes, bytes] | None = None):
+        self.vocab = vocabulary(path, runs)
         self._forget()
 
     def _forget(self) -> None:
         self.known = np.zeros(0, np.uint64)
         self.first, self.count = np.zeros(0, np.int64), np.zeros(0, np.int64)
         self.ids = np.zeros(0, np.int64)
-
-    def _words(self, hashes: np.ndarray, points: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        self.begin, self.size = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.chars = np.zeros(0, np.uint32)
+
+    def _encode(self, points: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(where the ids of each word begin in ``self.ids``, how many they are, the words' characters)."""
+        index, bounds = ragged(starts, ends - starts)
+        data, sizes = utf8(points[index])
+        ids, offs = encode_words(self.vocab, data, np.concatenate(([0], np.cumsum(sizes)))[bounds])
+        first = offs[:-1] + len(self.ids)
+        self.ids = np.concatenate((self.ids, ids))
+        return first, np.diff(offs), points[index]
+
+    def _words(self, points: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Where in ``self.ids`` the ids of each word begin, and how many they are."""
+        hashes = span_hashes(points.view(np.uint8), 4 * starts, 4 * ends)
         unique, sample, inverse = np.unique(hashes, return_index=True, return_inverse=True)
-        if len(self.known) > MEMO or len(self.ids) > 4 * MEMO:
+        if max(len(self.known), len(self.ids) // 4, len(self.chars) // 16) > MEMO:
             self._forget()
         at = np.searchsorted(self.known, unique)
         new = np.ones(len(unique), bool)
@@ -245,18 +283,23 @@ class Encoder:
         new[near] = self.known[at[near]] != unique[near]
         if new.any():
             s, e = starts[sample[new]], ends[sample[new]]
-            index, bounds = ragged(s, e - s)
-            data, sizes = utf8(points[index])
-            sums = np.concatenate(([0], np.cumsum(sizes)))
-            ids, offs = encode_words(self.vocab, data, sums[bounds])
-            known = np.concatenate((self.known, unique[new]))
-            order = np.argsort(known, kind="stable")
-            self.known = known[order]
-            self.first = np.concatenate((self.first, offs[:-1] + len(self.ids)))[order]
-            self.count = np.concatenate((self.count, np.diff(offs)))[order]
-            self.ids = np.concatenate((self.ids, ids))
+            begin = len(self.chars) + np.cumsum(e - s) - (e - s)
+            first, count, chars = self._encode(points, s, e)
+            order = np.argsort(np.concatenate((self.known, unique[new])), kind="stable")
+            for name, more in (("known", unique[new]), ("first", first), ("count", count), ("begin", begin), ("size", e - s)):
+                setattr(self, name, np.concatenate((getattr(self, name), more))[order])
+            self.chars = np.concatenate((self.chars, chars))
             at = np.searchsorted(self.known, unique)
-        return self.first[at][inverse], self.count[at][inverse]
+        mine, lengths = at[inverse], ends - starts
+        same = self.size[mine] == lengths
+        here, bounds = ragged(starts[same], lengths[same])
+        there, _ = ragged(self.begin[mine[same]], lengths[same])
+        if len(here):
+            same[same] = np.logical_and.reduceat(points[here] == self.chars[there], bounds[:-1])
+        first, count = self.first[mine], self.count[mine]
+        if not same.all():  # words that share a hash with another one
+            first[~same], count[~same], _ = self._encode(points, starts[~same], ends[~same])
+        return first, count
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """(ids, offsets) of the texts."""
@@ -282,8 +325,7 @@ class Encoder:
         points = np.frombuffer("".join(pieces).encode("utf-32-le"), np.uint32)
         starts, ends = split(self.vocab, points, edges)
         if len(starts):
-            hashes = span_hashes(mix(points.astype(np.uint64)) | np.uint64(1), starts, ends)
-            first, count = self._words(hashes, points, starts, ends)
+            first, count = self._words(points, starts, ends)
         else:
             first = count = np.zeros(0, np.int64)
         row_of = np.array(rows, np.int64)[np.searchsorted(edges, starts, "right") - 1] if len(starts) else np.zeros(0, np.int64)
@@ -331,9 +373,10 @@ def encode(docs: DataFrame, path: str, keep: list[str] | None = None, decoded: b
 
     schema = StructType([*kept, *StructType.fromDDL(extra).fields])
     need = list(dict.fromkeys([*keep, "text"]))
+    runs = class_runs(path)  # a few thousand, of the library on the driver; tasks need not work them out again
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(path)
+        encoder = Encoder(path, runs)
         for slab in slabs(batches, limit=3 << 20):
             column = slab.column(slab.schema.get_field_index("text"))
             ids, offs = encoder.encode([t or "" for t in column.to_pylist()])
