@@ -17,13 +17,15 @@ runs out, a new phase begins with the others' weights scaled up; no row is
 dropped or repeated.  Sources without a target weight come last, by their sizes.
 
 The slots of blocks follow from each other, so one task works them out: it
-reads the kinds and writes a row for each block, none for a row of ``docs``.
-Places within a source come from counts by hash bucket and a window within a
+reads the kinds and writes a row for each block, none for a row of ``docs``; a
+million blocks take it about three seconds, so ``block_rows`` is to grow with
+the corpus (with 8,192, ten billion rows are a million blocks).  Places within a source come from counts by hash bucket and a window within a
 bucket of about ``BUCKET_ROWS`` rows, so a hot source is never in one task; a
-bucket brings the slots of its blocks along.
+bucket brings the slots of its blocks along.  Where a key repeats so often that
+a bucket of it gets too large, rows are dealt by key and row number instead.
 
-Defined results: a null source is a source of its own; repeated rows are rows
-of their own; an empty table gives an empty schedule; equal deadlines go to the
+Defined results: a null source is a source of its own; repeated rows, repeated
+ids and null ids are rows of their own; an empty table gives an empty schedule; equal deadlines go to the
 kind of less weight, then of fewer blocks.
 """
 
@@ -31,95 +33,21 @@ from __future__ import annotations
 
 import heapq
 from collections.abc import Iterator
-from dataclasses import dataclass
 from fractions import Fraction
 from math import ceil, lcm
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from inkwell.llm._spill import written
+from inkwell.llm._spill import discard, numbered, written
 
 BLOCK_ROWS = 8
 BUCKET_ROWS = 4096
-PERIOD = 1024
 NO_SOURCE = "\x00"
 SLOT = "kind int, i long, phase int, slot long, release long, due long"
 
 
-# shares, one_period and plan are the schedule of weights rounded to a period: tests hold it, schedule() doesn't use it.
-
-
-def shares(weights: dict[str, float], period: int) -> dict[str, int]:
-    """Whole shares of ``period``, at least 1 each, by largest remainders."""
-    total = sum(weights.values())
-    exact = {s: w / total * (period - len(weights)) for s, w in weights.items()}
-    out = {s: 1 + int(e) for s, e in exact.items()}
-    for s in sorted(weights, key=lambda s: (int(exact[s]) - exact[s], s))[: period - sum(out.values())]:
-        out[s] += 1
-    return out
-
-
-def one_period(share: dict[str, int]) -> dict[str, list[int]]:
-    """Slots of each source in one period, by earliest deadline among the released blocks; ties by name."""
-    period = sum(share.values())
-    arrivals: list[list[tuple[int, str, int]]] = [[] for _ in range(period)]
-    for s, p in share.items():
-        for j in range(p):
-            arrivals[j * period // p].append((-(-(j + 1) * period // p), s, j))
-    ready: list[tuple[int, str, int]] = []
-    out: dict[str, list[int]] = {s: [] for s in share}
-    for slot in range(period):
-        for block in arrivals[slot]:
-            heapq.heappush(ready, block)
-        deadline, s, _ = heapq.heappop(ready)
-        if slot >= deadline:
-            raise AssertionError("a block missed its deadline")
-        out[s].append(slot)
-    return out
-
-
-@dataclass(frozen=True)
-class Phase:
-    """From slot ``base`` a source's blocks ``first`` to ``first + count`` have ``share`` of ``period`` slots."""
-
-    source: str
-    phase: int
-    base: int
-    first: int
-    count: int
-    share: int
-    period: int
-    pattern: list[int]
-
-
-def plan(blocks: dict[str, int], weights: dict[str, float] | None = None) -> list[Phase]:
-    """Phases for sources of so many blocks; weights default to the square roots of the sizes."""
-    weights = {s: n**0.5 for s, n in blocks.items()} if weights is None else weights
-    left = {s: n for s, n in blocks.items() if n > 0}
-    done = dict.fromkeys(left, 0)
-    base, phases = 0, []
-    number = 0
-    while left:
-        active = {s: weights[s] for s in left if weights.get(s, 0) > 0} or {s: float(n) for s, n in left.items()}
-        period = max(PERIOD, 4 * len(active))
-        share = shares(active, period)
-        pattern = one_period(share)
-        ends = {s: (left[s] - 1) // share[s] * period + pattern[s][(left[s] - 1) % share[s]] for s in active}
-        length = min(ends.values()) + 1
-        for s in active:
-            used = length // period * share[s] + sum(x < length % period for x in pattern[s])
-            if used:
-                phases.append(Phase(s, number, base, done[s], used, share[s], period, pattern[s]))
-            done[s] += used
-            left[s] -= used
-        left = {s: n for s, n in left.items() if n}
-        base += length
-        number += 1
-    return phases
-
-
 def slots(kinds: list[tuple[float, int, int]]) -> Iterator[tuple[int, int, int, int, int, int]]:
     """(kind, i, phase, slot, release, due) of every block, slot by slot, for kinds of (weight, blocks, sources).
 
@@ -194,7 +122,7 @@ def _sources(spark, rows: DataFrame, weights: dict[str, float] | None, block_row
     return placed, [f[:3] for f in found], max((f[3] for f in found), default=0)
 
 
-def schedule(docs: DataFrame, weights: dict[str, float] | None = None, source: str = "source", key: str = "doc_id", block_rows: int = BLOCK_ROWS) -> DataFrame:
+def schedule(docs: DataFrame, weights: dict[str, float] | None = None, source: str = "source", key: str = "doc_id", block_rows: int = BLOCK_ROWS, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
     """``docs`` with phase, block, slot, release, due (of the block) and place (within it).
 
     ``(slot, place)`` is the mixed order.  Columns of those names in ``docs``
@@ -203,21 +131,31 @@ def schedule(docs: DataFrame, weights: dict[str, float] | None = None, source: s
     spark = docs.sparkSession
     new = ["phase", "block", "slot", "release", "due", "place"]
     kept = docs.drop(*new)
-    name, hashed = F.coalesce(F.col(source).cast("string"), F.lit(NO_SOURCE)), F.xxhash64(F.col(key))
+    ties = F.xxhash64(*[f.name for f in kept.schema if "map<" not in f.dataType.simpleString()])  # so that a task run again deals equal keys alike
+    name, order = F.coalesce(F.col(source).cast("string"), F.lit(NO_SOURCE)), [F.xxhash64(F.col(key)), F.col(key), ties]
     sources, kinds, largest = _sources(spark, docs.select(name.alias("_s")), weights, block_rows)
-    bucket = F.pmod(hashed, F.lit(max(1, ceil(largest / BUCKET_ROWS))))
-    counts = docs.groupBy(name.alias("_s"), bucket.alias("_b")).agg(F.count(F.lit(1)).alias("_n"))
+    spots = F.lit(max(1, ceil(largest / bucket_rows)))
+
+    def dealt(rows: DataFrame, hashed: Column) -> DataFrame:
+        return written(rows.groupBy(name.alias("_s"), F.pmod(hashed, spots).alias("_b")).agg(F.count(F.lit(1)).alias("_n")), "buckets")
+
+    counts = dealt(docs, order[0])
+    if (counts.agg(F.max("_n")).first()[0] or 0) > 4 * bucket_rows:  # a key that repeats
+        kept = numbered(kept, "_row")
+        order = [F.xxhash64(F.col(key), "_row"), F.col("_row")]
+        discard(counts)
+        counts = dealt(kept, order[0])
     offset = F.coalesce(F.sum("_n").over(Window.partitionBy("_s").orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     block = lambda k: F.floor(k / block_rows)
     spans = counts.withColumn("_before", offset).withColumn("block", F.explode(F.sequence(block(F.col("_before")), block(F.col("_before") + F.col("_n") - 1))))
     spans = spans.join(sources, "_s").withColumn("i", F.col("block") * F.col("_m") + F.col("_c")).join(_slot_table(spark, kinds), ["kind", "i"])
     found = F.array_sort(F.collect_list(F.struct("block", "phase", "slot", "release", "due")))
     spans = spans.groupBy("_s", "_b").agg(F.first("_before").alias("_before"), found.alias("_slots"))
-    within = F.row_number().over(Window.partitionBy("_s", "_b").orderBy(hashed, F.col(key)))
-    ranked = kept.withColumns({"_s": name, "_b": bucket}).withColumn("_r", within).join(spans, ["_s", "_b"])
+    within = F.row_number().over(Window.partitionBy("_s", "_b").orderBy(*order))
+    ranked = kept.withColumns({"_s": name, "_b": F.pmod(order[0], spots)}).withColumn("_r", within).join(spans, ["_s", "_b"])
     k = F.col("_before") + F.col("_r") - 1
     at = F.get("_slots", (block(k) - block(F.col("_before"))).cast("int"))
-    return ranked.withColumns({c: at[c] for c in new[:-1]} | {"place": (k % block_rows).cast("int")}).select(*kept.columns, *new)
+    return ranked.withColumns({c: at[c] for c in new[:-1]} | {"place": (k % block_rows).cast("int")}).select(*[c for c in docs.columns if c not in new], *new)
 
 
 def mixed(docs: DataFrame, weights: dict[str, float] | None = None, order: bool = False, **options) -> DataFrame:

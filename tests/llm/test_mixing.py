@@ -3,53 +3,7 @@ from fractions import Fraction
 
 from pyspark.sql import functions as F
 
-from inkwell.llm.mixing import BLOCK_ROWS, mixed, one_period, plan, schedule, shares, slots
-
-
-def test_period_is_fair():
-    for weights in ({"a": 1.0}, {"a": 9, "b": 0.5, "c": 0.5}, {f"s{i}": 1 / (i + 1) for i in range(20)}):
-        share = shares(weights, 1024)
-        assert sum(share.values()) == 1024
-        pattern = one_period(share)
-        for s, slots in pattern.items():
-            w = Fraction(share[s], 1024)
-            for t in range(1025):
-                assert abs(sum(x < t for x in slots[: int(w * t) + 2]) - w * t) < 1
-
-
-def brute(blocks, weights):
-    """Slot of each (source, block): earliest deadline first in every phase, slot by slot."""
-    left, done, out, t = dict(blocks), Counter(), {}, 0
-    while any(left.values()):
-        active = {s: weights[s] for s, n in left.items() if n and weights.get(s, 0) > 0} or {s: float(n) for s, n in left.items() if n}
-        period = max(1024, 4 * len(active))
-        share = shares(active, period)
-        first, base = dict(done), t
-        while True:
-            ready = []
-            for s in active:
-                j = done[s] - first.get(s, 0)
-                if j * period // share[s] <= t - base:
-                    ready.append((-(-(j + 1) * period // share[s]), s))
-            _, s = min(ready)
-            out[s, done[s]] = t
-            done[s] += 1
-            left[s] -= 1
-            t += 1
-            if not left[s]:
-                break
-    return out
-
-
-def test_plan_against_slots():
-    blocks = {"a": 700, "b": 90, "c": 13, "d": 400, "e": 1}
-    for weights in ({s: n**0.5 for s, n in blocks.items()}, {"a": 0.5, "b": 0.3, "c": 0.2}):
-        want = brute(blocks, weights)
-        got = {}
-        for p in plan(blocks, weights):
-            for j in range(p.count):
-                got[p.source, p.first + j] = p.base + j // p.share * p.period + p.pattern[j % p.share]
-        assert got == want and sorted(got.values()) == list(range(sum(blocks.values())))
+from inkwell.llm.mixing import BLOCK_ROWS, mixed, schedule, slots
 
 
 def test_rows(spark):
@@ -75,7 +29,7 @@ def test_rows(spark):
 
 
 def test_target_weights_over_many_periods():
-    for weights in ([0.5] + [0.5 / 19] * 19, [0.9999, 0.0001], [1 / 3, 2 / 3], [n**0.5 for n in (7, 90, 2000)]):
+    for weights in ([0.7, 0.0002, 0.2998], [0.5, 0.2001, 0.2999], [0.5] + [0.5 / 19] * 19, [0.9999, 0.0001], [1 / 3, 2 / 3], [n**0.5 for n in (7, 90, 2000)]):
         exact = [Fraction(w) / sum(map(Fraction, weights)) for w in weights]
         had = Counter()
         for (k, i, phase, slot, release, due), _ in zip(slots([(w, 10**6, 1) for w in weights]), range(20000)):
@@ -110,3 +64,49 @@ def test_many_sources(spark):
             start = [r for r in out if r.phase == 0]
             had = Counter(s for s, _ in {(r.source, r.block) for r in start})
             assert all(abs(had[s] - w * len({r.slot for r in start})) < 1 for s, w in weights.items())
+
+
+def test_a_million_slots():
+    exact = [Fraction(w) / sum(map(Fraction, (0.7, 0.0002, 0.2998))) for w in (0.7, 0.0002, 0.2998)]
+    had = [0, 0, 0]
+    for (k, *_), t in zip(slots([(w, 10**7, 1) for w in (0.7, 0.0002, 0.2998)]), range(1, 10**6 + 1)):
+        had[k] += 1
+        if t % 501 == 0:
+            assert all(abs(n - w * t) < 1 for n, w in zip(had, exact))
+
+
+def brute_slots(blocks, weights):
+    """Slot of each (source, block): earliest deadline first in every phase, slot by slot; ties to the lesser weight."""
+    left, done, out, t = dict(blocks), Counter(), {}, 0
+    while any(left.values()):
+        active = {s: Fraction(weights[s]) for s, n in left.items() if n and weights[s]} or {s: Fraction(n) for s, n in left.items() if n}
+        total, first, base = sum(active.values()), dict(done), t
+        while all(left[s] for s in active):
+            ready = []
+            for s, w in active.items():
+                j = done[s] - first.get(s, 0)
+                if j * total // w <= t - base:
+                    ready.append((-(-(j + 1) * total // w), weights[s], blocks[s], s))
+            s = min(ready)[-1]
+            out[s, done[s]] = t
+            done[s] += 1
+            left[s] -= 1
+            t += 1
+    return out
+
+
+def test_slots_against_brute_force():
+    blocks = {"a": 300, "b": 90, "c": 13, "d": 200, "e": 1}
+    for weights in ({s: n**0.5 for s, n in blocks.items()}, {"a": 0.5, "b": 0.3, "c": 0.2, "d": 0, "e": 0}):
+        names = sorted(blocks, key=lambda s: (weights[s], blocks[s]))
+        got = {(names[k], i): slot for k, i, _, slot, *_ in slots([(weights[s], blocks[s], 1) for s in names])}
+        assert got == brute_slots(blocks, weights)
+
+
+def test_repeated_and_null_keys(spark):
+    rows = [(None if i % 3 else 7, "s") for i in range(3000)] + [(i, "t") for i in range(100)]
+    out = schedule(spark.createDataFrame(rows, "doc_id long, source string").repartition(3), bucket_rows=64)
+    assert out.columns == ["doc_id", "source", "phase", "block", "slot", "release", "due", "place"]
+    got = out.collect()
+    assert len(got) == 3100 and len({(r.slot, r.place) for r in got}) == 3100
+    assert Counter((r.doc_id, r.source) for r in got) == Counter(rows)
