@@ -14,21 +14,31 @@
    unless their members are already connected.
 3. *Large blocks.*  Each tile also holds the pivot of its block and size class,
    so near copies connect through it in linear work.  Then only members outside
-   the block's main component meet the tiles of neighbouring size classes.
-
-No link is lost: components are those of all pairs at the threshold.  Defined
-results: a text without words has an empty set and links with nothing; with
+   the block's main component meet others, of neighbouring size classes: those
+   that hold one of their kept shingles, which a linked pair always shares.
+   Holders of a shingle with more than ``RARE`` of them meet in tiles of that
+   shingle; the others' partners are gathered for groups of members first, so
+   that a chain of texts takes linear work as well.
+
+A tile has at most ``tile`` members and about ``TILE_SHINGLES`` shingles, so it
+fits in memory whatever the length of the texts.  Sets are told apart by SHA-256
+of their shingles; a node's name is the first half of it, and sets whose names
+clash get others.  No link is lost: components are those of all pairs at the
+threshold, up to clashes of 64-bit hashes of words and shingles.
+
+Defined results: a text without words has an empty set and links with nothing; with
 fewer words than ``words_each`` the whole sequence is one shingle.  Rows with a
 null id link with nothing; rows that repeat an id are one member for each text.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import hashlib
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from inkwell.llm._exchange import REQUEST, chunk_ids, counted, parts_for, read_answer, request
@@ -38,6 +48,7 @@ from inkwell.llm._text import flat, lower, mix, pack, pack_sorted, ragged, slabs
 
 NUM, DEN, WORDS = 80, 100, 5
 TILE, FAN = 256, 8
+TILE_SHINGLES, RARE, GATHERED = 1 << 20, 32, 64
 CHUNK_BYTES = 4 << 20
 STEP = np.uint64(0xC2B2AE3D27D4EB4F)
 
@@ -184,7 +195,7 @@ def _sets(column: pa.ChunkedArray) -> list[np.ndarray]:
 
 def _inside(table: pa.Table) -> pa.Table:
     """Links found among the members of a tile."""
-    ids = np.asarray(table.column("doc_id"))
+    ids = np.asarray(table.column("node"))
     ids, keep = np.unique(ids, return_index=True)  # a pivot may be in its own tile
     sets = _sets(table.column("set").take(pa.array(keep)))
     tree, forest, edges = Tree(sets), Forest(), []
@@ -198,14 +209,14 @@ def _inside(table: pa.Table) -> pa.Table:
 
 def _between(table: pa.Table) -> pa.Table:
     """Links between members outside the main component and a tile; members know their components."""
-    roots = dict(zip(table.column("doc_id").to_pylist(), table.column("root").to_pylist(), strict=True))
+    roots = dict(zip(table.column("node").to_pylist(), table.column("root").to_pylist(), strict=True))
     sides = []
     for side in (0, 1):
         part = table.filter(pa.array(np.asarray(table.column("side")) == side))
         if not part.num_rows:
             return pa.table({"u": pa.array([], pa.int64()), "v": pa.array([], pa.int64())})
         tree = Tree(_sets(part.column("set")))
-        sides.append((tree, np.asarray(part.column("doc_id"))[tree.order].tolist()))
+        sides.append((tree, np.asarray(part.column("node"))[tree.order].tolist()))
     forest, edges = Forest(), []
     (left, ids), (right, others) = sides
     for i, j in zip(*(x.tolist() for x in dual(left, right)), strict=True):
@@ -244,31 +255,33 @@ def _open(row: dict) -> tuple[np.ndarray, np.ndarray]:
     return stretch(row["text"]), unpack(row["offsets"], np.int64)
 
 
-def _members(left: pa.Table, right: pa.Table) -> pa.Table:
-    """A row for each document of a chunk; the set and the shared prefix shingles only for candidates."""
-    row = left.to_pylist()[0]
-    sets, bound, keys, inverse = _keyed(*_open(row))
-    count = read_answer(right, 1)[0]
-    shared = (count > 1)[inverse] if len(keys) else np.zeros(0, bool)
-    n = np.concatenate(([0], np.cumsum(shared)))[bound]
-    size = np.diff(bound)
-    candidate = (np.diff(n) >= need(size)) & (size > 0)
-    twin = mix(sets ^ STEP)
-    out = {"doc_id": unpack(row["doc_ids"], np.int64), "n_shingles": size}
-    candidate &= out["doc_id"] != NO_ID
-    for name, value in (("high", mix(sets)), ("low", twin)):
-        total = np.concatenate((np.zeros(1, np.uint64), np.cumsum(value)))
-        out[name] = mix(total[bound[1:]] - total[bound[:-1]]).view(np.int64)
-
-    owner = np.repeat(np.arange(len(size)), np.diff(bound))
-    often = count.astype(np.int64)[inverse] if len(keys) else np.zeros(0, np.int64)
-    order = np.lexsort((sets, often, ~shared, owner))  # of each document: shared first, rarest first
-    rank = np.empty(len(order), np.int64)
-    rank[order] = np.arange(len(order)) - np.repeat(bound[:-1], np.diff(bound))
-    shared &= rank < np.repeat(np.diff(n) - need(size) + 1, np.diff(bound))
-    out["set"] = pa.array([sets[a:b].tobytes() if c else None for a, b, c in zip(bound[:-1].tolist(), bound[1:].tolist(), candidate.tolist(), strict=True)], pa.binary())
-    out["shared"] = pa.array([sets[a:b][shared[a:b]].tobytes() if c else None for a, b, c in zip(bound[:-1].tolist(), bound[1:].tolist(), candidate.tolist(), strict=True)], pa.binary())
-    return pa.table(out)
+def _members(name_bits: int) -> Callable[[pa.Table, pa.Table], pa.Table]:
+    """A row for each document of a chunk; the set, its SHA-256 and the kept shared shingles only for candidates."""
+
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        row = left.to_pylist()[0]
+        sets, bound, keys, inverse = _keyed(*_open(row))
+        count = read_answer(right, 1)[0]
+        shared = (count > 1)[inverse] if len(keys) else np.zeros(0, bool)
+        n = np.concatenate(([0], np.cumsum(shared)))[bound]
+        size = np.diff(bound)
+        out = {"doc_id": unpack(row["doc_ids"], np.int64), "n_shingles": size}
+        candidate = (np.diff(n) >= need(size)) & (size > 0) & (out["doc_id"] != NO_ID)
+        owner = np.repeat(np.arange(len(size)), size)
+        often = count.astype(np.int64)[inverse] if len(keys) else np.zeros(0, np.int64)
+        order = np.lexsort((sets, often, ~shared, owner))  # of each document: shared first, rarest first
+        rank = np.empty(len(order), np.int64)
+        rank[order] = np.arange(len(order)) - np.repeat(bound[:-1], size)
+        shared &= rank < np.repeat(np.diff(n) - need(size) + 1, size)
+        spans = [(a, b) if c else None for a, b, c in zip(bound[:-1].tolist(), bound[1:].tolist(), candidate.tolist(), strict=True)]
+        blobs = [sets[x[0] : x[1]].tobytes() if x else None for x in spans]
+        names = np.frombuffer(b"".join(hashlib.sha256(x).digest()[:16] if x else bytes(16) for x in blobs), np.int64)
+        out["high"], out["low"] = names[::2] & np.int64((1 << name_bits) - 1 if name_bits < 64 else -1), names[1::2]
+        out["set"] = pa.array(blobs, pa.binary())
+        out["shared"] = pa.array([sets[x[0] : x[1]][shared[x[0] : x[1]]].tobytes() if x else None for x in spans], pa.binary())
+        return pa.table(out)
+
+    return run
 
 
 def _spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -276,15 +289,40 @@ def _spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         blobs = batch.column(1).to_pylist()
         keys = np.frombuffer(b"".join(blobs), np.int64)
         ids = np.repeat(np.asarray(batch.column(0)), [len(b) // 8 for b in blobs])
-        yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(keys)], names=["doc_id", "key"])
-
-
-def link(docs: DataFrame, tile: int = TILE) -> DataFrame:
+        yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(keys)], names=["node", "key"])
+
+
+def _tiled(rows: DataFrame, tile: int, *by: str) -> DataFrame:
+    """``rows`` (with n_shingles) with ``tile``, a number that splits what is alike in ``by`` into tiles of bounded size."""
+    sums = rows.groupBy(*by).agg(F.count(F.lit(1)).alias("_n"), F.sum("n_shingles").alias("_s"))
+    parts = F.greatest(F.ceil(F.col("_n") / tile), F.ceil(F.col("_s") / TILE_SHINGLES))
+    return rows.join(sums, list(by)).withColumn("tile", F.pmod(F.xxhash64("node"), parts).cast("int")).drop("_n", "_s")
+
+
+def _distinct_sets(members: DataFrame, width: int) -> tuple[DataFrame, DataFrame]:
+    """(node, n_shingles, high, low, rep, copies) of the distinct sets, and their table (node, n_shingles, set, shared), bucketed by node."""
+    key = ["n_shingles", "high", "low"]
+    members = members.where("set is not null")
+    same = written(members.groupBy(*key).agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies")), "sets")
+    if same.groupBy("high").agg(F.count(F.lit(1)).alias("n")).where("n > 1").isEmpty():
+        named = same.withColumn("node", F.col("high"))
+        sets = members.withColumnRenamed("high", "node").dropDuplicates(["node"])
+    else:
+        rank = F.row_number().over(Window.partitionBy("high").orderBy("low", "n_shingles"))
+        named = written(same.withColumn("node", F.when(rank == 1, F.col("high")).otherwise(F.xxhash64("high", "low", "n_shingles"))), "named")
+        if not named.groupBy("node").agg(F.count(F.lit(1)).alias("n")).where("n > 1").isEmpty():
+            raise RuntimeError("two sets have one name")
+        sets = members.dropDuplicates(key).join(named.select(*key, "node"), key)
+    # dealt as the table is, so that a bucket is a file; later joins don't move the sets
+    return named, bucketed(sets.select("node", "n_shingles", "set", "shared"), "reps", "node", width)
+
+
+def link(docs: DataFrame, tile: int = TILE, name_bits: int = 64, rare: int = RARE) -> DataFrame:
     """``docs`` (doc_id, text): doc_id, n_shingles, component_id, n_copies_of_set (documents with the same set)."""
     spark = docs.sparkSession
     width = int(spark.conf.get("spark.sql.shuffle.partitions"))
     source = with_ids(docs)
-    chunks = bucketed(source.mapInArrow(_chunks, CHUNK), "shingles", "chunk", width)
+    chunks = written(source.mapInArrow(_chunks, CHUNK), "shingles")
     parts = parts_for(chunks.agg(F.coalesce(F.sum("n_keys"), F.lit(0)).alias("n")).first().n)
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -297,53 +335,61 @@ def link(docs: DataFrame, tile: int = TILE) -> DataFrame:
                 yield from _rows(request(row["chunk"], keys, [np.bincount(inverse, minlength=len(keys))], parts), REQUEST)
 
     answers = counted(chunks.select("chunk", "offsets", "text").mapInArrow(ask, REQUEST)).select("chunk", "part", "counts")
-    members = written(chunks.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(_members, MEMBER), "members")
+    members = written(chunks.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(_members(name_bits), MEMBER), "members")
     discard(chunks)
 
-    same = members.where("set is not null").groupBy("n_shingles", "high", "low").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies"))
-    same = written(same, "sets")
-    # a node is a distinct set, named by its hash; bucketed by name, so that later joins don't move the sets
-    reps = members.where("set is not null").select(F.col("high").alias("doc_id"), "n_shingles", "set", "shared").dropDuplicates(["doc_id"])
-    reps = bucketed(reps, "reps", "doc_id", width)
-    keys = reps.select("doc_id", "shared").mapInArrow(_spread, "doc_id long, key long")
-    keys = written(keys, "keys")
-    least = keys.groupBy("key").agg(F.min("doc_id").alias("v"), F.count(F.lit(1)).alias("n")).where("n > 1").select("key", "v")
-    blocks = components(keys.join(least, "key").select(F.col("doc_id").alias("u"), "v"))
+    same, reps = _distinct_sets(members, width)
+    keys = written(reps.select("node", "shared").mapInArrow(_spread, "node long, key long"), "keys")
+    least = keys.groupBy("key").agg(F.min("node").alias("v"), F.count(F.lit(1)).alias("n")).where("n > 1").select("key", "v")
+    blocks = components(keys.join(least, "key").select(F.col("node").alias("u"), "v"))
     blocks = blocks.unionByName(blocks.select(F.col("root").alias("u"), "root").distinct())
     size_class = F.floor(F.log(F.col("n_shingles").cast("double")) / F.log(F.lit(DEN / NUM))).cast("int")
-    placed = written(reps.select("doc_id", "n_shingles", size_class.alias("kind")).join(blocks.select(F.col("u").alias("doc_id"), F.col("root").alias("block")), "doc_id"), "placed")
-    counts = placed.groupBy("block").agg(F.count(F.lit(1)).alias("members"))
-    small = counts.where(F.col("members") <= tile).select("block")
-    large = counts.where(F.col("members") > tile).select("block")
-    sets = reps.select("doc_id", "set")
-    in_small = placed.join(small, "block", "left_semi").select("doc_id", "block", F.lit(-1).alias("kind"), F.lit(0).alias("tile"))
-    spot = lambda n: F.pmod(F.xxhash64("doc_id"), F.greatest(F.lit(1), F.ceil(F.col(n) / tile))).cast("int")
-    wide = placed.join(large, "block", "left_semi")
-    classes = wide.groupBy("block", "kind").agg(F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("pivot"))
-    in_large = written(wide.join(classes, ["block", "kind"]).select("doc_id", "block", "kind", spot("n").alias("tile")), "tiles")
-    pivots = in_large.select("block", "kind", "tile").distinct().join(classes, ["block", "kind"]).select(F.col("pivot").alias("doc_id"), "block", "kind", "tile")
-    every = in_small.unionByName(in_large).unionByName(pivots.select("doc_id", "block", "kind", "tile"))
-    edges = written(every.join(sets, "doc_id").groupBy("block", "kind", "tile").applyInArrow(_inside, EDGE), "links")
+    placed = written(reps.select("node", "n_shingles", size_class.alias("kind")).join(blocks.select(F.col("u").alias("node"), F.col("root").alias("block")), "node"), "placed")
+    counts = placed.groupBy("block").agg(F.count(F.lit(1)).alias("n"), F.sum("n_shingles").alias("s"))
+    large = written(counts.where((F.col("n") > tile) | (F.col("s") > TILE_SHINGLES)).select("block"), "large")
+    sets = reps.select("node", "set")
+    in_small = placed.join(large, "block", "left_anti").select("node", "block", F.lit(-1).alias("kind"), F.lit(0).alias("tile"))
+    in_large = written(_tiled(placed.join(large, "block", "left_semi"), tile, "block", "kind"), "tiles")
+    pivots = in_large.groupBy("block", "kind").agg(F.min("node").alias("node"))
+    pivots = in_large.select("block", "kind", "tile").distinct().join(pivots, ["block", "kind"]).select("node", "block", "kind", "tile")
+    every = in_small.unionByName(in_large.select("node", "block", "kind", "tile")).unionByName(pivots)
+    edges = written(every.join(sets, "node").groupBy("block", "kind", "tile").applyInArrow(_inside, EDGE), "links")
     found = components(edges)
     if not in_large.isEmpty():
-        root = lambda df: df.join(found.withColumnRenamed("u", "doc_id"), "doc_id", "left").withColumn("root", F.coalesce("root", "doc_id"))
-        known = written(root(in_large), "rooted")
+        known = in_large.join(found.withColumnRenamed("u", "node"), "node", "left").withColumn("root", F.coalesce("root", "node"))
+        known = written(known.select("node", "n_shingles", "block", "kind", "root"), "rooted")
         sums = known.groupBy("block", "root").agg(F.count(F.lit(1)).alias("n"))
         main = sums.groupBy("block").agg(F.max(F.struct("n", "root")).alias("m")).select("block", F.col("m.root").alias("main"))
-        outside = known.join(main, "block").where("root <> main").select("doc_id", "block", "kind", "root")
-        rest = outside.groupBy("block", "kind").agg(F.count(F.lit(1)).alias("n"))
-        outside = written(outside.join(rest, ["block", "kind"]).withColumn("near", spot("n")).drop("n"), "outside")
-        pairs = outside.select("block", F.col("kind").alias("kind_a"), "near").distinct().join(known.select("block", "kind", "tile").distinct(), "block").where(F.abs(F.col("kind_a") - F.col("kind")) <= 1)
-        pairs = written(pairs, "pairs")
-        key = ["block", "kind_a", "near", "kind", "tile"]
-        one = outside.withColumnRenamed("kind", "kind_a").join(pairs, ["block", "kind_a", "near"]).select("doc_id", "root", *key, F.lit(0).alias("side"))
-        two = known.join(pairs, ["block", "kind", "tile"]).select("doc_id", "root", *key, F.lit(1).alias("side"))
-        more = one.unionByName(two).join(sets, "doc_id").groupBy(*key).applyInArrow(_between, EDGE)
-        edges = edges.unionByName(written(more, "links"))
-        found = components(edges)
-    nodes = same.join(found.select(F.col("u").alias("high"), "root"), "high", "left").withColumn("root", F.coalesce("root", "high"))
+        outside = written(known.join(main, "block").where("root <> main").drop("block", "main"), "outside")
+        if n := outside.count():
+            edges = edges.unionByName(written(_others(outside, n, known.drop("block"), keys, sets, tile, rare), "links"))
+            found = components(edges)
+    nodes = same.join(found.select(F.col("u").alias("node"), "root"), "node", "left").withColumn("root", F.coalesce("root", "node"))
     least = nodes.groupBy("root").agg(F.min("rep").alias("component_id"))
     top = nodes.join(least, "root").select("n_shingles", "high", "low", "copies", "component_id")
     alone = members.where("set is null").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"), F.lit(1).cast("long").alias("n_copies_of_set"))
     grouped = members.where("set is not null").select("doc_id", "n_shingles", "high", "low").join(top, ["n_shingles", "high", "low"]).select("doc_id", "n_shingles", "component_id", F.col("copies").alias("n_copies_of_set"))
     return null_ids(alone.unionByName(grouped), "component_id")
+
+
+def _others(outside: DataFrame, n: int, known: DataFrame, keys: DataFrame, sets: DataFrame, tile: int, rare: int) -> DataFrame:
+    """Links between the ``n`` members ``outside`` and any ``known`` ones (both: node, n_shingles, kind, root) that share a kept shingle."""
+    held = keys.join(known, "node")
+    asked = written(held.join(outside.select("node"), "node", "left_semi"), "asked")
+    held = written(held.join(asked.select("key").distinct(), "key", "left_semi"), "held")
+    often = written(held.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > rare).select("key"), "often")
+    group = F.pmod(F.xxhash64("node"), F.lit(-(-n // GATHERED)))
+    columns = ["hot", "by", "node", "n_shingles", "kind", "root"]
+    some = asked.join(often, "key", "left_anti").select("key", group.alias("by"), F.col("kind").alias("_k"), F.col("root").alias("_r"))
+    near = (F.abs(F.col("kind") - F.col("_k")) <= 1) & (F.col("root") != F.col("_r"))
+    gathered = held.join(some, "key").where(near).select(F.lit(False).alias("hot"), *columns[1:]).distinct()
+    one = outside.select(F.lit(False).alias("hot"), group.alias("by"), "node", "n_shingles", "kind", "root")
+    hot = lambda rows: rows.join(often, "key", "left_semi").select(F.lit(True).alias("hot"), F.col("key").alias("by"), "node", "n_shingles", "kind", "root")
+    one = written(_tiled(one.unionByName(hot(asked)), tile, "hot", "by", "kind"), "one").withColumnsRenamed({"kind": "kind_a", "tile": "tile_a"})
+    two = written(_tiled(gathered.unionByName(hot(held)), tile, "hot", "by", "kind"), "two")
+    pairs = one.select("hot", "by", "kind_a", "tile_a").distinct().join(two.select("hot", "by", "kind", "tile").distinct(), ["hot", "by"]).where(F.abs(F.col("kind_a") - F.col("kind")) <= 1)
+    pairs = written(pairs, "pairs")
+    key = ["hot", "by", "kind_a", "tile_a", "kind", "tile"]
+    left = one.join(pairs, key[:4]).select("node", "root", *key, F.lit(0).alias("side"))
+    right = two.join(pairs, ["hot", "by", "kind", "tile"]).select("node", "root", *key, F.lit(1).alias("side"))
+    return left.unionByName(right).join(sets, "node").groupBy(*key).applyInArrow(_between, EDGE)

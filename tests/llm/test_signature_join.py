@@ -31,7 +31,7 @@ def brute(rows):
     for i, s in sets.items():
         for g in s:
             by.setdefault(g, []).append(i)
-    pairs = {(a, b) for ids in by.values() if len(ids) < 400 for k, a in enumerate(ids) for b in ids[k + 1 :]}
+    pairs = {(a, b) for ids in by.values() for k, a in enumerate(ids) for b in ids[k + 1 :]}
     for a, b in pairs:
         c = len(sets[a] & sets[b])
         if 100 * c >= 80 * (len(sets[a]) + len(sets[b]) - c):
@@ -70,11 +70,11 @@ def corpus(seed=5):
     return [(7 * i, t) for i, t in enumerate(texts)]
 
 
-@pytest.mark.parametrize("tile", [256, 8])
-def test_links(spark, tile):
+@pytest.mark.parametrize("options", [{}, {"tile": 8}, {"tile": 8, "rare": 2}, {"tile": 8, "rare": 10**6, "name_bits": 3}])
+def test_links(spark, options):
     rows = corpus()
     df = spark.createDataFrame([(*r, "x") for r in rows], "doc_id long, text string, component_id string").repartition(3)
-    got = {r.doc_id: (r.n_shingles, r.component_id) for r in link(df, tile).collect()}
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in link(df, **options).collect()}
     assert got == brute(rows)
 
 
@@ -100,3 +100,38 @@ def test_tree_keeps_every_link():
     a, b = Tree(sets[:70]), Tree(sets[70:] + [np.unique(rng.integers(0, 2**63, 5000, dtype=np.uint64))])
     kept = set(zip(*(x.tolist() for x in dual(a, b))))
     assert {(i, j) for i in range(70) for j in range(81) if linked(a.sets[i], b.sets[j])} <= kept
+
+
+def test_patterned_words_do_not_link(spark):
+    rows = [(i, "".join("ab"[bin(k).count("1") % 2 ^ i % 2] for k in range(1024 << i // 2))) for i in range(6)]
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in link(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {i: (1, i) for i, _ in rows}
+
+
+def test_long_texts_fill_tiles(spark, monkeypatch):
+    import inkwell.llm.signature_join as module
+
+    monkeypatch.setattr(module, "TILE_SHINGLES", 500)
+    rows = corpus(9)
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in link(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == brute(rows)
+
+
+def test_components(spark):
+    from inkwell.llm._graph import components
+
+    rng = random.Random(2)
+    for n, m in ((1, 0), (30, 12), (200, 180), (300, 150)):
+        edges = [(rng.randrange(n), rng.randrange(n)) for _ in range(m)] + [(k, k + 1) for k in range(1000, 1000 + n)] + [(5000, 5000 + k) for k in range(n)]
+        root = {}
+
+        def find(x):
+            while root.setdefault(x, x) != x:
+                x = root[x]
+            return x
+
+        for a, b in edges:
+            a, b = find(a), find(b)
+            root[max(a, b)] = min(a, b)
+        got = {r.u: r.root for r in components(spark.createDataFrame(edges, "u long, v long")).collect()}
+        assert got == {x: find(x) for x in list(root) if find(x) != x}
