@@ -6,6 +6,7 @@ import atexit
 import contextlib
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
@@ -46,6 +47,46 @@ def remove(spark: SparkSession, path: str) -> None:
         pass
 
 
+def forget(spark: SparkSession, path: str, table: str | None = None) -> None:
+    if table:
+        with contextlib.suppress(Exception):  # the session may be gone
+            spark.sql(f"DROP TABLE IF EXISTS {table}")
+    remove(spark, path)
+
+
+_made: list[list[tuple[str, str | None]]] = []
+
+
+def _register(spark: SparkSession, path: str, table: str | None = None) -> None:
+    """``path`` goes at exit, or when the :func:`settled` around it ends; with it the catalog's entry ``table``."""
+    if _made:
+        _made[-1].append((path, table))
+    atexit.register(forget, spark, path, table)
+
+
+def settled(spark: SparkSession, make: Callable[[], DataFrame], name: str) -> DataFrame:
+    """``make()`` as a table; the tables that were written for it, which nothing else reads, go."""
+    _made.append([])
+    try:
+        out = make()
+        more = _made.pop()
+        _made.append([])
+        table = written(out, name)
+    finally:
+        own = _made.pop()
+    if _made:
+        _made[-1].extend(own)
+    for path, entry in more:
+        forget(spark, path, entry)
+    return table
+
+
+def source_bytes(df: DataFrame) -> int:
+    """What the optimiser takes for the size of ``df`` in bytes: that of its files where it reads such; 0 where it can't tell."""
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return size if size < 1 << 60 else 0
+
+
 def discard(table: DataFrame) -> None:
     """Deletes a table of :func:`written` or :func:`bucketed` that nothing reads any more."""
     files = table.inputFiles()
@@ -73,7 +114,7 @@ def written(df: DataFrame, name: str, compression: str = "zstd") -> DataFrame:
     path = f"{workdir(spark)}/inkwell-{uuid.uuid4().hex}/{name}"
     with tidy(spark):
         df.write.option("compression", compression).parquet(path)
-    atexit.register(remove, spark, path.rsplit("/", 1)[0])
+    _register(spark, path.rsplit("/", 1)[0])
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -84,7 +125,7 @@ def bucketed(df: DataFrame, name: str, key: str, buckets: int) -> DataFrame:
     path = f"{workdir(spark)}/{table}"
     with tidy(spark):
         df.write.option("compression", "zstd").option("path", path).bucketBy(buckets, key).saveAsTable(table)
-    atexit.register(remove, spark, path)
+    _register(spark, path, table)
     return spark.table(table)
 
 

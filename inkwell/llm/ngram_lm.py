@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from inkwell.llm._exchange import ANSWER, REQUEST, chunk_ids, counted, parts_for, read_answer, request
+from inkwell.llm._exchange import ANSWER, REQUEST, chunk_ids, counted, levels, read_answer, request
 from inkwell.llm._spill import discard, null_ids, with_ids, written
 from inkwell.llm._text import flat, lower, mix, pack, pack_sorted, slabs, unpack, unpack_sorted, word_hashes, words
 
@@ -155,16 +155,16 @@ def score(docs: DataFrame, held_out) -> DataFrame:
     role = F.when(held_out, HELD_OUT).when(F.pmod(F.xxhash64("doc_id"), F.lit(10)) == 0, DELETED).otherwise(KEPT)
     chunks = written(with_ids(docs.withColumn("_role", role.cast("int")), "_role").mapInArrow(_chunks, CHUNK), "chunks")
     total = chunks.agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("n_keys", "n_kept", "n_deleted", "d_kept", "d_deleted")]).first()
-    parts = parts_for(total.n_keys)
+    at = levels(total.n_keys)
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in range(batch.num_rows):
-                found = Chunk(batch.slice(row, 1).to_pylist()[0]).request(parts)
+                found = Chunk(batch.slice(row, 1).to_pylist()[0]).request(at.parts)
                 for i in range(0, len(found), 64):
                     yield pa.RecordBatch.from_pylist(found[i : i + 64], schema=pa.schema([("chunk", pa.int64()), ("part", pa.int32()), ("keys", pa.binary()), ("counts", pa.binary())]))
 
-    answers = written(counted(chunks.mapInArrow(ask, REQUEST)), "answers")
+    answers = written(counted(chunks.mapInArrow(ask, REQUEST), at), "answers")
     types = answers.agg(F.coalesce(F.sum("distinct"), F.lit(0)).alias("v")).first().v
     train, rest = total.n_kept + total.n_deleted, max(total.n_kept, 1)
     begins, kept_begins = total.d_kept + total.d_deleted, total.d_kept

@@ -41,7 +41,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from inkwell.llm._exchange import REQUEST, chunk_ids, counted, parts_for, read_answer, request
+from inkwell.llm._exchange import REQUEST, chunk_ids, counted, levels, read_answer, request
 from inkwell.llm._graph import components
 from inkwell.llm._spill import NO_ID, bucketed, discard, null_ids, with_ids, written
 from inkwell.llm._text import flat, lower, mix, pack, pack_sorted, ragged, slabs, unpack, unpack_sorted, word_hashes, words
@@ -323,7 +323,7 @@ def link(docs: DataFrame, tile: int = TILE, name_bits: int = 64, rare: int = RAR
     width = int(spark.conf.get("spark.sql.shuffle.partitions"))
     source = with_ids(docs)
     chunks = written(source.mapInArrow(_chunks, CHUNK), "shingles")
-    parts = parts_for(chunks.agg(F.coalesce(F.sum("n_keys"), F.lit(0)).alias("n")).first().n)
+    at = levels(chunks.agg(F.coalesce(F.sum("n_keys"), F.lit(0)).alias("n")).first().n)
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from inkwell.llm.suffix_dedup import _rows
@@ -332,9 +332,9 @@ def link(docs: DataFrame, tile: int = TILE, name_bits: int = 64, rare: int = RAR
             for i in range(batch.num_rows):
                 row = batch.slice(i, 1).to_pylist()[0]
                 *_, keys, inverse = _keyed(*_open(row))
-                yield from _rows(request(row["chunk"], keys, [np.bincount(inverse, minlength=len(keys))], parts), REQUEST)
+                yield from _rows(request(row["chunk"], keys, [np.bincount(inverse, minlength=len(keys))], at.parts), REQUEST)
 
-    answers = counted(chunks.select("chunk", "offsets", "text").mapInArrow(ask, REQUEST)).select("chunk", "part", "counts")
+    answers = counted(chunks.select("chunk", "offsets", "text").mapInArrow(ask, REQUEST), at).select("chunk", "part", "counts")
     members = written(chunks.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(_members(name_bits), MEMBER), "members")
     discard(chunks)
 

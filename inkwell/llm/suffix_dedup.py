@@ -9,10 +9,10 @@ which also starts anywhere else in the corpus is removed.
   ``(length - 32) / 2`` windows, all of which hold a *core* of more than half
   of ``length`` bytes.  The core's hash is the piece's name.  Anchor, range and
   core follow from a window's content, so equal windows have equal names.
-* The corpus is counted by name and by piece.  Where all pieces of a name are
-  alike, the count settles them.  The other pieces meet by name in parts of bounded
-  size.
-* In a part the distinct pieces are the documents of a collection
+* The corpus is counted by name.  All pieces of a name that occurs twice meet by
+  name in parts of bounded size; a chunk sends one of each distinct piece with
+  its count.
+* In a part pieces are compared byte by byte; the distinct ones are the documents of a collection
   Burrows-Wheeler transform, a core as one symbol of its own: each round inserts
   one symbol of every piece, from the right, into the sequential columns of
   preceding symbols and of common prefixes (a core counts with its bytes);
@@ -40,12 +40,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from inkwell.llm._exchange import REQUEST, bounds, chunk_ids, counted, parts_for, read_answer, request
-from inkwell.llm._spill import bucketed, null_ids, with_ids, written
+from inkwell.llm._exchange import REQUEST, bounds, chunk_ids, counted, levels, request
+from inkwell.llm._spill import bucketed, null_ids, source_bytes, with_ids, written
 from inkwell.llm._text import BASE, BYTE_VALUES, flat, mix, pack, ragged, slabs, unpack
 
 LENGTH, GRAM, HOT = 200, 32, 20_000
-PART_BYTES = 1 << 20
+PART_BYTES, BUCKET_BYTES = 1 << 20, 64 << 20
 CHUNK_BYTES = 2 << 20
 NOTHING = np.uint16(65535)  # before the first symbol
 EVEN = np.uint64(2**64 - 2)
@@ -216,7 +216,7 @@ def _chunks(length: int):
         for slab in slabs(batches, limit=CHUNK_BYTES):
             data, offs = flat(slab.column(1))
             p = Pieces(data, offs, length)
-            keys = len(np.unique(p.name)) + len(np.unique(p.hash))
+            keys = len(np.unique(p.name))
             row = {"chunk": next(ids), "doc_ids": pack(np.asarray(slab.column(0))), "offsets": pack(offs), "text": squeeze(data), "starts": pack(np.diff(p.start, prepend=0)), "windows": pack(p.windows.astype(np.uint16)), "cores": pack(p.core.astype(np.uint16)), "names": pack(p.name), "hashes": pack(p.hash), "n_keys": keys}
             yield pa.RecordBatch.from_pylist([row])
 
@@ -230,19 +230,17 @@ class Chunk:
         self.windows = unpack(row["windows"], np.uint16).astype(np.int64)
         self.core = unpack(row["cores"], np.uint16).astype(np.int64)
         self.name, self.hash = unpack(row["names"], np.uint64), unpack(row["hashes"], np.uint64)
-        self.keys, self.inverse = np.unique(np.concatenate((self.name, self.hash)), return_inverse=True)
+        self.keys, self.inverse = np.unique(self.name, return_inverse=True)
         self.row = row
 
     def request(self, parts: int) -> list[dict]:
         return request(self.id, self.keys, [np.bincount(self.inverse, minlength=len(self.keys))], parts)
 
     def settle(self, counts: np.ndarray, hot: int) -> None:
-        """From the corpus counts: which pieces are repeats as they are, which must meet others, which are hot."""
-        every = counts.astype(np.int64)[self.inverse]
-        named, alike = every[: len(self.name)], every[len(self.name) :]
-        self.repeat = alike > 1
-        meets = named > alike
-        self.hot = np.flatnonzero(meets & (named > hot))
+        """From the corpus counts of names: which pieces must meet others, which are hot."""
+        named = counts.astype(np.int64)[self.inverse]
+        meets = named > 1
+        self.hot = np.flatnonzero(named > max(hot, 1))
         meets[self.hot] = False
         which = np.flatnonzero(meets)
         order = which[np.lexsort((self.hash[which], self.name[which]))]
@@ -326,17 +324,18 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, text: bool = True, spa
     spark = docs.sparkSession
     source = with_ids(docs)
     width = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    chunks = bucketed(source.mapInArrow(_chunks(length), CHUNK), "chunks", "chunk", width)
+    width = max(width, -(-source_bytes(docs) // BUCKET_BYTES))
+    chunks = bucketed(source.mapInArrow(_chunks(length), CHUNK).repartition(width, "chunk"), "chunks", "chunk", width)
     total = chunks.agg(F.coalesce(F.sum("n_keys"), F.lit(0)).alias("n")).first().n
-    parts = parts_for(total)
+    at_names = levels(total)
     light = [c for c in chunks.columns if c not in ("text", "doc_ids", "offsets")]
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(batch.num_rows):
-                yield from _rows(Chunk(batch.slice(i, 1).to_pylist()[0]).request(parts), REQUEST)
+                yield from _rows(Chunk(batch.slice(i, 1).to_pylist()[0]).request(at_names.parts), REQUEST)
 
-    answers = written(counted(chunks.select(*light).mapInArrow(ask, REQUEST)).select("chunk", "part", F.lit(0).alias("kind"), F.col("counts").alias("body")), "counts")
+    answers = written(counted(chunks.select(*light).mapInArrow(ask, REQUEST), at_names).select("chunk", "part", F.lit(0).alias("kind"), F.col("counts").alias("body")), "counts")
 
     def loads(left: pa.Table, right: pa.Table) -> pa.Table:
         chunk = Chunk(left.to_pylist()[0])
@@ -361,18 +360,18 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, text: bool = True, spa
         chunk = Chunk(left.to_pylist()[0])
         chunk.settle(read_body(right), hot)
         _, keys, inverse = chunk.hot_keys(chunk.text(), length)
-        rows = request(chunk.id, keys, [np.bincount(inverse, minlength=len(keys))], hot_parts) if len(keys) else []
+        rows = request(chunk.id, keys, [np.bincount(inverse, minlength=len(keys))], at_windows.parts) if len(keys) else []
         return pa.Table.from_pylist(rows, schema=_schema(REQUEST))
 
     by_chunk = lambda df, run, schema: chunks.select(*df).groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(run, schema)
     load = by_chunk(light, loads, "chunk long, bytes long, hot long").agg(F.coalesce(F.sum("bytes"), F.lit(0)).alias("bytes"), F.coalesce(F.sum("hot"), F.lit(0)).alias("hot")).first()
-    meets, hot_parts = max(1, -(-load.bytes // PART_BYTES)), parts_for(load.hot)
+    meets, at_windows = max(1, -(-load.bytes // PART_BYTES)), levels(load.hot)
     every = answers
     if load.bytes:
         met = by_chunk([*light, "text"], ship, SHIP).groupBy("part").applyInArrow(_meet(length), BODY)
         every = every.unionByName(written(met, "met"))
     if load.hot:
-        found = counted(by_chunk([*light, "text"], ask_hot, REQUEST))
+        found = counted(by_chunk([*light, "text"], ask_hot, REQUEST), at_windows)
         every = every.unionByName(written(found.select("chunk", "part", F.lit(2).alias("kind"), F.col("counts").alias("body")), "hot"))
     schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
     schema += ", kept_text string" * text + ", removed array<struct<begin: long, end: long>>" * spans
@@ -384,8 +383,6 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, text: bool = True, spa
         repeat = np.zeros(len(data) + 1, bool)
         if len(chunk.start):
             chunk.settle(read_body(_only(right, 0)), hot)
-            at, _ = ragged(chunk.start[chunk.repeat], chunk.windows[chunk.repeat])
-            repeat[at] = True
             if len(chunk.sent):
                 repeat[_settled(chunk, _only(right, 1), meets)] = True
             if len(chunk.hot):

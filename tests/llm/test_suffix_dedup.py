@@ -56,9 +56,16 @@ def passages(seed=1, n=150):
     return texts + texts[20:60] + [t[: rng.randint(100, 400)] for t in texts[60:90]]
 
 
-@pytest.mark.parametrize("hot", [20_000, 5])
-def test_passages(spark, hot):
+@pytest.mark.parametrize("hot, flat", [(20_000, 4096), (5, 4096), (20, 1)])
+def test_passages(spark, monkeypatch, hot, flat):
+    import inkwell.llm._exchange as exchange
+    import inkwell.llm.suffix_dedup as module
+
     texts = passages()
+    if flat == 1:  # many small chunks and two levels of parts
+        monkeypatch.setattr(exchange, "FLAT", 1)
+        monkeypatch.setattr(exchange, "KEYS_PER_PART", 300)
+        monkeypatch.setattr(module, "BUCKET_BYTES", 1 << 12)
     df = spark.createDataFrame([(i, t, 1) for i, t in enumerate(texts)], "doc_id long, text string, n_bytes int").repartition(5)
     got = {r.doc_id: r for r in remove_repeats(df, hot=hot).collect()}
     want = brute(texts, 200)
