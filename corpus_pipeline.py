@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from inkwell.llm._spill import numbered, written
+from inkwell.llm._spill import numbered, settled, written
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
@@ -36,8 +36,8 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     from inkwell.llm.signature_join import link
 
     rows = numbered(docs.select(*COLUMNS), "_row")
-    linked = link(rows.select(F.col("_row").alias("doc_id"), "text")).select(F.col("doc_id").alias("_row"), "component_id")
-    linked = written(linked, "components")
+    named = rows.select(F.col("_row").alias("doc_id"), "text")
+    linked = settled(spark, lambda: link(named).select(F.col("doc_id").alias("_row"), "component_id"), "components")
     several = linked.where("component_id <> _row").select("component_id").distinct()
     shared = linked.join(several, "component_id", "left_semi")
     first = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "_row"))["_row"]
@@ -51,7 +51,8 @@ def drop_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     from inkwell.llm.suffix_dedup import remove_repeats
 
     rows = numbered(docs.select(*COLUMNS), "_row")
-    kept = remove_repeats(rows.select(F.col("_row").alias("doc_id"), "text"), spans=False).where("n_removed > 0").select(F.col("doc_id").alias("_row"), "kept_text")
+    named = rows.select(F.col("_row").alias("doc_id"), "text")
+    kept = settled(spark, lambda: remove_repeats(named, spans=False).where("n_removed > 0").select(F.col("doc_id").alias("_row"), "kept_text"), "kept")
     out = rows.join(kept, "_row", "left").withColumn("text", F.coalesce("kept_text", "text"))
     return out.withColumn("n_chars", F.when(F.col("kept_text").isNotNull(), F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(*COLUMNS)
 
