@@ -2,15 +2,20 @@
 
 :func:`mux` stores a payload of samples losslessly: one program (PAT, PMT, one
 private elementary stream), one packetised elementary packet (PES) with a
-timestamp for each access unit, the random-access flag on every ``gop``-th
-unit.  :func:`demux` reads any such stream: it finds the program tables,
-follows the elementary streams they name, checks sync bytes, table checksums
-and continuity counters, reassembles the elementary packets, and gives
-timestamps and random-access points.  Both work on whole streams with numpy,
-without a loop over packets.
+timestamp and a clock reference (PCR) for each access unit, the random-access
+flag on every ``gop``-th unit.  :func:`demux` reads any stream of packets: it
+puts the sections of the program tables together, also over several packets,
+follows the elementary streams they name, checks sync bytes, error flags, table
+checksums and continuity counters, leaves a packet that is sent twice out once,
+reassembles the elementary packets, and gives timestamps, clock references and
+random-access points.  Both work on whole streams with numpy; only packets of
+tables are looped over.
 
 Defined results: an empty stream, or one that is no transport stream, gives
-``ok = False`` and no units; damaged packets are counted, never raised.
+``ok = False`` and no units; damage is counted, never raised; an elementary
+packet that lost a part is damaged and not delivered; a packet is legally sent
+twice, a third copy is a loss; null text is empty; rows that repeat an id, and
+rows with a null one, are rows of their own.
 """
 
 from __future__ import annotations
@@ -32,6 +37,7 @@ PAT_PID, PMT_PID, ES_PID = 0x0000, 0x1000, 0x0100
 STREAM_TYPE, STREAM_ID = 0x06, 0xBD  # private data in elementary packets
 TICKS = 3600  # of the 90 kHz clock between two access units
 HEAD = 14  # bytes of an elementary packet's header with a timestamp
+CLOCK = 8  # bytes of an adaptation field with a clock reference
 
 
 def crc32_mpeg(data: bytes) -> int:
@@ -79,7 +85,7 @@ def mux(payload: np.ndarray, unit: int = UNIT, gop: int = GOP) -> np.ndarray:
     pes[:, 9:14] = _stamp(np.arange(n, dtype=np.int64) * TICKS % (1 << 33))
     pes[:, HEAD:] = units
     size = HEAD + unit
-    per = -(-(size + 2) // (PACKET - 4))  # room for the flags of a random-access point
+    per = -(-(size + CLOCK) // (PACKET - 4))
     out = np.full((n, per, PACKET), 0xFF, np.uint8)
     out[:, :, 0] = 0x47
     out[:, :, 1] = ES_PID >> 8
@@ -89,7 +95,7 @@ def mux(payload: np.ndarray, unit: int = UNIT, gop: int = GOP) -> np.ndarray:
     at = 0
     for k in range(per):
         left = size - at
-        room = PACKET - 6 if k == 0 else PACKET - 4
+        room = PACKET - 4 - CLOCK * (k == 0)
         take = min(room, left) if k < per - 1 else left
         if take == PACKET - 4:
             out[:, k, 3] &= 0xDF
@@ -99,7 +105,12 @@ def mux(payload: np.ndarray, unit: int = UNIT, gop: int = GOP) -> np.ndarray:
                 out[:, k, 5] = 0
         out[:, k, PACKET - take :] = pes[:, at : at + take]
         at += take
-    out[::gop, 0, 5] = 0x40
+    out[:, 0, 5] = 0x10
+    out[::gop, 0, 5] = 0x50
+    base = np.arange(n, dtype=np.int64) * TICKS % (1 << 33)
+    for i, shift in enumerate((25, 17, 9, 1)):
+        out[:, 0, 6 + i] = base >> shift & 255
+    out[:, 0, 10], out[:, 0, 11] = (base & 1) << 7 | 0x7E, 0
     return np.concatenate((TABLES, out.reshape(-1)))
 
 
@@ -109,33 +120,51 @@ class Stream:
     packets: int = 0
     bad_sync: int = 0
     bad_tables: int = 0
+    errors: int = 0
     discontinuities: int = 0
+    duplicates: int = 0
+    damaged: int = 0
     programs: dict[int, int] = field(default_factory=dict)
     streams: dict[int, int] = field(default_factory=dict)
     payload: np.ndarray = field(default_factory=lambda: np.zeros(0, np.uint8))
     unit_offsets: np.ndarray = field(default_factory=lambda: np.zeros(1, np.int64))
     pts: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int64))
+    pcr: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int64))
     random_access: np.ndarray = field(default_factory=lambda: np.zeros(0, bool))
 
 
 _checked: dict[bytes, bool] = {}
 
 
-def _section(packets: np.ndarray, payload_at: np.ndarray, which: np.ndarray, out: Stream) -> bytes:
-    """The first good section among the packets of a table's PID."""
+def _sections(packets: np.ndarray, payload_at: np.ndarray, start: np.ndarray, which: np.ndarray, out: Stream) -> Iterator[bytes]:
+    """The good sections on a table's PID, put together from its packets."""
+    held, last = b"", None
     for i in which:
+        if last is not None and packets[i, 3] & 15 == packets[last, 3] & 15 and (packets[i, 4:] == packets[last, 4:]).all():
+            continue
         body = packets[i, payload_at[i] :].tobytes()
-        body = body[1 + body[0] :] if body else body
-        size = 3 + ((body[1] & 15) << 8 | body[2]) if len(body) > 3 else 0
-        body = body[:size]
-        if len(_checked) > 4096:
-            _checked.clear()
-        if body not in _checked:
-            _checked[body] = len(body) >= 12 and crc32_mpeg(body) == 0
-        if _checked[body]:
-            return body
-        out.bad_tables += 1
-    return b""
+        if start[i]:
+            pointer = body[0] if body else 0
+            parts = [held + body[1 : 1 + pointer] if held else b"", body[1 + pointer :]]
+        else:
+            parts = [held + body] if held else []
+        last, held = i, b""
+        for k, part in enumerate(parts):
+            while len(part) > 2 and part[0] != 0xFF:
+                size = 3 + ((part[1] & 15) << 8 | part[2])
+                if len(part) < size:
+                    break
+                section, part = part[:size], part[size:]
+                if len(_checked) > 4096:
+                    _checked.clear()
+                if section not in _checked:
+                    _checked[section] = len(section) >= 12 and crc32_mpeg(section) == 0
+                if _checked[section]:
+                    yield section
+                else:
+                    out.bad_tables += 1
+            if k == len(parts) - 1 and part[:1] not in (b"", b"\xff"):
+                held = part
 
 
 def demux(media: np.ndarray) -> Stream:
@@ -144,35 +173,49 @@ def demux(media: np.ndarray) -> Stream:
     packets = media[: out.packets * PACKET].reshape(-1, PACKET)
     good = packets[:, 0] == 0x47
     out.bad_sync = int((~good).sum())
-    packets = packets[good]
+    broken = good & (packets[:, 1] & 0x80 > 0)
+    out.errors = int(broken.sum())
+    packets = packets[good & ~broken]
     if not len(packets):
         return out
     pid = (packets[:, 1].astype(np.int64) & 0x1F) << 8 | packets[:, 2]
     start = packets[:, 1] & 0x40 > 0
     control = packets[:, 3] >> 4 & 3
     has, adapts = control & 1 > 0, control & 2 > 0
-    payload_at = np.where(adapts, 5 + packets[:, 4].astype(np.int64), 4)
+    payload_at = np.minimum(np.where(adapts, 5 + packets[:, 4].astype(np.int64), 4), PACKET)
     flags = np.where(adapts & (packets[:, 4] > 0), packets[:, 5], 0)
-    pat = _section(packets, payload_at, np.flatnonzero((pid == PAT_PID) & start & has), out)
-    for i in range(8, len(pat) - 4, 4):
-        if number := pat[i] << 8 | pat[i + 1]:
-            out.programs[number] = (pat[i + 2] & 0x1F) << 8 | pat[i + 3]
-    for table in out.programs.values():
-        pmt = _section(packets, payload_at, np.flatnonzero((pid == table) & start & has), out)
-        i = 12 + ((pmt[10] & 15) << 8 | pmt[11]) if pmt else 0
-        while pmt and i + 5 <= len(pmt) - 4:
-            out.streams[(pmt[i + 1] & 0x1F) << 8 | pmt[i + 2]] = pmt[i]
-            i += 5 + ((pmt[i + 3] & 15) << 8 | pmt[i + 4])
+    for pat in _sections(packets, payload_at, start, np.flatnonzero((pid == PAT_PID) & has), out):
+        for i in range(8, len(pat) - 4, 4):
+            if pat[0] == 0 and (number := pat[i] << 8 | pat[i + 1]):
+                out.programs.setdefault(number, (pat[i + 2] & 0x1F) << 8 | pat[i + 3])
+    for number, table in out.programs.items():
+        for pmt in _sections(packets, payload_at, start, np.flatnonzero((pid == table) & has), out):
+            if pmt[0] != 2 or pmt[3] << 8 | pmt[4] != number:
+                continue
+            i = 12 + ((pmt[10] & 15) << 8 | pmt[11])
+            while i + 5 <= len(pmt) - 4:
+                out.streams.setdefault((pmt[i + 1] & 0x1F) << 8 | pmt[i + 2], pmt[i])
+                i += 5 + ((pmt[i + 3] & 15) << 8 | pmt[i + 4])
     if not out.streams:
         return out
-    which = np.flatnonzero((pid == next(iter(out.streams))) & has)
+    mine = pid == next(iter(out.streams))
+    timed = np.flatnonzero(mine & (flags & 0x10 > 0) & (packets[:, 4] >= 7))
+    clock = lambda k: packets[timed, 6 + k].astype(np.int64)
+    out.pcr = ((clock(0) << 25 | clock(1) << 17 | clock(2) << 9 | clock(3) << 1 | clock(4) >> 7) * 300) + ((clock(4) & 1) << 8 | clock(5))
+    which = np.flatnonzero(mine & has)
     counter = packets[which, 3] & 15
-    marked = flags[which] & 0x80 > 0
-    out.discontinuities = int(((counter[1:] != counter[:-1] + 1 & 15) & ~marked[1:]).sum())
+    again = np.zeros(len(which), bool)
+    again[1:] = (counter[1:] == counter[:-1]) & (packets[which[1:], 4:] == packets[which[:-1], 4:]).all(1)
+    again[1:] &= ~again[:-1]
+    out.duplicates = int(again.sum())
+    which, counter = which[~again], counter[~again]
+    gap = np.zeros(len(which) + 1, bool)
+    gap[1:-1] = (counter[1:] != counter[:-1] + 1 & 15) & ~(flags[which[1:]] & 0x80 > 0)
+    out.discontinuities = int(gap.sum())
     first = np.flatnonzero(start[which])
     if not len(first):
         return out
-    which = which[first[0] :]
+    which, gap = which[first[0] :], gap[first[0] :]
     first = first - first[0]
     begin = which[first]
     base = payload_at[begin]
@@ -181,17 +224,24 @@ def demux(media: np.ndarray) -> Stream:
     header = np.where(whole, 9 + cell(8), 0)
     stamped = whole & (cell(7) & 0x80 > 0)
     pts = (cell(9) & 0x0E) << 29 | cell(10) << 22 | (cell(11) & 0xFE) << 14 | cell(12) << 7 | cell(13) >> 1
-    out.pts = np.where(stamped, pts, -1)
-    out.random_access = flags[begin] & 0x40 > 0
     from_ = payload_at[which].copy()
     from_[first] += header
     sizes = np.maximum(PACKET - from_, 0)
-    at, sums = ragged(which * PACKET + from_, sizes)
-    out.payload = packets.reshape(-1)[at]
-    out.unit_offsets = np.append(sums[first], sums[-1])
+    total = np.add.reduceat(sizes, first)
     declared = cell(4) << 8 | cell(5)
-    expected = np.where(declared > 0, declared + 6 - header, np.diff(out.unit_offsets))
-    out.ok = bool(whole.all() and not out.discontinuities and not out.bad_sync and (expected == np.diff(out.unit_offsets)).all())
+    ends = np.append(first[1:], len(which))
+    inner = gap[:-1].copy()
+    inner[first] = False
+    lost = np.add.reduceat(inner.astype(np.int64), first) > 0
+    whole &= ~lost & np.where(declared > 0, declared + 6 - header == total, ~gap[ends])
+    out.damaged = int((~whole).sum())
+    out.pts = np.where(stamped, pts, -1)[whole]
+    out.random_access = (flags[begin] & 0x40 > 0)[whole]
+    kept = np.repeat(whole, ends - first)
+    at, _ = ragged((which * PACKET + from_)[kept], sizes[kept])
+    out.payload = packets.reshape(-1)[at]
+    out.unit_offsets = np.concatenate(([0], np.cumsum(total[whole])))
+    out.ok = bool(len(out.pts) and not (out.damaged or out.discontinuities or out.bad_sync or out.errors))
     return out
 
 
@@ -200,7 +250,7 @@ def feature(stream: Stream) -> str:
     pts = stream.pts
     return (
         f"programs={len(stream.programs)};streams={','.join(f'{p:#06x}:{t:#04x}' for p, t in stream.streams.items())};packets={stream.packets}"
-        f";lost={stream.discontinuities};units={len(pts)};pts={pts[0] if len(pts) else -1}..{pts[-1] if len(pts) else -1}"
+        f";lost={stream.discontinuities};twice={stream.duplicates};damaged={stream.damaged};units={len(pts)};clocks={len(stream.pcr)};pts={pts[0] if len(pts) else -1}..{pts[-1] if len(pts) else -1}"
         f";access={int(stream.random_access.sum())};mean={float(stream.payload.mean()) if len(stream.payload) else 0.0:.6f};ok={int(stream.ok)}"
     )
 
