@@ -7,10 +7,13 @@ chooses the codeword with the smallest weighted loss.  A small margin to the
 second codeword flags the text as ambiguous.
 
 Fitting uses a bounded sample of labelled rows: about ``per_language`` rows of
-each language, chosen by a hash of the id.  Only hashed feature vectors of the
-sample reach the driver (``DIM`` half floats a row).  Prediction is map-only.
+each language and ``SAMPLE_ROWS`` in all, chosen by a hash of id and text, so that of
+very many languages each has fewer.  Only hashed feature vectors of the sample
+reach the driver: ``DIM`` half floats a row, 160 MB at most.  More than
+``LANGUAGES`` languages are an error, never left out.  Prediction is map-only.
 
-Defined results: null text, or text without a letter (Unicode category L), is
+Defined results: equal losses go to the language that comes first by name; rows
+that repeat an id are rows of their own; a null id is in no held-out fold; null text, or text without a letter (Unicode category L), is
 ``und`` with score 0; with no labelled row everything is ``und``; with one
 language its score is 1.
 """
@@ -33,7 +36,7 @@ BITS = 12
 DIM = 1 << BITS
 ORDERS = 4
 ROWS = 512
-PER_LANGUAGE = 600
+PER_LANGUAGE, SAMPLE_ROWS, LANGUAGES = 600, 20_000, 1000
 AMBIGUOUS = 0.1
 UNDETERMINED = "und"
 _FOLD = np.full(256, 0x20, np.uint8)
@@ -133,18 +136,20 @@ def _vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def fit(labelled: DataFrame, per_language: int = PER_LANGUAGE) -> Model:
     """Learn from rows (doc_id, text, lang); rows with null text or lang are left out."""
     rows = labelled.where(F.col("text").isNotNull() & F.col("lang").isNotNull()).select("doc_id", "lang", "text")
-    counts = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
+    counts = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).limit(LANGUAGES + 1).collect()}
+    if len(counts) > LANGUAGES:
+        raise ValueError(f"more than {LANGUAGES} languages")
     languages = sorted(counts)
     if not languages:
         return train([], np.zeros((0, DIM), np.float32), np.zeros(0, int))
-    part = F.pmod(F.xxhash64(F.col("doc_id")), F.lit(1 << 30)).cast("double") / F.lit(float(1 << 30))
-    share = F.element_at(F.create_map(*[F.lit(v) for k in languages for v in (k, min(1.0, per_language / counts[k]))]), F.col("lang"))
+    part = F.pmod(F.xxhash64(F.col("doc_id"), F.col("text")), F.lit(1 << 30)).cast("double") / F.lit(float(1 << 30))
+    share = F.element_at(F.create_map(*[F.lit(v) for k in languages for v in (k, min(1.0, per_language / counts[k], SAMPLE_ROWS / len(counts) / counts[k]))]), F.col("lang"))
     table = rows.where(part < share).mapInArrow(_vectors, "doc_id long, lang string, vector binary").toArrow()
     if not table.num_rows:
         return train(languages, np.zeros((0, DIM), np.float32), np.zeros(0, int))
-    ids = np.asarray(table.column("doc_id"))
-    order = np.argsort(ids, kind="stable")
-    x = np.frombuffer(b"".join(table.column("vector").to_pylist()), np.float16).reshape(-1, DIM)[order].astype(np.float32)
+    ids, vectors = table.column("doc_id").fill_null(-1).to_pylist(), table.column("vector").to_pylist()
+    order = sorted(range(len(ids)), key=lambda i: (ids[i], vectors[i]))  # the same whatever order tasks end in
+    x = np.frombuffer(b"".join(vectors), np.float16).reshape(-1, DIM)[order].astype(np.float32)
     place = {k: i for i, k in enumerate(languages)}
     return train(languages, x, np.array([place[k] for k in table.column("lang").to_pylist()])[order])
 
@@ -185,5 +190,5 @@ def predict(docs: DataFrame, model: Model, keep: list[str] | None = None, margin
 
 
 def fold(doc_id: Column | str = "doc_id", parts: int = 5) -> Column:
-    """crc32 of the id as text, modulo ``parts``."""
-    return F.pmod(F.crc32(F.col(doc_id).cast("string").cast("binary") if isinstance(doc_id, str) else doc_id), F.lit(parts))
+    """crc32 of the id as text, modulo ``parts``; 1 for a null id."""
+    return F.coalesce(F.pmod(F.crc32(F.col(doc_id).cast("string").cast("binary") if isinstance(doc_id, str) else doc_id), F.lit(parts)), F.lit(1))

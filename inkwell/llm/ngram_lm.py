@@ -11,12 +11,16 @@ the weights maximise the likelihood of its tokens under the counts of the rest.
 Then all training documents give the counts.
 
 Counts cover the whole corpus and travel as distinct keys of each chunk (see
-``_exchange``); nothing that grows with the corpus reaches the driver: EM runs
-over a histogram of at most 41 * 1023 * 1024 cells, quantised to an eighth of
-an octave, of which only those that occur exist (thousands).
+``_exchange``).  EM runs over a histogram of the deleted tokens: a cell is a
+bucket and the octaves of the two parts relative to the uniform one, and keeps
+the mean logarithm of each part.  There are at most 41 * 82 * 82 cells (9 MB),
+whatever the size of the corpus; nothing else reaches the driver.
 
 Tokens are told apart by 64-bit hashes.  Defined results: null or empty text is
-one token, the end; a null id stays null and its text is for training; a first word has the text's beginning as its context.
+one token, the end; a null id stays null and its text is for training; rows that
+repeat an id are texts of their own, each learned from or held out as the id
+says; a first word has the text's beginning as its context; with nothing to
+learn from the weights are equal.
 """
 
 from __future__ import annotations
@@ -36,7 +40,7 @@ EVEN = np.uint64(2**64 - 2)
 END = np.uint64(0x5851F42D4C957F2C)
 BEGIN = np.uint64(0x14057B7EF767814F)
 KEPT, DELETED, HELD_OUT = 0, 1, 2
-OCTAVE, SHIFT, CELLS = 8, 160, 1024
+SHIFT, LEVELS = 41, 82
 CHUNK_BYTES = 4 << 20
 CHUNK = "chunk long, doc_ids binary, lengths binary, roles binary, vocabulary binary, tokens binary, n_keys long, n_kept long, n_deleted long, d_kept long, d_deleted long"
 
@@ -116,18 +120,20 @@ def bucket(context: np.ndarray) -> np.ndarray:
     return np.minimum(np.frexp(context.astype(float))[1], 40)
 
 
-def _level(part: np.ndarray) -> np.ndarray:
-    """Eighths of an octave of a part relative to the uniform part; 0 where it is 0."""
-    with np.errstate(divide="ignore"):
-        step = np.rint(np.log2(part) * OCTAVE) + SHIFT
-    return np.where(part > 0, np.clip(step, 1, CELLS - 1), 0).astype(np.int64)
+def _level(part: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(octave from 1, logarithm to base 2) of a part relative to the uniform part; 0 and 0 where it is 0."""
+    log = np.log2(part, where=part > 0, out=np.zeros(len(part)))
+    return np.where(part > 0, np.clip(np.floor(log) + SHIFT, 1, LEVELS - 1), 0).astype(np.int64), log
 
 
-def learn(cells: np.ndarray, counts: np.ndarray, rounds: int = 60) -> np.ndarray:
-    """EM for the weights (l2, l1, l0) of each of 41 buckets; buckets without counts take the pooled weights."""
-    spot = cells // (CELLS * CELLS)
-    level = np.stack([cells // CELLS % CELLS, cells % CELLS], 1)
-    part = np.where(level > 0, 2.0 ** ((level - SHIFT) / OCTAVE), 0.0)
+def learn(cells: np.ndarray, counts: np.ndarray, logs: np.ndarray, rounds: int = 60) -> np.ndarray:
+    """EM for the weights (l2, l1, l0) of each of 41 buckets; ``logs`` are the mean logarithms of each cell's two parts.
+
+    Buckets without counts take the pooled weights.
+    """
+    spot = cells // (LEVELS * LEVELS)
+    level = np.stack([cells // LEVELS % LEVELS, cells % LEVELS], 1)
+    part = np.where(level > 0, 2.0**logs, 0.0)
     part = np.concatenate((part, np.ones((len(part), 1))), 1)
 
     def em(rows: np.ndarray, weights: np.ndarray) -> np.ndarray:
@@ -176,28 +182,32 @@ def score(docs: DataFrame, held_out) -> DataFrame:
         one, context, both = chunk.resolve(kept, kept_begins)
         own = chunk.role == DELETED
         b = bucket(context[own])
-        two = _level(both[own] / np.maximum(context[own], 1) / uniform)
-        cell = (b * CELLS + two) * CELLS + _level(one[own] / rest / uniform)
-        cells, n = np.unique(cell, return_counts=True)
+        two, log2 = _level(both[own] / np.maximum(context[own], 1) / uniform)
+        single, log1 = _level(one[own] / rest / uniform)
+        cells, where, n = np.unique((b * LEVELS + two) * LEVELS + single, return_inverse=True, return_counts=True)
+        logs = np.stack([np.bincount(where, weights=x, minlength=len(cells)) for x in (log2, log1)])
         one, context, both = chunk.resolve(kept + deleted, begins)
         first = chunk.first
         base = np.add.reduceat(np.log10((one + 1) / (train + types + 1)), first)
         known = np.add.reduceat((one > 0).astype(np.int64), first)
-        row = {"doc_ids": pack(chunk.doc_ids), "lengths": pack(chunk.lengths), "roles": pack(chunk.roles), "base": pack(base), "known": pack(known), "one": pack(one.astype(np.uint64)), "both": pack(both.astype(np.uint64)), "cells": pack(cells), "n": pack(n)}
+        row = {"doc_ids": pack(chunk.doc_ids), "lengths": pack(chunk.lengths), "roles": pack(chunk.roles), "base": pack(base), "known": pack(known), "one": pack(one.astype(np.uint64)), "both": pack(both.astype(np.uint64)), "cells": pack(cells), "n": pack(n), "logs": pack(logs.ravel())}
         return pa.table({k: pa.array([v], pa.binary()) for k, v in row.items()})
 
-    fields = "doc_ids binary, lengths binary, roles binary, base binary, known binary, one binary, both binary, cells binary, n binary"
+    fields = "doc_ids binary, lengths binary, roles binary, base binary, known binary, one binary, both binary, cells binary, n binary, logs binary"
     resolved = written(chunks.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(resolve, fields), "resolved")
     discard(chunks)
     discard(answers)
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for cells, n in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                yield pa.RecordBatch.from_arrays([pa.array(unpack(cells, np.int64)), pa.array(unpack(n, np.int64))], names=["cell", "n"])
-
-    seen = resolved.select("cells", "n").mapInArrow(spread, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()
-    weights = learn(np.asarray(seen.column("cell"), np.int64), np.asarray(seen.column("n"), float))
+            for row in batch.to_pylist():
+                log2, log1 = unpack(row["logs"], np.float64).reshape(2, -1)
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (unpack(row["cells"], np.int64), unpack(row["n"], np.int64), log2, log1)], names=["cell", "n", "log2", "log1"])
+
+    sums = [F.sum(c).alias(c) for c in ("n", "log2", "log1")]
+    seen = resolved.select("cells", "n", "logs").mapInArrow(spread, "cell long, n long, log2 double, log1 double").groupBy("cell").agg(*sums).toArrow()
+    n = np.asarray(seen.column("n"), float)
+    weights = learn(np.asarray(seen.column("cell"), np.int64), n, np.stack([np.asarray(seen.column(c), float) / n for c in ("log2", "log1")], 1))
 
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
