@@ -76,13 +76,83 @@ def op10_transport_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     return store(docs, keep=["doc_id"], media=False, units=False)
 
 
-def op2_quotation_linking(spark: SparkSession, sf_dir: str) -> DataFrame:
+def linked_messages(messages: DataFrame) -> DataFrame:
     from inkwell.llm.quotes import conversations
 
-    found = conversations(table(spark, sf_dir, "conversations"))
+    found = conversations(messages)
     return found.select("conv_id", "turn", "role", F.md5(F.col("text").cast("binary")).alias("text_md5"), "quote_levels", "n_passages", "n_linked", "n_cross", "parent", "thread", "depth")
 
 
+def op2_quotation_linking(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return linked_messages(table(spark, sf_dir, "conversations"))
+
+
+def quoted_messages(messages: DataFrame) -> DataFrame:
+    """The conversations with quotes put before the texts, since the table has none: the last message, two levels, and another conversation."""
+    from pyspark.sql import Window
+
+    line = lambda c: F.split_part(F.coalesce(c, F.lit("")), F.lit("\n"), F.lit(1))
+    own = Window.partitionBy("conv_id").orderBy("turn")
+    first = messages.where("turn = 0").select((F.col("conv_id") - 1).alias("conv_id"), F.col("text").alias("_next"))
+    rows = messages.join(first, "conv_id", "left").withColumns({"_one": F.lag("text").over(own), "_two": F.lag("text", 2).over(own)})
+    before = (
+        F.when((F.col("conv_id") % 5 == 2) & (F.col("turn") == 0) & F.col("_next").isNotNull(), F.concat(F.lit("> "), line(F.col("_next")), F.lit("\n")))
+        .when(((F.col("conv_id") + F.col("turn")) % 4 == 1) & F.col("_two").isNotNull(), F.concat(F.lit("> > "), line(F.col("_two")), F.lit("\n> "), line(F.col("_one")), F.lit("\n")))
+        .when(((F.col("conv_id") + F.col("turn")) % 3 == 0) & F.col("_one").isNotNull(), F.concat(F.lit("A. wrote:\n> "), F.replace(F.col("_one"), F.lit("\n"), F.lit("\n> ")), F.lit("\n")))
+        .otherwise(F.lit(""))
+    )
+    return rows.select("conv_id", "turn", "role", F.concat(before, F.coalesce("text", F.lit(""))).alias("text"))
+
+
+def quotation_linking_seeded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return linked_messages(quoted_messages(table(spark, sf_dir, "conversations")))
+
+
+def op2_sql(messages: str) -> str:
+    marks = r"^[ \t]*((?:>[ \t]?)+)"
+    normal = r"trim(regexp_replace(lower({0}), '\s+', ' ', 'g'))"
+    return rf"""
+WITH RECURSIVE m AS ({messages}),
+l AS (SELECT conv_id, turn, text, unnest(range(len(a))) AS pos, unnest(a) AS line FROM (SELECT conv_id, turn, text, string_split(text, chr(10)) AS a FROM m)),
+v AS (SELECT *, length(regexp_replace(regexp_extract(line, '{marks}', 1), '[^>]', '', 'g')) AS level, {normal.format(f"regexp_replace(line, '{marks}', '')")} AS said FROM l),
+w AS (SELECT *, lead(level, 1, 0) OVER o AS below, CASE WHEN lag(level, 1, -1) OVER o <> level THEN 1 ELSE 0 END AS fresh FROM v WINDOW o AS (PARTITION BY conv_id, turn ORDER BY pos)),
+r AS (SELECT *, sum(fresh) OVER (PARTITION BY conv_id, turn ORDER BY pos) AS ord FROM w),
+q AS (SELECT conv_id, turn, level, ord, list(said ORDER BY pos) AS said FROM r WHERE level > 0 AND said <> '' GROUP BY ALL),
+p AS (SELECT conv_id, turn, level, ord, md5(array_to_string(said, ' ')) AS hash, list_transform(said, lambda x: md5(x)) AS each FROM q),
+own AS (SELECT conv_id, turn, regexp_replace(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (level = 0 AND NOT (below > 0 AND regexp_matches(line, '(?i)\bwrote:[ \t]*$'))), ''), '^\s+|\s+$', '', 'g') AS body
+  FROM r GROUP BY conv_id, turn),
+parts AS (SELECT conv_id, turn, unnest(list_concat([body], regexp_split_to_array(body, '\n[ \t]*\n'), string_split(body, chr(10)))) AS part FROM own),
+offers AS (SELECT conv_id, md5({normal.format("part")}) AS hash, min(turn) AS first FROM parts WHERE {normal.format("part")} <> '' GROUP BY ALL),
+asks AS (SELECT conv_id, turn, level, ord, hash, -1 AS k FROM p UNION ALL SELECT conv_id, turn, level, ord, unnest(each), unnest(range(len(each))) FROM p),
+fit AS (
+  SELECT a.*, o.first AS mine, min(x.conv_id) AS to_conv FROM asks a LEFT JOIN offers o ON o.conv_id = a.conv_id AND o.hash = a.hash AND o.first < a.turn
+  LEFT JOIN offers x ON x.hash = a.hash AND x.conv_id <> a.conv_id GROUP BY ALL),
+found AS (SELECT f.* EXCLUDE (mine, to_conv), CASE WHEN mine IS NULL THEN f.to_conv ELSE f.conv_id END AS to_conv, coalesce(mine, x.first) AS to_turn
+  FROM fit f LEFT JOIN offers x ON x.hash = f.hash AND x.conv_id = f.to_conv),
+votes AS (SELECT conv_id, turn, level, ord, to_conv, to_turn, count(*) AS n FROM found WHERE k >= 0 AND to_conv IS NOT NULL GROUP BY ALL),
+voted AS (SELECT * FROM votes QUALIFY row_number() OVER (PARTITION BY conv_id, turn, level, ord ORDER BY to_conv <> conv_id, n DESC, to_conv, to_turn) = 1),
+links AS (SELECT f.conv_id, f.turn, f.level, coalesce(f.to_conv, v.to_conv) AS to_conv, CASE WHEN f.to_conv IS NULL THEN v.to_turn ELSE f.to_turn END AS to_turn
+  FROM found f LEFT JOIN voted v USING (conv_id, turn, level, ord) WHERE k = -1),
+sums AS (SELECT conv_id, turn, max(level) AS quote_levels, count(*) AS n_passages, count(to_conv) AS n_linked, count(*) FILTER (to_conv <> conv_id) AS n_cross FROM links GROUP BY ALL),
+up AS (SELECT conv_id, turn, to_turn AS parent FROM links WHERE to_conv = conv_id QUALIFY row_number() OVER (PARTITION BY conv_id, turn ORDER BY level, to_turn DESC) = 1),
+tree AS (
+  SELECT m.conv_id, m.turn, m.turn AS thread, 0 AS depth FROM m LEFT JOIN up USING (conv_id, turn) WHERE up.parent IS NULL
+  UNION ALL SELECT up.conv_id, up.turn, tree.thread, depth + 1 FROM up JOIN tree ON up.conv_id = tree.conv_id AND up.parent = tree.turn)
+SELECT m.conv_id, m.turn, m.role, md5(own.body) AS text_md5, CAST(coalesce(quote_levels, 0) AS BIGINT) AS quote_levels, coalesce(n_passages, 0) AS n_passages, coalesce(n_linked, 0) AS n_linked,
+  coalesce(n_cross, 0) AS n_cross, up.parent, tree.thread, CAST(tree.depth AS BIGINT) AS depth
+FROM m JOIN own USING (conv_id, turn) LEFT JOIN sums USING (conv_id, turn) LEFT JOIN up USING (conv_id, turn) JOIN tree USING (conv_id, turn)
+"""
+
+
+QUOTED_SQL = """
+SELECT conv_id, turn, role, CASE
+  WHEN conv_id % 5 = 2 AND turn = 0 AND following IS NOT NULL THEN '> ' || split_part(following, chr(10), 1) || chr(10)
+  WHEN (conv_id + turn) % 4 = 1 AND two IS NOT NULL THEN '> > ' || split_part(two, chr(10), 1) || chr(10) || '> ' || split_part(one, chr(10), 1) || chr(10)
+  WHEN (conv_id + turn) % 3 = 0 AND one IS NOT NULL THEN 'A. wrote:' || chr(10) || '> ' || replace(one, chr(10), chr(10) || '> ') || chr(10) ELSE '' END || coalesce(text, '') AS text
+FROM (SELECT c.*, n.text AS following, lag(c.text) OVER o AS one, lag(c.text, 2) OVER o AS two
+  FROM conversations c LEFT JOIN (SELECT conv_id - 1 AS conv_id, text FROM conversations WHERE turn = 0) n USING (conv_id) WINDOW o AS (PARTITION BY c.conv_id ORDER BY c.turn))"""
+
+
 def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The table has no paths: an id's thousands, hundreds and tens are its directories; an id that ends in 0, 00 or 000 is
     the licence file of the directory of that size.
@@ -184,8 +254,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_quality_cascade": op7_quality_cascade,
     "op8_license_scan": op8_license_scan,
     "op9_bpe_encoding": op9_bpe_encoding,
+    "quotation_linking_seeded": quotation_linking_seeded,
 }
 ORACLES: dict[str, str] = {
     "op7_quality_cascade": OP7_SQL,
     "op8_license_scan": op8_sql(),
+    "op2_quotation_linking": op2_sql("SELECT conv_id, turn, role, coalesce(text, '') AS text FROM conversations"),
+    "quotation_linking_seeded": op2_sql(QUOTED_SQL),
 }
