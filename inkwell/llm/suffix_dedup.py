@@ -48,6 +48,7 @@ LENGTH, GRAM, HOT = 200, 32, 20_000
 PART_BYTES, BUCKET_BYTES = 1 << 20, 64 << 20
 CHUNK_BYTES = 2 << 20
 NOTHING = np.uint16(65535)  # before the first symbol
+CORES, END, LOW = 254, np.uint32(0xFF00FFFF), np.uint32(0xFFFF)
 EVEN = np.uint64(2**64 - 2)
 ZSTD = pa.Codec("zstd", 1)
 
@@ -68,23 +69,28 @@ def insert_columns(symbols: np.ndarray, offs: np.ndarray, cap: int, core: int =
     suffix of length ``j`` of every string that long: its symbol stands before
     the suffix inserted last, so its place follows from the number of equal
     symbols above it, and its common prefix from the least one between those
-    two symbols' places.
+    two symbols' places.  The column is sorted by a byte of each symbol, since
+    UTF-8 has none from 254 on; cores, which are few, are sorted among themselves.
     """
     count = len(offs) - 1
     left = offs[1:] - 1
     some = np.diff(offs) > 0
-    column = np.full(count, NOTHING, np.uint32)  # the symbol in the low half, the common prefix in the third byte
-    column[some] = symbols[left[some]]
+    # of an entry of the column: the symbol in the low half, the common prefix in the third byte, a sort code in the last
+    packed = symbols.astype(np.uint32) | np.where(symbols < CORES, symbols, CORES).astype(np.uint32) << np.uint32(24)
+    column = np.full(count, END, np.uint32)
+    column[some] = packed[left[some]]
     place = np.arange(count)
     active = np.flatnonzero(some)
     owner = np.zeros(int(offs[-1]) + count, np.int32)
     while len(active):
-        before, prefix = halves(column)
+        code = np.ascontiguousarray(column.view(np.uint8)[3::4])
         n = len(column)
         fresh = np.zeros(n, bool)
         fresh[place[active]] = True
         owner[place[active]] = active
-        order = np.argsort(before, kind="stable")[: n - np.count_nonzero(before == NOTHING)]
+        order = np.argsort(code, kind="stable")[: n - np.count_nonzero(code == 255)]
+        cores = len(order) - np.count_nonzero(code == CORES)
+        order[cores:] = order[cores:][np.argsort(column[order[cores:]] & LOW, kind="stable")]
         new = fresh[order]
         at = np.flatnonzero(new)
         who = owner[order[at]]
@@ -93,19 +99,19 @@ def insert_columns(symbols: np.ndarray, offs: np.ndarray, cap: int, core: int =
         rest = grown[count:]
         rest[~new] = column[count:]
         spot = left[who]
-        rest[at] = np.where(spot > offs[who], symbols[spot - 1], NOTHING)
+        rest[at] = np.where(spot > offs[who], packed[spot - 1], END)
         after = at[np.append(at[1:] > at[:-1] + 1, at[-1] + 1 < len(order))] + 1
         j = np.sort(np.concatenate((at, after)), kind="stable")
         high = order[j]
         low = order[np.maximum(j - 1, 0)]
-        symbol = before[high]
-        same = (j > 0) & (symbol == before[low])
-        rest[j] &= np.uint32(0xFFFF)
+        symbol = column[high] & LOW
+        same = (j > 0) & (symbol == column[low] & LOW)
+        rest[j] &= np.uint32(0xFF00FFFF)
         js, low, high = j[same], low[same] + 1, high[same] + 1
         if len(js):
             down = np.argsort(-low, kind="stable")  # descending, so that the stretches between ranges are empty
             pairs = np.stack([low[down], high[down]], 1).ravel()
-            padded = np.append(prefix, np.uint8(255))
+            padded = np.append(column.view(np.uint8)[2::4], np.uint8(255))
             least = np.minimum.reduceat(padded, pairs)[::2].astype(np.uint32)
             least += np.where(symbol[same][down] < 256, np.uint32(1), np.uint32(core))
             rest[js[down]] |= np.minimum(least, np.uint32(cap)) << np.uint32(16)
@@ -113,10 +119,6 @@ def insert_columns(symbols: np.ndarray, offs: np.ndarray, cap: int, core: int =
         left[who] -= 1
         column = grown
         active = active[left[active] >= offs[active]]
-    return halves(column)
-
-
-def halves(column: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.ascontiguousarray(column.view(np.uint16)[::2]), np.ascontiguousarray(column.view(np.uint8)[2::4])
 
 
