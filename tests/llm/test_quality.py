@@ -5,7 +5,7 @@ import duckdb
 import pyarrow.parquet as pq
 from pyspark.sql import functions as F
 
-from inkwell.llm.quality import Measured, Rule, cascade, default_rules, metrics, order
+from inkwell.llm.quality import Measured, Rule, cascade, default_rules, metrics, order, sampled, verdicts
 from inkwell.llm.queries import ORACLES, op7_quality_cascade
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -39,6 +39,7 @@ def test_cascade(spark):
     raw = spark.createDataFrame(ROWS, "doc_id long, text string")
     df = metrics(raw)
     column, found = cascade(raw)
+    assert {m.name for m in found} == {r.name for r in default_rules()}
     got = {r.doc_id: r.v for r in df.select("doc_id", column.alias("v")).collect()}
     assert got[1] == "few_words" or got[1] == "word_length"
     assert got[7] is None and got[5] is not None and len(found) == len(default_rules())
@@ -69,3 +70,30 @@ def test_query(spark):
     want = sorted(tuple(dict(zip(names, r))[c] for c in sorted(names)) for r in rel.fetchall())
     assert sorted(names) == sorted(df.columns)
     assert sorted(tuple(r[c] for c in sorted(df.columns)) for r in got.values()) == want
+
+
+def test_metrics_stay_behind_their_rules(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    column, found = cascade(docs)
+    eager = {(r.doc_id, r.v is None) for r in metrics(docs).select("doc_id", column.alias("v")).collect()}
+    assert {(r.doc_id, r.rejected_by is None) for r in verdicts(docs, found).collect()} == eager
+    turned = [Measured(m.name, m.rejected + 0.01, m.cost) for m in found]
+    assert {(r.doc_id, r.rejected_by is None) for r in verdicts(docs, turned).collect()} == eager
+    cost = {m.name: m.cost for m in found}
+    assert cost["repeats"] > cost["symbols"] and all(0 <= m.rejected <= 1 for m in found)
+
+
+def test_sample(spark, monkeypatch, tmp_path):
+    import inkwell.llm.quality as module
+
+    monkeypatch.setattr(module, "SAMPLE_FILES", 3)
+    spark.range(5000).selectExpr("id doc_id", "cast(id as string) text").repartition(8).write.parquet(str(tmp_path / "d"))
+    docs = spark.read.parquet(str(tmp_path / "d"))
+    got = sampled(docs, 100).collect()
+    assert 20 < len(got) <= 100 and len({r.doc_id for r in got}) == len(got)
+    assert sampled(docs.limit(0), 10).count() == 0
+
+
+def test_null_and_repeated_ids(spark):
+    df = spark.createDataFrame([(None, "a b"), (None, None), (1, "a b"), (1, "a b")], "doc_id long, text string")
+    assert sorted((r.doc_id or 0, r.n_words) for r in metrics(df).collect()) == [(0, 0), (0, 2), (1, 2), (1, 2)]
