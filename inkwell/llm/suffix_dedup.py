@@ -12,7 +12,8 @@ which also starts anywhere else in the corpus is removed.
 * The corpus is counted by name.  All pieces of a name that occurs twice meet by
   name in parts of bounded size; a chunk sends one of each distinct piece with
   its count.
-* In a part pieces are compared byte by byte; the distinct ones are the documents of a collection
+* In a part pieces are compared byte by byte: all windows of one that occurs
+  twice are repeats.  The distinct pieces of the names that have several are the documents of a collection
   Burrows-Wheeler transform, a core as one symbol of its own: each round inserts
   one symbol of every piece, from the right, into the sequential columns of
   preceding symbols and of common prefixes (a core counts with its bytes);
@@ -274,32 +275,46 @@ def _meet(length: int):
         cores = np.concatenate([unpack(b, np.uint16) for b in table.column("cores").to_pylist()]).tolist()
         core = length - Pieces.step(length) + 1
         known: dict[bytes, int] = {}
-        names: dict[bytes, int] = {}
-        strings: list[np.ndarray] = []
+        names: dict[bytes, list[int]] = {}
+        at_core: list[int] = []
         which = []
         for text, size in zip(texts, sizes, strict=True):
             raw, at = text.tobytes(), 0
             for n in size.tolist():
                 piece = raw[at : at + n]
                 at += n
-                if piece not in known:  # its core, which all of its windows hold, becomes one symbol
+                number = known.setdefault(piece, len(known))
+                if number == len(at_core):
                     c = cores[len(which)]
-                    symbols = np.frombuffer(piece, np.uint8).astype(np.uint16)
-                    name = names.setdefault(piece[c : c + core], 256 + len(names))
-                    strings.append(np.concatenate((symbols[:c], np.array([name], np.uint16), symbols[c + core :])))
-                which.append(known.setdefault(piece, len(known)))
-        if len(names) > 65000:
-            raise ValueError("a part has more names than symbols")
+                    at_core.append(c)
+                    names.setdefault(piece[c : c + core], []).append(number)
+                which.append(number)
         which = np.array(which, np.int64)
-        offs = np.concatenate(([0], np.cumsum([len(k) for k in strings]))).astype(np.int64)
-        twice = repeated_windows(np.concatenate(strings), offs, length, core)
         windows = np.array([len(k) for k in known], np.int64) - length + 1
-        many = np.bincount(which, weights=counts, minlength=len(known)) > 1
-        twice |= np.repeat(many, np.diff(offs))
+        ends = np.cumsum(windows)
+        offs = np.concatenate(([0], ends))
+        # all windows of a piece that occurs twice are repeats; the transform finds those of pieces that differ and share a name
+        twice = np.repeat(np.bincount(which, weights=counts, minlength=len(known)) > 1, windows)
+        pieces = list(known)
+        shared = [(k, name) for k, name in enumerate(n for n in names.values() if len(n) > 1)]
+        if len(shared) > 65000:
+            raise ValueError("a part has more names than symbols")
+        strings, mine = [], []
+        for k, numbers in shared:
+            for number in numbers:  # the core, which all windows hold, becomes one symbol
+                symbols, c = np.frombuffer(pieces[number], np.uint8).astype(np.uint16), at_core[number]
+                strings.append(np.concatenate((symbols[:c], np.array([256 + k], np.uint16), symbols[c + core :])))
+                mine.append(number)
+        if strings:
+            cut = np.concatenate(([0], np.cumsum([len(x) for x in strings]))).astype(np.int64)
+            found = repeated_windows(np.concatenate(strings), cut, length, core)
+            here, _ = ragged(offs[:-1][mine], windows[mine])
+            there, _ = ragged(cut[:-1], windows[mine])
+            twice[here] |= found[there]
         out, done = [], 0
         for size in sizes:
             mine = which[done : done + len(size)]
-            at, _ = ragged(offs[mine], windows[mine])
+            at, _ = ragged(offs[:-1][mine], windows[mine])
             out.append(np.packbits(twice[at]).tobytes())
             done += len(size)
         return pa.table({"chunk": table.column("chunk"), "part": table.column("part"), "kind": pa.array([1] * len(out), pa.int32()), "body": pa.array(out, pa.binary())})
