@@ -16,7 +16,7 @@ def empty(text: Column) -> Column:
 
 def newline_lines(text: Column) -> Column:
     """Lines by newline, without trailing carriage returns."""
-    return F.transform(F.split(empty(text), "\n"), lambda x: F.regexp_replace(x, "\r+$", ""))
+    return F.transform(F.split(empty(text), "\n"), lambda x: F.rtrim(x, F.lit("\r")))
 
 
 def universal_lines(text: Column) -> Column:
@@ -36,7 +36,7 @@ def context(text: Column, limit: int = T.CONTEXT_CHARS) -> Column:
 
 
 def blank(text: Column) -> Column:
-    return text.rlike(r"(?U)^\s*$")
+    return ~text.rlike(r"(?U)\S")
 
 
 def code_part(line: Column) -> Column:
@@ -92,14 +92,19 @@ def words(text: Column) -> Column:
 
 
 def sentences(text: Column) -> Column:
-    """Simple sentences: runs up to closing marks, trimmed, none empty."""
-    found = F.regexp_extract_all(empty(text), F.lit(r"[^.!?\n]+[.!?]*"), F.lit(0))
+    """Simple sentences: runs up to closing marks (a point before a digit is none), trimmed, none empty."""
+    found = F.regexp_extract_all(empty(text), F.lit(r"(?:[^.!?\n]+|\.\d)+[.!?]*"), F.lit(0))
     return F.filter(F.transform(found, lambda s: F.trim(s)), lambda s: s != "")
 
 
 def paragraphs(text: Column) -> Column:
     """Blank-line delimited, trimmed of line ends, none blank."""
-    return F.filter(F.split(empty(text), r"\n[ \t]*\n"), lambda p: ~p.rlike(r"^\s*$"))
+    return F.filter(F.split(empty(text), r"\n[ \t]*\n"), lambda p: p.rlike(r"\S"))
+
+
+def decimals(cell: Column) -> Column:
+    """Digits after the point of a cell that is a number; null of others."""
+    return F.when(cell.rlike(r"^\s*[-+]?\d[\d,]*(?:\.\d+)?%?\s*$"), F.length(F.regexp_extract(cell, r"\.(\d+)", 1)))
 
 
 def clean_value(raw: Column) -> Column:

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import re
 from bisect import bisect_right
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from inkwell.functions import tables as T
 from inkwell.functions import text as X
@@ -44,62 +46,90 @@ def missing_grounding(calls: DataFrame) -> DataFrame:
     return calls.where("state = 'none'")
 
 
+MARK = re.compile(r"([.!?])")
+TAIL = re.compile(r"[^\W\d_]*$")
+BREAK = re.compile(r"\n[ \t]*\n|\\par\b|\\(?:" + "|".join(T.STRUCTURAL) + r")\*?\s*(?:\[[^\]]*\])?(?:\{[^}]*\})*")
+PARAGRAPH = re.compile(r"\n[ \t]*\n|\\par\b")
+CITE = re.compile(T.CITE)
+
+
 def boundaries(text: str) -> list[int]:
-    """Offsets at which claims begin: after closing marks (not in decimals or abbreviations), paragraph breaks, structural macros."""
-    import re
-
-    found = set()
-    for m in re.finditer(r"[.!?]", text):
-        i = m.start()
-        if text[i] == ".":
-            if text[max(i - 1, 0) : i].isdigit() and text[i + 1 : i + 2].isdigit():
-                continue
-            word = re.search(r"[^\W\d_.]*(?:\.[^\W\d_.]*)*$", text[max(0, i - 40) : i])[0]
-            if word.lower().strip(".") in T.ABBREVIATIONS:
-                continue
-        rest = re.compile(r"[ \t\n\r]*").match(text, i + 1).end()
-        if rest == len(text) or text[rest].isupper() or text[rest].isdigit() or text[rest] in "\\`\"'([":
-            found.add(rest)
-    structural = r"\\(?:" + "|".join(T.STRUCTURAL) + r")\*?\s*(?:\[[^\]]*\])?(?:\{[^}]*\})*"
-    for pattern in (r"\n[ \t]*\n|\\par\b", structural):
-        found.update(m.end() for m in re.finditer(pattern, text))
+    """Offsets at which claims begin.
+
+    The text is cut at its closing marks; a cut counts where the text ends
+    there, or what follows begins like a sentence (T.OPENING), unless the mark
+    is a point between digits or the last one of an abbreviation.  Paragraph
+    breaks and structural macros with their arguments end a claim as well.
+    """
+    found = {m.end() for pattern in (PARAGRAPH, BREAK) for m in pattern.finditer(text)}
+    pieces = MARK.split(text)
+    at, run = 0, ""
+    for piece, mark, follow in zip(pieces[::2], pieces[1::2], pieces[2::2], strict=False):
+        tail = TAIL.search(piece)[0]
+        run = run + tail if run.endswith(".") and tail == piece else tail
+        at += len(piece) + 1
+        body = follow.lstrip(" \t\n\r")
+        begins = (body[0].isupper() or body[0].isdigit() or body[0] in T.OPENING) if body else at + len(follow) == len(text)
+        decimal = mark == "." and piece[-1:].isdigit() and follow[:1].isdigit()
+        short = mark == "." and run.strip(".").lower() in T.ABBREVIATIONS
+        if begins and not decimal and not short:
+            found.add(at + len(follow) - len(body))
+        run = run + "." if mark == "." else ""
     return sorted(found)
 
 
-def sites(docs: DataFrame, key: str = "doc_id") -> DataFrame:
-    """Every citation of a key, also over several lines: line, command, keys, claim, groundable, grounded."""
-    import re
-
-    cite = re.compile(T.CITE)
-
-    @F.udf("array<struct<line:int,ord:int,command:string,keys:array<string>,sentence:string>>")
-    def find(code):
-        body = "\n".join(code)
-        starts, bounds, out = [0], boundaries(body) if "\\" in body else [], []
-        for part in code[:-1]:
-            starts.append(starts[-1] + len(part) + 1)
-        for m in cite.finditer(body):
-            keys = [k.strip() for k in m[2].split(",") if k.strip()]
-            if keys:
-                k = bisect_right(bounds, m.start())
-                span = body[bounds[k - 1] if k else 0 : bounds[k] if k < len(bounds) else len(body)]
-                out.append((bisect_right(starts, m.start()), len(out), m[1].lower(), keys, span))
-        return out
+def _sites_of(code: str) -> list[tuple]:
+    """(line, ord, command, keys, sentence) of all citations in a text's code."""
+    bounds = boundaries(code)
+    breaks = [m.start() for m in re.finditer("\n", code)]
+    out = []
+    for m in CITE.finditer(code):
+        keys = [k.strip() for k in m[2].split(",") if k.strip()]
+        if keys:
+            k = bisect_right(bounds, m.start())
+            span = code[bounds[k - 1] if k else 0 : bounds[k] if k < len(bounds) else len(code)]
+            out.append((bisect_right(breaks, m.start()) + 1, len(out), m[1].lower(), keys, span))
+    return out
+
 
+def sites(docs: DataFrame, key: str = "doc_id") -> DataFrame:
+    """Every citation of a key, also over several lines: line, command, keys, claim, groundable, grounded.  By Arrow batch."""
     kept = [c for c in docs.columns if c != "text"]
-    code = docs.where(F.col("text").rlike(r"\\")).select(*kept, find(F.transform(X.universal_lines(F.col("text")), X.code_part)).alias("s"))
-    found = code.select(*kept, F.inline("s")).where(F.col("command").isin(T.GROUNDED_COMMANDS + T.STYLE_COMMANDS))
-    state = marked_lines(docs.where(F.col("text").rlike(r"\\")), key).select(key, "line", (F.col("state") == "quote").alias("grounded"))
+    schema = StructType([*(docs.schema[c] for c in kept), *StructType.fromDDL("line int, ord int, command string, keys array<string>, sentence string").fields])
+
+    def run(batches):
+        import pyarrow as pa
+
+        types = (pa.int32(), pa.int32(), pa.string(), pa.list_(pa.string()), pa.string())
+        for batch in batches:
+            found = [_sites_of(x) for x in batch.column(len(kept)).to_pylist()]
+            at = pa.array([i for i, rows in enumerate(found) for _ in rows], pa.int64())
+            columns = list(zip(*(r for rows in found for r in rows), strict=True)) or [()] * 5
+            yield pa.RecordBatch.from_arrays([*(batch.column(i).take(at) for i in range(len(kept))), *(pa.array(c, t) for c, t in zip(columns, types, strict=True))], names=schema.names)
+
+    cited = docs.where(F.col("text").rlike(r"\\[A-Za-z]*[Cc]it"))
+    code = F.array_join(F.transform(X.universal_lines(F.col("text")), X.code_part), "\n").alias("code")
+    found = cited.select(*kept, code).mapInArrow(run, schema).where(F.col("command").isin(T.GROUNDED_COMMANDS + T.STYLE_COMMANDS))
+    state = marked_lines(cited, key).select(key, "line", (F.col("state") == "quote").alias("grounded"))
     found = found.join(state, [key, "line"])
     return found.select(*kept, "line", "ord", "command", "keys", X.clean_claim(F.col("sentence")).alias("claim"), F.col("command").isin(T.GROUNDED_COMMANDS).alias("groundable"), "grounded")
 
 
+def by_cited_key(found: DataFrame) -> DataFrame:
+    return found.withColumn("cite_key", F.explode("keys")).drop("keys")
+
+
+def claim_rows(found: DataFrame, key: str = "doc_id") -> DataFrame:
+    """cite_key, claim, n (sites), rank: the distinct claims of each key, by the order first seen.  No key's sites are gathered in one value."""
+    order = F.struct(key, "ord")
+    one = by_cited_key(found).where("claim <> ''").groupBy("cite_key", "claim").agg(F.count(F.lit(1)).alias("n"), F.min(order).alias("o"))
+    return one.select("cite_key", "claim", "n", F.row_number().over(Window.partitionBy("cite_key").orderBy("o", "claim")).alias("rank"))
+
+
 def by_key(found: DataFrame, key: str = "doc_id") -> DataFrame:
-    """Per cited key: distinct claims in the order first seen, and all sites."""
-    rows = found.select(key, "line", "ord", "command", "claim", "groundable", "grounded", F.explode("keys").alias("cite_key"))
-    order = F.struct(key, "line", "ord", F.col("claim"))
-    one = rows.where("claim <> ''").groupBy("cite_key", "claim").agg(F.min(order).alias("o"))
-    claims = one.groupBy("cite_key").agg(F.transform(F.array_sort(F.collect_list("o")), lambda o: o["claim"]).alias("claims"))
+    """Per cited key: distinct claims in the order first seen, and all sites, as nested values: for the export of one project."""
+    rows = by_cited_key(found)
+    claims = claim_rows(found, key).groupBy("cite_key").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "claim"))), lambda o: o["claim"]).alias("claims"))
     every = F.array_sort(F.collect_list(F.struct(key, "line", "ord", "command", "groundable", "grounded"))).alias("sites")
     return rows.groupBy("cite_key").agg(every).join(claims, "cite_key", "left").select("cite_key", F.coalesce("claims", F.array()).alias("claims"), "sites")
 

@@ -24,9 +24,11 @@ def names_key(comment: Column, key: Column) -> Column:
 
 
 def verified_quotes(quotes: DataFrame, sources: DataFrame) -> DataFrame:
-    """Quotes (key, quote, todo) whose source text (key, text) contains them; the others lose the quote."""
-    rows = quotes.join(sources.select("key", F.col("text").alias("_s")), "key", "left")
-    sure = F.coalesce(F.contains(X.collapse(F.col("_s")), X.collapse(F.col("quote"))), F.lit(False))
+    """Quotes (key, quote, todo) that any of the key's source texts (key, text) contains; the others lose the quote."""
+    pairs = quotes.where("quote is not null").select("key", "quote").distinct().join(sources.select("key", F.col("text").alias("_s")), "key")
+    held = pairs.groupBy("key", "quote").agg(F.bool_or(F.contains(X.collapse(F.col("_s")), X.collapse(F.col("quote")))).alias("_h"))
+    rows = quotes.join(held, ["key", "quote"], "left")
+    sure = F.coalesce("_h", F.lit(False))
     return rows.select("key", F.when(sure, F.col("quote")).alias("quote"), F.when(sure | F.col("quote").isNull(), F.col("todo")).otherwise(F.coalesce("todo", F.lit("source-does-not-support"))).alias("todo"))
 
 
@@ -103,3 +105,12 @@ def within_ranges(findings: DataFrame, ranges: DataFrame, key: str = "path") ->
     """Findings (key, line, last_line) that touch a changed range (key, first, last), each once."""
     r = ranges.select(key, "first", F.col("last").alias("until"))
     return findings.alias("f").join(r.alias("r"), (F.col(f"f.{key}") == F.col(f"r.{key}")) & (F.col("f.line") <= F.col("r.until")) & (F.col("r.first") <= F.col("f.last_line")), "left_semi")
+
+
+def input_bundle(found: DataFrame, meta: DataFrame) -> DataFrame:
+    """What a reader of sources needs for each open key: cite_key, claims in order and the entry's metadata (null where there is none), as JSON."""
+    from inkwell.operators.citations import claim_rows, keys_to_ground
+
+    claims = claim_rows(found).groupBy("cite_key").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "claim"))), lambda x: x["claim"]).alias("claims"))
+    rows = keys_to_ground(found).select("cite_key").join(claims, "cite_key", "left").join(meta.withColumnRenamed("key", "cite_key"), "cite_key", "left")
+    return rows.select("cite_key", F.to_json(F.struct("cite_key", "claims", *[c for c in meta.columns if c != "key"])).alias("value"))

@@ -7,6 +7,7 @@ from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from inkwell.functions import text as X
 from inkwell.operators.segment import lines
@@ -15,7 +16,6 @@ FENCE = re.compile(r"^ {0,3}(`{3,}|~{3,})(.*)$")
 LABELS = ("**Rule:**", "**Location:**", "**Quote:**", "**Suggested revision:**")
 #: First-level titles that mark a report and a rules document, and a catalog's second-level one; callers give their own.
 REPORT_TITLE, RULES_TITLE, CATALOG_TITLE = "Prose Review", "Writing Rules", "Tropes to Avoid"
-ROW = "array<struct<line:int,rule:string,message:string>>"
 
 
 def block_findings(text: str, blanks: bool = False, is_yaml=None) -> Iterator[tuple[int, str, str]]:
@@ -57,9 +57,21 @@ def yaml_like(rows: list[str]) -> bool:
 
 
 def blocks(docs: DataFrame, blanks: bool = False) -> DataFrame:
-    """Findings of :func:`block_findings` for each text."""
-    scan = F.udf(lambda t: list(block_findings(t or "", blanks, yaml_like)), ROW, useArrow=False)
-    return docs.where(F.col("text").rlike(r"(?m)^ {0,3}(?:`{3}|~{3})|^---")).select(*[c for c in docs.columns if c != "text"], F.inline(scan("text")))
+    """Findings of :func:`block_findings` for each text that has a fence marker or begins with a block; by Arrow batch."""
+    kept = [c for c in docs.columns if c != "text"]
+    schema = StructType([*(docs.schema[c] for c in kept), *StructType.fromDDL("line int, rule string, message string").fields])
+
+    def run(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            found = [list(block_findings(x, blanks, yaml_like)) for x in batch.column(len(kept)).to_pylist()]
+            at = pa.array([i for i, rows in enumerate(found) for _ in rows], pa.int64())
+            columns = list(zip(*(r for rows in found for r in rows), strict=True)) or [(), (), ()]
+            types = (pa.int32(), pa.string(), pa.string())
+            yield pa.RecordBatch.from_arrays([*(batch.column(i).take(at) for i in range(len(kept))), *(pa.array(c, t) for c, t in zip(columns, types, strict=True))], names=schema.names)
+
+    return docs.where(F.col("text").rlike(r"(?m)^ {0,3}(?:`{3}|~{3})|\A---")).select(*kept, "text").mapInArrow(run, schema)
 
 
 def carriage_returns(docs: DataFrame) -> DataFrame:
@@ -93,9 +105,11 @@ def line_rules(docs: DataFrame, key: str = "doc_id") -> DataFrame:
 
 
 def fixed(docs: DataFrame) -> DataFrame:
-    """Texts after the fixes of md009, md012 and md047; structure is left alone."""
-    t = F.regexp_replace("text", r"(?m)[ \t]+$", "")
-    t = F.regexp_replace(t, r"\n{3,}", "\n\n")
+    """Texts after the fixes of md009, md012 and md047; lines in fences, hard breaks of two spaces and structure are left alone."""
+    clean = lambda x: F.regexp_replace(F.regexp_replace(x, r"(?m)^[ \t]+$", ""), r"(?m)(\S)(?:[ \t]*\t[ \t]*| | {3,})$", "$1")
+    single = lambda x: F.regexp_replace(F.regexp_replace(clean(x), r"\n{3,}", "\n\n"), r"^\n{2,}", "\n")
+    parts = F.split("text", r"(?m)(?=^ {0,3}(?:`{3,}|~{3,}))")  # every second part is inside a fence
+    t = F.array_join(F.transform(parts, lambda x, i: F.when(i % 2 == 0, single(x)).otherwise(x)), "")
     return docs.withColumn("text", F.when(t != "", F.concat(F.regexp_replace(t, r"\n+$", ""), F.lit("\n"))).otherwise(t))
 
 

@@ -5,7 +5,10 @@ These are heuristic: rows are candidates for a reader, not verdicts.
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass
+from functools import reduce
+from itertools import islice
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -15,40 +18,46 @@ from inkwell.functions import text as X
 from inkwell.operators.segment import keep, lines, pages_of, paragraph_rows, sentence_rows
 
 
-LONGEST = 8
+FIRSTS = 10_000
+PHRASE_WORD = re.compile("[a-z]+(?:'[a-z]+)?")
 
 
-def lexicon(spark, entries: list[tuple[str, str, str | None]]) -> DataFrame:
-    """A lexicon table (class, phrase, suggestion) with the phrase's words; of fixed size."""
-    rows = [(c, p, s, p.split()) for c, p, s in entries]
-    return spark.createDataFrame(rows, "class string, phrase string, suggestion string, parts array<string>")
+def lexicon(spark, entries: list[tuple]) -> DataFrame:
+    """A lexicon table (class, phrase, suggestion, exception) with the phrase's words; of fixed size."""
+    rows = [(*e, *[None] * (4 - len(e)), PHRASE_WORD.findall(e[1].lower())) for e in entries]
+    return spark.createDataFrame(rows, "class string, phrase string, suggestion string, exception string, parts array<string>")
 
 
-def default_lexicon() -> list[tuple[str, str, str | None]]:
-    out: list[tuple[str, str, str | None]] = [("restricted", w, None) for w in T.RESTRICTED]
-    out += [("hedge", w, None) for w in T.HEDGES] + [("transition", w, None) for w in T.TRANSITIONS]
-    out += [("british", w, s) for w, s in T.BRITISH.items()] + [("padding", w, s) for w, s in T.PADDING.items()]
-    out += [("research", w, None) for w in T.RESEARCH] + [("opener", w, None) for w in T.OPENERS]
-    return out + [(f"trope-{k}", w, None) for k, ws in T.TROPE_WORDS.items() for w in ws]
+def default_lexicon() -> list[tuple[str, str, str | None, str | None]]:
+    """Entries (class, phrase, suggestion, exception): the exception says when the phrase is acceptable, and drops nothing."""
+    out = [("restricted", w, *more) for w, more in T.RESTRICTED.items()]
+    plain = {"hedge": T.HEDGES, "transition": T.TRANSITIONS, "research": T.RESEARCH, "opener": T.OPENINGS, "closer": T.CLOSINGS, "aside": T.ASIDES, "compliment": T.COMPLIMENTS}
+    paired = {"british": T.BRITISH, "padding": T.PADDING | T.MORE_PADDING, "avoid": T.AVOIDED, "plain": T.PLAIN}
+    out += [(c, w, None, None) for c, ws in plain.items() for w in ws] + [(c, w, x, None) for c, ws in paired.items() for w, x in ws.items()]
+    return out + [(f"trope-{k}", w, None, None) for k, ws in T.TROPE_WORDS.items() for w in ws]
 
 
 def lexicon_hits(units: DataFrame, entries: DataFrame, allow: DataFrame | None = None) -> DataFrame:
-    """One row per occurrence of a phrase in ``units`` (text): pos (word index, from 0), class, phrase, suggestion.
+    """One row per occurrence of a phrase in ``units`` (text): pos (word index, from 0), class, phrase, suggestion, exception.
 
-    Words, each with the next ones up to ``LONGEST``, meet phrases by an
-    equi-join on the first word, then the rest is compared; longer phrases are
-    not looked for; ``allow`` (phrase) names phrases that a rule layer permits.  The
-    lexicon is broadcast only while it is small (a million rows of it would be
-    joined by shuffle).
+    Only words that begin a phrase leave their text, each with as many of the
+    next ones as the longest phrase has, and meet phrases by an equi-join on
+    the first word; then the rest is compared.  A lexicon with more than
+    ``FIRSTS`` first words sends all words to the join instead.  ``allow``
+    (phrase) names phrases that a rule layer permits.
     """
     kept = keep(units, "pos")
     if allow is not None:
         entries = entries.join(allow.select("phrase").distinct(), "phrase", "left_anti")
-    runs = F.transform(F.array(X.words(F.col("text"))), lambda w: F.transform(w, lambda _, i: F.slice(w, i + 1, F.lit(LONGEST))))
-    rows = units.select(*kept, F.posexplode(F.get(runs, F.lit(0))).alias("pos", "_w")).withColumn("_first", F.get("_w", F.lit(0)))
-    firsts = entries.where(F.size("parts") <= LONGEST).withColumn("_first", F.get("parts", F.lit(0)))
-    found = rows.join(firsts, "_first").where(F.slice("_w", F.lit(1), F.size("parts")) == F.col("parts"))
-    return found.select(*kept, "pos", "class", "phrase", "suggestion")
+    entries = entries.where(F.size("parts") > 0).withColumn("_first", F.get("parts", F.lit(0)))
+    longest = entries.agg(F.coalesce(F.max(F.size("parts")), F.lit(1))).first()[0]
+    firsts = [r[0] for r in entries.select("_first").distinct().limit(FIRSTS + 1).collect()]
+    place = lambda own: F.transform(own, lambda w, i: F.struct(i.alias("pos"), w.alias("_first")))
+    some = place if len(firsts) > FIRSTS else lambda own: F.filter(place(own), lambda x: x["_first"].isin(firsts))
+    runs = lambda own: F.transform(some(own), lambda x: F.struct(x["pos"].alias("pos"), x["_first"].alias("_first"), F.slice(own, x["pos"] + 1, F.lit(longest)).alias("_w")))
+    rows = units.select(*kept, F.inline(F.get(F.transform(F.array(X.words(F.col("text"))), runs), F.lit(0))))
+    found = rows.join(entries, "_first").where(F.slice("_w", F.lit(1), F.size("parts")) == F.col("parts"))
+    return found.select(*kept, "pos", "class", "phrase", "suggestion", "exception")
 
 
 def dense_units(hits: DataFrame, more_than: int, *by: str) -> DataFrame:
@@ -56,10 +65,17 @@ def dense_units(hits: DataFrame, more_than: int, *by: str) -> DataFrame:
     return hits.groupBy(*by, "class").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > more_than)
 
 
+#: Headings, and labels of one or two words, at the start of a line.
+EXEMPT = r"(?m)^(?:#{1,6} .*|[ \t]*(?:[-*] )?\*{0,2}[A-Z]\w*(?: \w+)?:)"
+
+
 def pause_density(docs: DataFrame) -> DataFrame:
-    """Em-dashes, colons before space and semicolons per page of 350 words, and whether their sum passes 5; no-word texts out."""
-    count = lambda p: F.regexp_count(X.empty(F.col("text")), F.lit(p))
-    rows = pages_of(docs).where("n_words > 0").select(*keep(docs), "n_words", "pages", count("\u2014").alias("dashes"), count(r":\s").alias("colons"), count(";").alias("semicolons"))
+    """Em-dashes, colons before space and semicolons per page of 350 words, and whether their sum passes 5; no-word texts out.
+
+    Colons of headings and of labels at the start of a line are exempt.
+    """
+    count = lambda p, t=X.empty(F.col("text")): F.regexp_count(t, F.lit(p))
+    rows = pages_of(docs).where("n_words > 0").select(*keep(docs), "n_words", "pages", count("\u2014").alias("dashes"), count(r":\s", F.regexp_replace(X.empty(F.col("text")), EXEMPT, "")).alias("colons"), count(";").alias("semicolons"))
     total = F.col("dashes") + F.col("colons") + F.col("semicolons")
     per = F.round(total / F.col("pages"), 6)
     return rows.select(*keep(docs), "n_words", "dashes", "colons", "semicolons", per.alias("per_page"), (per > 5).alias("flagged"))
@@ -91,13 +107,14 @@ def anaphora_runs(docs: DataFrame, key: str = "doc_id") -> DataFrame:
 
 @dataclass(frozen=True)
 class Pattern:
-    """A rule that counts matches of a regular expression in a unit: line, sentence, paragraph or text."""
+    """A rule that counts matches of a regular expression in a unit (line, sentence or paragraph), less those of ``minus``; on code alone in the LaTeX layer."""
 
     rule: str
     layer: str
     unit: str
     regex: str
     least: int = 1
+    minus: str | None = None
 
 
 #: Own patterns, in the syntax that Java and RE2 share (no lookaround, no possessives).
@@ -108,13 +125,24 @@ PATTERNS = (
     Pattern("semicolon-chain", "general", "sentence", r";", 2),
     Pattern("participial-opening", "general", "sentence", r"^[A-Z][a-z]+ing\b[^.]*,"),
     Pattern("passive", "general", "sentence", r"(?i)\b(?:is|are|was|were|be|been|being)\s+[a-z]+(?:ed|en)\b"),
-    Pattern("noun-stack", "general", "line", r"\b[a-z]+-[a-z]+-[a-z]+ [a-z]+s\b"),
-    Pattern("parenthetical-list", "general", "line", r"\([^()]*,[^()]*\)"),
+    Pattern("noun-stack", "general", "line", r"(?i)\b[a-z]+-[a-z]+ [a-z]+s?\b", 1, r"(?i)\b[a-z]+-(?:[a-z]+(?:ing|ed|en)|based|like|free|level|wide) [a-z]+s?\b"),
+    Pattern("parenthetical-list", "general", "line", r"\([^()]*,[^()]*\)", 1, r"\((?:e\.g\.|i\.e\.)[^()]*,[^()]*\)"),
     Pattern("example-etc", "general", "sentence", r"(?i)\be\.g\.[^()]*\betc\b"),
-    Pattern("data-singular", "general", "line", r"(?i)\bdata (?:is|was|has)\b"),
+    Pattern("data-plural", "general", "line", r"(?i)\bdata (?:are|were|have|show|suggest|indicate|reveal)\b"),
+    Pattern("like-for-examples", "general", "line", r"(?i)\b(?:scenarios|examples|tools|tasks|languages|models|systems|topics|fields|methods|cases) like\b"),
+    Pattern("topic-opening", "general", "sentence", r"(?i)^[a-z]+(?: [a-z]+){0,3} (?:has|have) become increasingly\b"),
+    Pattern("clause-chain", "general", "sentence", r"(?::|\x{2014}| - )[^;]*;[^;]*;"),
+    Pattern("enumeration", "general", "sentence", r"(?i)\b(?:such as|including|e\.g\.,?) [^.;:,]+,[^.;:,]+,[^.;:,]+,"),
     Pattern("bold", "general", "paragraph", r"\*\*[^*]+\*\*", 2),
     Pattern("bold-bullet", "trope", "line", r"^\s*[-*] \*\*"),
-    Pattern("aside", "general", "line", r"(?i)\b(?:note to self|todo|we should discuss)\b"),
+    Pattern("aside", "general", "line", r"(?i)\b(?:reader beware|the reader is warned|we shall see|spoiler alert|more on this below)\b"),
+    Pattern("author-aside", "latex", "line", r"(?i)\b(?:reader beware|we shall see|spoiler alert|note to self)\b"),
+    Pattern("self-answer", "trope", "line", r"(?:^|[.!?] )(?:[A-Z]\w*\s?){1,4}\?\s+[A-Z][^.?!]{0,40}\."),
+    Pattern("countdown", "trope", "line", r"(?i)\bnot (?:an? )?\w+\. not (?:an? )?\w+\."),
+    Pattern("tricolon", "trope", "sentence", r"(?i)\b\w+, \w+, and \w+[.!?]?$"),
+    Pattern("effect-size-missing", "scientific", "paragraph", r"(?i)\bp\s*[<=>]\s*0?\.\d+", 1, r"(?i)\b(?:cohen's d|eta|odds ratio|effect size|[rd]\s*=)"),
+    Pattern("interval-brackets", "scientific", "line", r"(?i)\d+% CI\s*(?:\(|:|of)"),
+    Pattern("small-numeral", "scientific", "sentence", r" [1-9] (?:[a-z]{4,}s)\b", 1, r" [1-9] (?:percent|minutes|seconds|hours|days|weeks|months|years|bytes|points)\b"),
     Pattern("negative-parallel", "trope", "sentence", r"(?i)\bnot (?:just|only|merely)\b[^.]*\bbut\b"),
     Pattern("false-range", "trope", "sentence", r"(?i)\bfrom [a-z]+ to [a-z]+, and everything\b"),
     Pattern("invented-label", "trope", "line", r"(?i)\bthe [a-z]+ (?:paradox|trap|creep|fallacy)\b"),
@@ -125,7 +153,8 @@ PATTERNS = (
     Pattern("sentence-numeral", "scientific", "sentence", r"^\d+ [a-z]"),
     Pattern("thousands", "scientific", "line", r"\b\d{5,}\b"),
     Pattern("lower-reference", "scientific", "line", r"\b(?:section|figure|table) \d"),
-    Pattern("vague-caption", "scientific", "line", r"(?i)\\caption\{(?:results|overview|architecture|example)\.?\}"),
+    Pattern("typed-reference", "latex", "line", r"\b(?:[Ss]ection|[Ff]igure|[Tt]able)[ ~]\d"),
+    Pattern("vague-caption", "scientific", "line", r"(?i)\\caption\{(?:overview of our approach|experimental results|results|overview|architecture|example)\.?\}"),
     Pattern("straight-quote", "latex", "line", r"\""),
     Pattern("typed-author", "latex", "line", r"\b[A-Z][a-z]+ et al\."),
     Pattern("run-in-heading", "latex", "line", r"\\paragraph\{[^}]*[^}.:]\}"),
@@ -142,7 +171,9 @@ def pattern_candidates(docs: DataFrame, patterns: tuple[Pattern, ...] = PATTERNS
         own = [p for p in patterns if p.unit == unit]
         if not own:
             continue
-        hits = F.array(*[F.struct(F.lit(p.rule).alias("rule"), F.lit(p.layer).alias("layer"), F.regexp_count("text", F.lit(p.regex)).alias("n"), F.lit(p.least).alias("least")) for p in own])
+        part = lambda p: X.code_part(F.col("text")) if p.layer == "latex" else F.col("text")
+        count = lambda p: F.regexp_count(part(p), F.lit(p.regex)) - (F.regexp_count(part(p), F.lit(p.minus)) if p.minus else 0)
+        hits = F.array(*[F.struct(F.lit(p.rule).alias("rule"), F.lit(p.layer).alias("layer"), count(p).alias("n"), F.lit(p.least).alias("least")) for p in own])
         found = rows.select(*keep(docs), F.lit(unit).alias("unit"), F.col(at).cast("int").alias("at"), F.inline(F.filter(hits, lambda h: h["n"] >= h["least"]))).drop("least")
         out = found if out is None else out.unionByName(found)
     return out
@@ -157,7 +188,7 @@ def significant_audit(docs: DataFrame) -> DataFrame:
 def signposted_closing(docs: DataFrame) -> DataFrame:
     """Texts whose last paragraph begins with a closing formula."""
     last = F.element_at(X.paragraphs(F.col("text")), -1)
-    formula = r"(?i)^\s*(?:" + "|".join(T.OPENERS) + r")\b"
+    formula = r"(?i)^\s*(?:" + "|".join(T.CLOSINGS) + r")\b"
     return docs.where(F.size(X.paragraphs(F.col("text"))) > 0).withColumn("closing", X.context(last)).where(last.rlike(formula)).drop("text")
 
 
@@ -193,20 +224,24 @@ def duplicate_sentences(docs: DataFrame, least_words: int = 4, key: str = "doc_i
 def passage_containment(docs: DataFrame, passages: DataFrame, anchor: int = 4) -> DataFrame:
     """(doc_id, item_id) where a passage's text is contained in a document's.
 
-    The passage's first ``anchor`` whole words (those that no cut at its ends
-    can change) are an equi-join key for the document's runs of words; the pair
-    is then verified.  Passages of fewer words are compared by containment.
+    The inner words of a passage (those that no cut at its ends can change), at
+    most ``anchor`` of them, are an equi-join key for the document's runs of as
+    many words; the pair is then verified.  Passages of two words or fewer have
+    none: their texts are looked for in each document, a thousand at a time.
     """
     tokens = lambda c: F.filter(F.split(c, r"[ \n]"), lambda w: w != "")
-    inner = F.when(F.size(tokens(F.col("passage"))) >= anchor + 2, F.slice(tokens(F.col("passage")), 2, anchor)).otherwise(F.array().cast("array<string>"))
+    inner = F.slice(tokens(F.col("passage")), 2, F.least(F.lit(anchor), F.greatest(F.size(tokens(F.col("passage"))) - 2, F.lit(0))))
     items = passages.select("item_id", F.col("text").alias("passage")).where("passage <> ''").withColumn("_a", inner)
-    long = items.where(F.size("_a") == anchor).withColumn("key", F.xxhash64("_a")).select("item_id", "passage", "key")
-    w = tokens(F.col("text"))
-    runs = docs.select("doc_id", F.transform(F.array(w), lambda a: F.transform(F.sequence(F.lit(1), F.greatest(F.size(a), F.lit(1))), lambda i: F.xxhash64(F.slice(a, i, F.lit(anchor)))))[0].alias("keys"))
-    pairs = runs.select("doc_id", F.explode(F.array_distinct("keys")).alias("key")).join(long.select("item_id", "key"), "key").select("doc_id", "item_id").distinct()
-    sure = pairs.join(long.select("item_id", "passage"), "item_id").join(docs.select("doc_id", "text"), "doc_id").where(F.contains("text", "passage")).select("doc_id", "item_id")
-    short = items.where(F.size("_a") < anchor).select("item_id", "passage")
-    if short.isEmpty():
-        return sure
-    few = docs.select("doc_id", "text").join(short, F.contains("text", "passage")).select("doc_id", "item_id")
-    return sure.unionByName(few)
+    keyed = items.where(F.size("_a") > 0).withColumn("key", F.xxhash64("_a"))
+    out = None
+    for size in sorted(r[0] for r in keyed.select(F.size("_a")).distinct().collect()):
+        runs = lambda a, n=size: F.transform(F.sequence(F.lit(0), F.size(a) - n), lambda i: F.xxhash64(F.slice(a, i + 1, F.lit(n))))
+        w = F.get(F.transform(F.array(tokens(F.col("text"))), lambda a: F.when(F.size(a) >= size, F.array_distinct(runs(a)))), F.lit(0))  # noqa: B023
+        pairs = docs.select("doc_id", F.explode(w).alias("key")).join(keyed.where(F.size("_a") == size).select("item_id", "key"), "key").select("doc_id", "item_id").distinct()
+        out = pairs if out is None else out.unionByName(pairs)
+    few = items.where(F.size("_a") == 0).select("item_id", "passage").toLocalIterator()
+    found = [] if out is None else [out.join(items.select("item_id", "passage"), "item_id").join(docs.select("doc_id", "text"), "doc_id").where(F.contains("text", "passage")).select("doc_id", "item_id")]
+    while part := list(islice(few, 1000)):
+        hits = F.array(*[F.when(F.contains("text", F.lit(r["passage"])), F.lit(r["item_id"])) for r in part])
+        found.append(docs.select("doc_id", F.explode(F.array_compact(hits)).alias("item_id")))
+    return reduce(DataFrame.unionByName, found) if found else docs.where("false").select("doc_id", F.lit(None).cast(passages.schema["item_id"].dataType).alias("item_id"))

@@ -24,7 +24,16 @@ TAILS = {
     43: "\n\nThe model learns. The model runs. The model wins.\n\nIn conclusion, the model serves as a tapestry of ideas.",
     47: "\n~~~~\nopen to the end  ",
     53: "\nWith p < 0.05 and r = .31 over 25000 rows, Smith et al. show \"gains\" in section 3. **A** and **B** are bold.",
-    61: "\n\nTo the best of our knowledge it was tested and it is used. The state of the art parts were checked.",
+    61: "\n\nThis sheds light on what was tested and it is used. A growing body of work plays a crucial role. The parts were checked.",
+    67: "\n\n# Abstract\nA Large Model (LM) is described \\cite{zeta2022}.\n\n# Related Work\nIn today's field a seminal and impressive tool was shown. The tool works well on all of the inputs.\n\n# Results\n- one point\nThe LM and the Fast Parser (FP) show gains, and we measure them as we proposed. The tool works well on all of the inputs. Overall, I think it holds.",
+    71: "\nThe options are as follows.\n\n- first thing\n- second thing",
+    73: "\n\n| name | score | more |\n|---|---|---|\n| a | 1.25 | 7.5 |\n| b | 3.5 | 1,000.1 |\n\nFigure 1: One.\nFigure 3: Three.",
+    79: "\nThe data are good and the data show gains. The data is fine. Scenarios like code completion help.",
+    83: "\n\nThis is a worked example of it. Reader beware, as we shall see. It is important to note that it boils down to a write and a double-edged sword; low-hanging fruit.",
+    89: "\n\\begin{figure}\\caption{Overview of our approach}\\label{fig:a}\\end{figure}\n\\begin{table}\\label{tab:b}\\end{table}\nSee \\autoref{fig:a} here. % \\ref{tab:b}",
+    97: "\n\nHe came.\n\nHe saw.\n\nHe won.\n\nFirst, it ran on and on. Second, it slept. Third, it ate the rest.",
+    101: "\nRunning fast, the model ended. Looking back, the data was lost. Here code-generation benchmarks and instruction-following tools remain.",
+    103: "\n\nThe code review was done. The code inspection was done. The truth is simple and experts say so, a testament.",
 }
 HEAD_EVERY, HEAD = 37, "// Code generated by a tool. Do not edit.\n"
 FRONT_EVERY, FRONT = 59, "---\ntitle: x\n\n"

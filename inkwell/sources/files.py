@@ -6,9 +6,12 @@ repository runs a command, on the driver.
 
 from __future__ import annotations
 
+import json
+import re
 import subprocess
 from functools import reduce
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -86,9 +89,11 @@ def repository_prose(files: DataFrame) -> DataFrame:
 
 def diff_ranges(diff: DataFrame) -> DataFrame:
     """path, first, last: new-side line ranges of a unified diff without context (line, text); deletions give none."""
-    rows = diff.withColumn("path", F.last(F.nullif(F.regexp_extract("text", r"^\+\+\+ b/(.*)$", 1), F.lit("")), ignorenulls=True).over(Window.partitionBy(F.lit(1)).orderBy("line")))
+    head = F.nullif(F.regexp_extract("text", r"^\+\+\+ b/(.*)$", 1), F.lit(""))
+    rows = diff.where(F.col("text").startswith("+++ ") | F.col("text").startswith("@@"))  # the heads alone, of one command's output
+    rows = rows.withColumn("path", F.last(head, ignorenulls=True).over(Window.orderBy("line"))).where(F.col("text").startswith("@@"))
     start, size = F.regexp_extract("text", r"^@@ [^+]*\+(\d+)(?:,(\d+))? @@", 1), F.regexp_extract("text", r"^@@ [^+]*\+(\d+)(?:,(\d+))? @@", 2)
-    rows = rows.where(F.col("text").startswith("@@")).select("path", start.cast("int").alias("first"), F.coalesce(F.nullif(size, F.lit("")), F.lit("1")).cast("int").alias("n"))
+    rows = rows.select("path", start.cast("int").alias("first"), F.coalesce(F.nullif(size, F.lit("")), F.lit("1")).cast("int").alias("n"))
     return rows.where("n > 0").select("path", "first", (F.col("first") + F.col("n") - 1).alias("last"))
 
 
@@ -108,9 +113,9 @@ def choose_root(roots: DataFrame) -> DataFrame:
     return rows.select(F.when(F.size("all") == 0, 1).when(path.isNotNull(), 0).otherwise(2).alias("status"), path.alias("path"), F.col("all").alias("candidates"))
 
 
-def scope(path: str, roots: DataFrame | None = None) -> str:
-    """``latex`` for a .tex file or a directory with a root (also several), else ``general``."""
-    if roots is None:
+def scope(path: str, roots: DataFrame | None = None, exists: bool = True) -> str:
+    """``latex`` for a .tex file or a directory with a root (also several), else ``general``; a missing path goes by its suffix."""
+    if roots is None or not exists:
         return "latex" if path.lower().endswith(".tex") else "general"
     return "general" if roots.isEmpty() else "latex"
 
@@ -133,17 +138,19 @@ def resolved(references: DataFrame, files: DataFrame, base: str, suffix: str) ->
     return rows.withColumn("_r", F.row_number().over(best)).where("_r = 1").drop("_r", "rank")
 
 
-def include_graph(files: DataFrame, root: str, depth: int = 64) -> DataFrame:
-    """Paths that ``root`` pulls in, itself included, each once: a breadth-first walk, one join a level."""
+def include_graph(files: DataFrame, root: str) -> DataFrame:
+    """Paths that ``root`` pulls in, itself included, each once: a breadth-first walk, one join a level, to its end.
+
+    Levels are checkpointed where a checkpoint folder is set, so that the plan doesn't grow with the depth.
+    """
+    held = files.sparkSession.sparkContext._jsc.sc().getCheckpointDir().isDefined()
+    settle = lambda df: df.checkpoint() if held else df.cache()
     base = root.rsplit("/", 1)[0] if "/" in root else ""
-    edges = resolved(_references(files, "input|include"), files, base, ".tex").select("path", "target").distinct().cache()
-    seen = files.where(F.col("path") == root).select("path")
-    front = seen
-    for _ in range(depth):
-        front = front.join(edges, "path").select(F.col("target").alias("path")).distinct().join(seen, "path", "left_anti").cache()
-        if front.isEmpty():
-            return seen
-        seen = seen.unionByName(front)
+    edges = settle(resolved(_references(files, "input|include"), files, base, ".tex").select("path", "target").distinct())
+    seen = front = settle(files.where(F.col("path") == root).select("path"))
+    while not front.isEmpty():
+        front = settle(front.join(edges, "path").select(F.col("target").alias("path")).distinct().join(seen, "path", "left_anti"))
+        seen = settle(seen.unionByName(front))
     return seen
 
 
@@ -153,9 +160,128 @@ def bibliographies(files: DataFrame, base: str = "") -> DataFrame:
     return found.groupBy(F.col("target").alias("path")).agg(F.min(F.struct("path", "line", "k", "j")).alias("ord"))
 
 
+LEXICON = "class string, phrase string, suggestion string"
+
+
 def lexicon_files(spark: SparkSession, paths: list[str]) -> DataFrame:
     """Lexicons (class, phrase, suggestion as tab-separated text) concatenated in order; the first path with rows wins a phrase."""
-    tables = [spark.read.csv(p, sep="\t", schema="class string, phrase string, suggestion string").withColumn("ord", F.lit(i)) for i, p in enumerate(paths)]
+    tables = [spark.read.csv(p, sep="\t", schema=LEXICON).withColumn("ord", F.lit(i)) for i, p in enumerate(paths)]
     rows = reduce(DataFrame.unionByName, tables)
     first = Window.partitionBy("class", "phrase").orderBy("ord")
-    return rows.withColumn("_r", F.row_number().over(first)).where("_r = 1").drop("_r").withColumn("parts", F.split("phrase", " "))
+    return rows.withColumn("_r", F.row_number().over(first)).where("_r = 1").drop("_r").withColumn("parts", F.regexp_extract_all(F.lower("phrase"), F.lit("[a-z]+(?:'[a-z]+)?"), F.lit(0)))
+
+
+def catalog(spark: SparkSession, sources: list[tuple[str, str]]) -> tuple[str, DataFrame]:
+    """(name, table) of the first of the (name, path) sources that can be read and has rows; the last failure is raised where none has."""
+    failure: Exception = ValueError("no source given")
+    for name, path in sources:
+        try:
+            table = lexicon_files(spark, [path]).where("phrase is not null")
+            if not table.isEmpty():
+                return name, table
+            failure = ValueError(f"{name}: {path} is empty")
+        except AnalysisException as e:
+            failure = e
+    raise failure
+
+
+def refresh(spark: SparkSession, fresh: DataFrame, path: str) -> bool:
+    """Writes a lexicon (LEXICON) to ``path`` if it differs from what is there; an empty one never replaces one.  True where it wrote."""
+    state = lambda df: tuple(df.select(*[c.split()[0] for c in LEXICON.split(", ")]).agg(F.count(F.lit(1)), F.sum(F.crc32(F.to_json(F.struct("*")).cast("binary")))).first())
+    new = state(fresh)
+    try:
+        old = state(spark.read.csv(path, sep="\t", schema=LEXICON))
+    except AnalysisException:
+        old = None
+    if not new[0] or new == old:
+        return False
+    fresh.select(*[c.split()[0] for c in LEXICON.split(", ")]).coalesce(1).write.mode("overwrite").csv(path, sep="\t")
+    return True
+
+
+class Unreadable(ValueError):
+    """A source that could not be read, or has not the form asked for; ``kind``: missing, not-json, not-object, none-read."""
+
+    def __init__(self, kind: str, path: str):
+        super().__init__(f"{kind}: {path}")
+        self.kind, self.path = kind, path
+
+
+def json_object(spark: SparkSession, path: str, schema: str | None = None) -> DataFrame:
+    """The one JSON object in a file as a row (key, value as JSON), or parsed by ``schema``; raises :class:`Unreadable`."""
+    try:
+        text = spark.read.text(path, wholetext=True).first()
+    except AnalysisException as e:
+        raise Unreadable("missing", path) from e
+    try:
+        held = json.loads(text["value"] if text else "")
+    except ValueError as e:
+        raise Unreadable("not-json", path) from e
+    if not isinstance(held, dict):
+        raise Unreadable("not-object", path)
+    rows = spark.createDataFrame([(k, json.dumps(v)) for k, v in held.items()], "key string, value string")
+    return rows.select("key", F.from_json("value", schema).alias("v")).select("key", "v.*") if schema else rows
+
+
+def quote_results(spark: SparkSession, path: str) -> DataFrame:
+    """Results of grounding (key, quote, todo) of a JSON object by key; a quote that is no text counts as none."""
+    rows = json_object(spark, path)
+    field = lambda f: F.when(F.col("value").rlike(r'"' + f + r'"\s*:\s*"'), F.get_json_object("value", f"$.{f}")).alias(f)
+    return rows.select("key", field("quote"), field("todo"))
+
+
+def read_some(spark: SparkSession, paths: list[str]) -> tuple[DataFrame, list[str]]:
+    """(files (path, text) of the paths that can be read, the others); raises :class:`Unreadable` where none can."""
+    found, failed = [], []
+    for path in paths:
+        try:
+            rows = spark.read.text(path, wholetext=True).select(F.lit(path).alias("path"), F.col("value").alias("text"))
+            if rows.where(F.expr("NOT is_valid_utf8(text)")).isEmpty():
+                found.append(rows)
+            else:
+                failed.append(path)
+        except AnalysisException:
+            failed.append(path)
+    if not found:
+        raise Unreadable("none-read", ", ".join(paths))
+    return reduce(DataFrame.unionByName, found), failed
+
+
+def settings(text: str) -> dict:
+    """A nested mapping of a YAML file's plain part: keys by indentation, scalars as text, true and false as booleans; {} of others."""
+    out: dict = {}
+    stack = [(-1, out)]
+    for row in text.split("\n"):
+        if not row.strip() or row.lstrip().startswith("#"):
+            continue
+        m = re.fullmatch(r"( *)([\w-]+):(?:\s+(.*?))?\s*(?:#.*)?", row)
+        if not m:
+            return {}
+        depth, value = len(m[1]), m[3]
+        while stack[-1][0] >= depth:
+            stack.pop()
+        if value:
+            stack[-1][1][m[2]] = {"true": True, "false": False}.get(value, value)
+        else:
+            stack[-1][1][m[2]] = inner = {}
+            stack.append((depth, inner))
+    return out
+
+
+def _inner(held: dict, *names: str):
+    for name in names:
+        held = held.get(name) if isinstance(held, dict) else None
+    return held
+
+
+def front_matter_settings(text: str) -> tuple[bool, bool]:
+    """(enabled, blank lines allowed) of the front-matter extension; only the booleans themselves count."""
+    held = _inner(settings(text), "extensions", "front-matter") or {}
+    return _inner(held, "enabled") is True, _inner(held, "allow_blank_lines") is True
+
+
+def baseline(text: str) -> list[str]:
+    """What a linter configuration lacks: extensions that are not enabled, rules that are not disabled."""
+    held = settings(text)
+    out = [f"extension {x} is not enabled" for x in T.REQUIRED_EXTENSIONS if _inner(held, "extensions", x, "enabled") is not True]
+    return out + [f"rule {x} is not disabled" for x in T.DISABLED_PLUGINS if _inner(held, "plugins", x, "enabled") is not False]

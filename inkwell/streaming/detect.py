@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from inkwell.operators.glyphs import glyph_rows
+from inkwell.operators.glyphs import glyph_rows  # a stream is counted by row, in one aggregate
 
 
 def documents(spark: SparkSession, folder: str, schema, files_per_batch: int = 100) -> DataFrame:
