@@ -27,12 +27,14 @@ def null_ids(found: DataFrame, *columns: str) -> DataFrame:
 
 
 def workdir(spark: SparkSession) -> str:
-    """The folder in ``spark.checkpoint.dir``; only where that is unset, a new local one, which is then set."""
+    """The folder in ``spark.checkpoint.dir``; a local session where that is unset gets a new one, a cluster must name it."""
     held = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not held:
         found = spark.sparkContext._jsc.sc().getCheckpointDir()
         held = found.get() if found.isDefined() else None
     if not held:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         held = tempfile.mkdtemp(prefix="inkwell-")
         spark.conf.set("spark.checkpoint.dir", held)
     return held.rstrip("/")
@@ -129,6 +131,10 @@ def bucketed(df: DataFrame, name: str, key: str, buckets: int) -> DataFrame:
     return spark.table(table)
 
 
+#: The most files whose first numbers are broadcast, some 100 bytes each.
+FILES = 1 << 18
+
+
 def numbered(docs: DataFrame, name: str) -> DataFrame:
     """``docs`` with a number of its own for every row, from 0, which stays the same each time it is read.
 
@@ -144,7 +150,9 @@ def numbered(docs: DataFrame, name: str) -> DataFrame:
         found = docs.select("*", *place)
     except AnalysisException:
         found = written(docs, "numbered").select("*", *place)
-    sizes = found.groupBy("_file").agg((F.max("_place") + 1).alias("n")).collect()
+    sizes = found.groupBy("_file").agg((F.max("_place") + 1).alias("n")).limit(FILES + 1).collect()
+    if len(sizes) > FILES:  # so that the table of files stays small: a scan's tasks write fewer, and larger ones
+        return numbered(written(docs, "fewer"), name)
     starts, total = [], 0
     for r in sorted(sizes, key=lambda r: r["_file"]):
         starts.append((r["_file"], total))

@@ -1,5 +1,6 @@
 import hashlib
 import sys
+from pathlib import Path
 
 import numpy as np
 import public_tokenizers
@@ -7,7 +8,7 @@ import pyarrow.parquet as pq
 import regex
 from tokenizers import Tokenizer
 
-sys.path.insert(0, "/root/repo/tests/llm")
+sys.path.insert(0, str(Path(__file__).parent))
 import corpus_pipeline
 from test_signature_join import brute as components
 from test_suffix_dedup import brute as repeats
