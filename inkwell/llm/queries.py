@@ -243,6 +243,36 @@ def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"), text=False, spans=False)
 
 
+OP3_SQL = r"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+g AS (SELECT DISTINCT doc_id, md5(array_to_string(w[i:i + 4], ' ')) AS s FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 4, 1) + 1)) AS i FROM w WHERE len(w) > 0)),
+sets AS (SELECT doc_id, count(*) AS n, md5(string_agg(s, '' ORDER BY s)) AS d FROM g GROUP BY doc_id),
+one AS (SELECT d, min(doc_id) AS rep, any_value(n) AS n, count(*) AS copies FROM sets GROUP BY d),
+k AS (SELECT rep, s FROM g JOIN one ON doc_id = rep),
+c AS (SELECT a.rep AS a, b.rep AS b, count(*) AS c FROM k a JOIN k b ON a.s = b.s AND a.rep <> b.rep GROUP BY ALL),
+e AS (SELECT a, b FROM c JOIN one x ON x.rep = a JOIN one y ON y.rep = b WHERE 100 * c >= 80 * (x.n + y.n - c)),
+r AS (SELECT rep AS a, rep AS b FROM one UNION SELECT r.a, e.b FROM r JOIN e ON r.b = e.a),
+least AS (SELECT a AS rep, min(b) AS component_id FROM r GROUP BY a)
+SELECT w.doc_id, coalesce(sets.n, 0) AS n_shingles, coalesce(component_id, w.doc_id) AS component_id, coalesce(copies, 1) AS n_copies_of_set
+FROM w LEFT JOIN sets USING (doc_id) LEFT JOIN one USING (d) LEFT JOIN least USING (rep)
+"""
+
+#: Bytes as pairs of hexadecimal digits; the windows of a text are cut from parts of a thousand bytes.
+OP6_SQL = r"""
+WITH h AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+p AS (SELECT doc_id, unnest(range(0, greatest(length(h), 1), 2000)) AS base, h FROM h),
+q AS (SELECT doc_id, base // 2 AS base, substring(h, base + 1, 2400) AS part FROM p),
+b AS (SELECT doc_id, base + i AS i, part[2 * i + 1:2 * i + 2] AS x, CASE WHEN length(part) >= 2 * i + 400 THEN hash(part[2 * i + 1:2 * i + 400]) END AS m
+  FROM (SELECT doc_id, base, part, unnest(range(0, least(1000, length(part) // 2))) AS i FROM q)),
+n AS (SELECT m FROM b WHERE m IS NOT NULL GROUP BY m HAVING count(*) > 1),
+s AS (SELECT doc_id, i, x, max(CASE WHEN n.m IS NOT NULL THEN i END) OVER (PARTITION BY doc_id ORDER BY i) AS last FROM b LEFT JOIN n USING (m)),
+g AS (SELECT doc_id, i, x, coalesce(last > i - 200, false) AS gone FROM s),
+r AS (SELECT *, gone AND NOT coalesce(lag(gone) OVER (PARTITION BY doc_id ORDER BY i), false) AS begins FROM g),
+o AS (SELECT doc_id, count(*) AS n_bytes, count(*) FILTER (gone) AS n_removed, count(*) FILTER (begins) AS n_spans, coalesce(string_agg(x, '' ORDER BY i) FILTER (NOT gone), '') AS kept FROM r GROUP BY doc_id)
+SELECT h.doc_id, coalesce(n_bytes, 0) AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans, sha256(unhex(coalesce(kept, ''))) AS kept_sha256 FROM h LEFT JOIN o USING (doc_id)
+"""
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_deleted_interpolation": op1_deleted_interpolation,
     "op2_quotation_linking": op2_quotation_linking,
@@ -257,6 +287,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "quotation_linking_seeded": quotation_linking_seeded,
 }
 ORACLES: dict[str, str] = {
+    "op3_signature_trees": OP3_SQL,
+    "op6_suffix_dedup": OP6_SQL,
     "op7_quality_cascade": OP7_SQL,
     "op8_license_scan": op8_sql(),
     "op2_quotation_linking": op2_sql("SELECT conv_id, turn, role, coalesce(text, '') AS text FROM conversations"),
