@@ -294,7 +294,7 @@ def _spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _tiled(rows: DataFrame, tile: int, *by: str) -> DataFrame:
     """``rows`` (with n_shingles) with ``tile``, a number that splits what is alike in ``by`` into tiles of bounded size."""
-    sums = rows.groupBy(*by).agg(F.count(F.lit(1)).alias("_n"), F.sum("n_shingles").alias("_s"))
+    sums = written(rows.groupBy(*by).agg(F.count(F.lit(1)).alias("_n"), F.sum("n_shingles").alias("_s")), "sums")  # so that no hot value's rows move for it
     parts = F.greatest(F.ceil(F.col("_n") / tile), F.ceil(F.col("_s") / TILE_SHINGLES))
     return rows.join(sums, list(by)).withColumn("tile", F.pmod(F.xxhash64("node"), parts).cast("int")).drop("_n", "_s")
 
