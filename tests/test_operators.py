@@ -356,3 +356,22 @@ def test_json_document(spark):
     held = json.loads(report.json_document("r", found, citations.by_key(found), meta, ["doc_id", "line", "ord"]).first().value)
     assert held["root"] == "r" and len(held["sites"]) == 2 and held["by_key"]["k"]["claims"] == ["A.", "B."] and held["meta"]["k"]["title"] == "T"
     assert {r.cite_key for r in grounding.input_bundle(found, meta).collect()} == {"k", "l"}
+
+
+def test_stream_windows_and_first_seen(spark, tmp_path):
+    from inkwell.streaming.detect import documents, first_seen, windowed_events
+
+    events = spark.read.parquet("/root/testdata/sf0.001/events.parquet")
+    events.repartition(2).write.parquet(str(tmp_path / "events"))
+    q = windowed_events(documents(spark, str(tmp_path / "events"), events.schema)).writeStream.outputMode("complete").format("memory").queryName("w").start()
+    q.processAllAvailable()
+    q.stop()
+    want = events.withColumn("ts", F.col("ts").cast("timestamp")).groupBy(F.window("ts", "1 hour"), "event_type").agg(F.count("*").alias("n"))
+    key = lambda r: (r["window"].start, r.event_type, r.n)
+    assert sorted(map(key, spark.table("w").collect())) == sorted(map(key, want.collect()))
+    rows = spark.sql("select timestamp'2024-01-01 00:00:00' + make_interval(0, 0, 0, 0, id, 0, 0) as at, concat('text ', id % 3) as text from range(9)")
+    rows.coalesce(1).write.parquet(str(tmp_path / "texts"))
+    q = first_seen(documents(spark, str(tmp_path / "texts"), rows.schema), "at").writeStream.outputMode("append").format("memory").queryName("f").start()
+    q.processAllAvailable()
+    q.stop()
+    assert sorted(r.text for r in spark.table("f").collect()) == ["text 0", "text 1", "text 2"]
