@@ -70,8 +70,11 @@ def corpus(seed=5):
     return [(7 * i, t) for i, t in enumerate(texts)]
 
 
-@pytest.mark.parametrize("options", [{}, {"tile": 8, "rare": 2}, {"tile": 8, "rare": 10**6, "name_bits": 3}])
-def test_links(spark, options):
+@pytest.mark.parametrize("options, shingles", [({"tile": 8, "rare": 2}, 1 << 20), ({"tile": 64, "rare": 10**6, "name_bits": 3}, 500)])
+def test_links(spark, monkeypatch, options, shingles):
+    import inkwell.llm.signature_join as module
+
+    monkeypatch.setattr(module, "TILE_SHINGLES", shingles)  # long texts fill tiles
     rows = corpus()
     df = spark.createDataFrame([(*r, "x") for r in rows], "doc_id long, text string, component_id string").repartition(3)
     got = {r.doc_id: (r.n_shingles, r.component_id) for r in link(df, **options).collect()}
@@ -108,15 +111,6 @@ def test_patterned_words_do_not_link(spark):
     assert got == {i: (1, i) for i, _ in rows}
 
 
-def test_long_texts_fill_tiles(spark, monkeypatch):
-    import inkwell.llm.signature_join as module
-
-    monkeypatch.setattr(module, "TILE_SHINGLES", 500)
-    rows = corpus(9)
-    got = {r.doc_id: (r.n_shingles, r.component_id) for r in link(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
-    assert got == brute(rows)
-
-
 def test_components(spark):
     from inkwell.llm._graph import components
 
