@@ -33,7 +33,7 @@ def section_edges(docs: DataFrame, key: str = "doc_id") -> DataFrame:
     own = Window.partitionBy(key, "section")
     place = F.struct("line", "k")
     rows = rows.withColumns({"first": F.min(place).over(own) == place, "last": F.max(place).over(own) == place})
-    begins = lambda words: F.col("text").rlike(r"(?i)^(?:" + "|".join(words) + r")\b")
+    begins = lambda words: F.col("text").rlike(X.edged(r"(?i)^(?:" + "|".join(words) + r")\b"))
     edge = F.when(F.col("first") & begins(T.OPENINGS), "opening").when(F.col("last") & begins(T.CLOSINGS), "closing")
     return rows.withColumn("edge", edge).where("edge is not null").select(key, "line", "section", "edge", "text")
 
@@ -41,7 +41,7 @@ def section_edges(docs: DataFrame, key: str = "doc_id") -> DataFrame:
 def participial_pages(docs: DataFrame, key: str = "doc_id") -> DataFrame:
     """Pages (350 words, from 0) with more than one sentence that begins with a participle clause: page, n."""
     before = F.coalesce(F.sum("n_words").over(Window.partitionBy(key).orderBy("ord").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    rows = sentence_rows(docs).withColumn("page", F.floor(before / T.PAGE_WORDS)).where(F.col("text").rlike(r"^[A-Z][a-z]+ing\b[^.]*,"))
+    rows = sentence_rows(docs).withColumn("page", F.floor(before / T.PAGE_WORDS)).where(F.col("text").rlike(X.edged(r"^[A-Z][a-z]+ing\b[^.]*,")))
     return rows.groupBy(key, "page").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
 
 
@@ -83,15 +83,15 @@ def mixed_terms(units: DataFrame, synonyms: DataFrame, key: str = "doc_id") -> D
 def compliments(docs: DataFrame, key: str = "doc_id") -> DataFrame:
     """Complimentary words in related work: line, word."""
     rows = section_lines(docs, key).where(F.lower("section").contains("related work"))
-    found = F.regexp_extract_all(F.lower("text"), F.lit(r"\b(" + "|".join(T.COMPLIMENTS) + r")\b"), F.lit(1))
+    found = F.regexp_extract_all(F.lower("text"), F.lit(X.edged(r"\b(" + "|".join(T.COMPLIMENTS) + r")\b")), F.lit(1))
     return rows.select(key, "line", F.explode(found).alias("word"))
 
 
 def tense(docs: DataFrame, key: str = "doc_id") -> DataFrame:
     """``we`` with a study verb in the present in sections that report (past expected), or with a paper verb in the past anywhere (present expected)."""
     rows = section_sentences(docs, key)
-    study = F.regexp_extract_all("text", F.lit(r"(?i)\bwe (" + "|".join(T.STUDY_VERBS) + r")\b"), F.lit(1))
-    paper = F.regexp_extract_all("text", F.lit(r"(?i)\bwe (" + "|".join(T.PAPER_VERBS) + r")\b"), F.lit(1))
+    study = F.regexp_extract_all("text", F.lit(X.edged(r"(?i)\bwe (" + "|".join(T.STUDY_VERBS) + r")\b")), F.lit(1))
+    paper = F.regexp_extract_all("text", F.lit(X.edged(r"(?i)\bwe (" + "|".join(T.PAPER_VERBS) + r")\b")), F.lit(1))
     tell = lambda found, want: F.transform(found, lambda v: F.struct(F.lower(v).alias("verb"), F.lit(want).alias("expected")))
     past = F.when(F.col("section").isin(T.PAST_SECTIONS), tell(study, "past")).otherwise(F.array().cast("array<struct<verb: string, expected: string>>"))
     return rows.select(key, "line", "section", F.inline(F.concat(past, tell(paper, "present"))))
@@ -99,15 +99,15 @@ def tense(docs: DataFrame, key: str = "doc_id") -> DataFrame:
 
 def cross_section_duplicates(docs: DataFrame, least_words: int = 4, key: str = "doc_id") -> DataFrame:
     """Sentences that two or more sections state, the abstract left out: said (normalised), sections."""
-    rows = section_sentences(docs, key).where(F.col("section").isNotNull() & ~F.col("section").rlike(ABSTRACT))
+    rows = section_sentences(docs, key).where(F.col("section").isNotNull() & ~F.col("section").rlike(X.edged(ABSTRACT)))
     rows = rows.select(key, "section", F.array_join(X.words(F.col("text")), " ").alias("said")).where(F.size(F.split("said", " ")) >= least_words)
     return rows.groupBy(key, "said").agg(F.countDistinct("section").alias("sections")).where("sections > 1")
 
 
 def terms_left_to_abstract(docs: DataFrame, key: str = "doc_id") -> DataFrame:
     """Acronyms that the abstract introduces and the body uses without introducing them: acronym, uses."""
-    rows = section_sentences(docs, key).where("section is not null").withColumn("inside", F.col("section").rlike(ABSTRACT))
-    found = lambda where, pattern: rows.where(where).select(key, F.explode(F.regexp_extract_all("text", F.lit(pattern), F.lit(1))).alias("acronym"))
+    rows = section_sentences(docs, key).where("section is not null").withColumn("inside", F.col("section").rlike(X.edged(ABSTRACT)))
+    found = lambda where, pattern: rows.where(where).select(key, F.explode(F.regexp_extract_all("text", F.lit(X.edged(pattern)), F.lit(1))).alias("acronym"))
     given, again = found("inside", r"\(([A-Z]{2,6})\)"), found("not inside", r"\(([A-Z]{2,6})\)")
     uses = found("not inside", r"\b([A-Z]{2,6})\b").groupBy(key, "acronym").agg(F.count(F.lit(1)).alias("uses"))
     return uses.join(given.distinct(), [key, "acronym"], "left_semi").join(again.distinct(), [key, "acronym"], "left_anti")
@@ -146,13 +146,13 @@ def number_gaps(docs: DataFrame, key: str = "doc_id") -> DataFrame:
 
 def abstract_and_lists(docs: DataFrame, key: str = "doc_id") -> DataFrame:
     """Citations in the abstract, list items in other sections, and ``I`` where the text is to say ``we``: line, rule."""
-    rows = section_lines(docs, key).where("section is not null").withColumn("inside", F.lower("section").rlike(ABSTRACT))
+    rows = section_lines(docs, key).where("section is not null").withColumn("inside", F.lower("section").rlike(X.edged(ABSTRACT)))
     rule = lambda hit, name: F.when(hit, F.lit(name))
     found = F.array_compact(
         F.array(
             rule(F.col("inside") & (F.size(X.cite_calls(X.code_part(F.col("text")))) > 0), "citation-in-abstract"),
             rule(~F.col("inside") & F.col("text").rlike(LIST_ITEM), "list-in-body"),
-            rule(F.col("text").rlike(r"\bI (?:am|was|have|will|did|show|find|think)\b"), "first-person-singular"),
+            rule(F.col("text").rlike(X.edged(r"\bI (?:am|was|have|will|did|show|find|think)\b")), "first-person-singular"),
         )
     )
     return rows.select(key, "line", F.explode(found).alias("rule"))
@@ -161,7 +161,7 @@ def abstract_and_lists(docs: DataFrame, key: str = "doc_id") -> DataFrame:
 def typed_authors(docs: DataFrame, entries: DataFrame, key: str = "doc_id") -> DataFrame:
     """Typed author names before ``et al.`` in LaTeX code, with the entries of that first author: line, name, cite_keys in order."""
     code = lines(docs).where(F.col("text").contains("et al.")).select(key, "line", X.code_part(F.col("text")).alias("code"))
-    named = code.select(key, "line", F.explode(F.regexp_extract_all("code", F.lit(r"\b([A-Z][a-z]+) et al\."), F.lit(1))).alias("name"))
+    named = code.select(key, "line", F.explode(F.regexp_extract_all("code", F.lit(X.edged(r"\b([A-Z][a-z]+) et al\.")), F.lit(1))).alias("name"))
     first = F.regexp_extract(F.col("fields")["author"], r"^\s*([^,\s]+)(?:,|\s+and\b|\s*$)|^.*?(\S+)\s+and\b", 1)
     authors = entries.where("error is null").select(F.col("key").alias("cite_key"), first.alias("name")).where("name <> ''")
     known = authors.groupBy("name").agg(F.array_sort(F.collect_set("cite_key")).alias("cite_keys"))

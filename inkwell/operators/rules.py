@@ -172,7 +172,7 @@ def pattern_candidates(docs: DataFrame, patterns: tuple[Pattern, ...] = PATTERNS
         if not own:
             continue
         part = lambda p: X.code_part(F.col("text")) if p.layer == "latex" else F.col("text")
-        count = lambda p: F.regexp_count(part(p), F.lit(p.regex)) - (F.regexp_count(part(p), F.lit(p.minus)) if p.minus else 0)
+        count = lambda p: F.regexp_count(part(p), F.lit(X.edged(p.regex))) - (F.regexp_count(part(p), F.lit(X.edged(p.minus))) if p.minus else 0)
         hits = F.array(*[F.struct(F.lit(p.rule).alias("rule"), F.lit(p.layer).alias("layer"), count(p).alias("n"), F.lit(p.least).alias("least")) for p in own])
         found = rows.select(*keep(docs), F.lit(unit).alias("unit"), F.col(at).cast("int").alias("at"), F.inline(F.filter(hits, lambda h: h["n"] >= h["least"]))).drop("least")
         out = found if out is None else out.unionByName(found)
@@ -181,20 +181,20 @@ def pattern_candidates(docs: DataFrame, patterns: tuple[Pattern, ...] = PATTERNS
 
 def significant_audit(docs: DataFrame) -> DataFrame:
     """Sentences with "significant" or "significantly" and no statistics in them."""
-    rows = sentence_rows(docs).where(F.col("text").rlike(r"(?i)\bsignificant(?:ly)?\b"))
-    return rows.where(~F.col("text").rlike(r"(?i)\bp\s*[<=>]|\btest\b|\bconfidence\b|\bCI\b"))
+    rows = sentence_rows(docs).where(F.col("text").rlike(X.edged(r"(?i)\bsignificant(?:ly)?\b")))
+    return rows.where(~F.col("text").rlike(X.edged(r"(?i)\bp\s*[<=>]|\btest\b|\bconfidence\b|\bCI\b")))
 
 
 def signposted_closing(docs: DataFrame) -> DataFrame:
     """Texts whose last paragraph begins with a closing formula."""
     last = F.element_at(X.paragraphs(F.col("text")), -1)
     formula = r"(?i)^\s*(?:" + "|".join(T.CLOSINGS) + r")\b"
-    return docs.where(F.size(X.paragraphs(F.col("text"))) > 0).withColumn("closing", X.context(last)).where(last.rlike(formula)).drop("text")
+    return docs.where(F.size(X.paragraphs(F.col("text"))) > 0).withColumn("closing", X.context(last)).where(last.rlike(X.edged(formula))).drop("text")
 
 
 def passive_share(docs: DataFrame) -> DataFrame:
     """Paragraphs in which more than a third of the sentences look passive: para, sentences, passive."""
-    pattern = next(p.regex for p in PATTERNS if p.rule == "passive")
+    pattern = X.edged(next(p.regex for p in PATTERNS if p.rule == "passive"))
     s = X.sentences(F.col("text"))
     rows = paragraph_rows(docs).select(*keep(docs), "para", F.size(s).alias("sentences"), F.size(F.filter(s, lambda x: x.rlike(pattern))).alias("passive"))
     return rows.where(F.col("passive") * 3 > F.col("sentences"))

@@ -375,3 +375,10 @@ def test_stream_windows_and_first_seen(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert sorted(r.text for r in spark.table("f").collect()) == ["text 0", "text 1", "text 2"]
+
+
+def test_edges_of_words_are_ascii(spark):
+    df = docs(spark, "wei\u00dfbe den See", "\u00e9was opened, data are\u00e9 here", "caf\u00e9s open")
+    assert [(r.doc_id, r.sentences, r.passive) for r in rules.passive_share(df).orderBy("doc_id").collect()] == [(0, 1, 1), (1, 1, 1)]
+    assert rules.pattern_candidates(df).where("rule in ('passive', 'data-plural')").count() == 3
+    assert rules.significant_audit(docs(spark, "\u00e9significant\u00e9 x", "insignificant")).count() == 1
