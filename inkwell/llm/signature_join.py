@@ -19,6 +19,15 @@
    Holders of a shingle with more than ``RARE`` of them meet in tiles of that
    shingle; the others' partners are gathered for groups of members first, so
    that a chain of texts takes linear work as well.
+4. *Centres.*  Near copies of one text all hold its shingles, so in each large
+   block sets are also seen as differences from a centre, what most members of
+   one tile have (any set would do).  ``slack`` is the difference that a set's
+   size allows it less the one it has.  If two sets' slacks add up to 0 or more,
+   they link by the triangle inequality, and both with the member of greatest
+   slack: those links need no comparison.  Any other linked pair differs from
+   the centre in at least ``-(slack + slack) / 2`` of the same shingles, so it
+   shares one of the rarest differences, and few members have those.  A member
+   asks by its kept shingles or by its differences, whichever fewer others hold.
 
 A tile has at most ``tile`` members and about ``TILE_SHINGLES`` shingles, so it
 fits in memory whatever the length of the texts.  Sets are told apart by SHA-256
@@ -292,6 +301,39 @@ def _spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(keys)], names=["node", "key"])
 
 
+def _centre(table: pa.Table) -> pa.Table:
+    """The shingles that over half of a tile's members hold."""
+    sets = _sets(table.column("set"))
+    keys, count = np.unique(np.concatenate(sets), return_counts=True)
+    return pa.table({"block": table.column("block").slice(0, 1), "centre": pa.array([keys[2 * count > len(sets)].tobytes()], pa.binary())})
+
+
+def _apart(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """In what each set differs from its block's centre, as keys that no other block has."""
+    for batch in batches:
+        block = mix(np.asarray(batch.column("block")).view(np.uint64))
+        pairs = zip(_sets(batch.column("set")), _sets(batch.column("centre")), block, strict=True)
+        found = [mix(np.setxor1d(x, y, assume_unique=True) ^ b) for x, y, b in pairs]
+        out = [*(batch.column(c) for c in ("node", "block", "n_shingles")), pa.array([len(x) for x in found], pa.int64()), pa.array([x.tobytes() for x in found], pa.binary())]
+        yield pa.RecordBatch.from_arrays(out, names=["node", "block", "n_shingles", "d", "apart"])
+
+
+def _centred(in_large: DataFrame, sets: DataFrame) -> DataFrame:
+    """(node, block, n_shingles, d, apart, slack) of the members of large blocks: differences from the block's centre."""
+    tile = ["block", "kind", "tile"]
+    most = in_large.groupBy(*tile).agg(F.count(F.lit(1)).alias("n")).groupBy("block").agg(F.max(F.struct("n", "kind", "tile")).alias("m")).select("block", "m.kind", "m.tile")
+    centres = written(in_large.join(most, tile).join(sets, "node").select("block", "set").groupBy("block").applyInArrow(_centre, "block long, centre binary"), "centres")
+    rows = in_large.select("node", "block", "n_shingles").join(sets, "node").join(centres, "block").select("node", "block", "n_shingles", "set", "centre")
+    apart = written(rows.mapInArrow(_apart, "node long, block long, n_shingles long, d long, apart binary"), "apart")
+    return apart.withColumn("slack", (DEN - NUM) * F.col("n_shingles") - (DEN + NUM) * F.col("d"))
+
+
+def _star(apart: DataFrame) -> DataFrame:
+    """Links with the member of greatest slack in each block, by the triangle inequality."""
+    best = apart.groupBy("block").agg(F.max(F.struct("slack", "node")).alias("m"))
+    return apart.join(best, "block").where(F.col("slack") + F.col("m.slack") >= 0).select(F.col("node").alias("u"), F.col("m.node").alias("v"))
+
+
 def _tiled(rows: DataFrame, tile: int, *by: str) -> DataFrame:
     """``rows`` (with n_shingles) with ``tile``, a number that splits what is alike in ``by`` into tiles of bounded size."""
     sums = written(rows.groupBy(*by).agg(F.count(F.lit(1)).alias("_n"), F.sum("n_shingles").alias("_s")), "sums")  # so that no hot value's rows move for it
@@ -354,16 +396,20 @@ def link(docs: DataFrame, tile: int = TILE, name_bits: int = 64, rare: int = RAR
     pivots = in_large.select("block", "kind", "tile").distinct().join(pivots, ["block", "kind"]).select("node", "block", "kind", "tile")
     every = in_small.unionByName(in_large.select("node", "block", "kind", "tile")).unionByName(pivots)
     edges = written(every.join(sets, "node").groupBy("block", "kind", "tile").applyInArrow(_inside, EDGE), "links")
+    if several := not in_large.isEmpty():
+        apart = _centred(in_large, sets)
+        edges = edges.unionByName(_star(apart))
     found = components(edges)
-    if not in_large.isEmpty():
+    if several:
         known = in_large.join(found.withColumnRenamed("u", "node"), "node", "left").withColumn("root", F.coalesce("root", "node"))
         known = written(known.select("node", "n_shingles", "block", "kind", "root"), "rooted")
         sums = known.groupBy("block", "root").agg(F.count(F.lit(1)).alias("n"))
         main = sums.groupBy("block").agg(F.max(F.struct("n", "root")).alias("m")).select("block", F.col("m.root").alias("main"))
         outside = written(known.join(main, "block").where("root <> main").drop("block", "main"), "outside")
         if n := outside.count():
-            edges = edges.unionByName(written(_others(outside, n, known.drop("block"), keys, sets, tile, rare), "links"))
-            found = components(edges)
+            more = written(_others(outside, n, known.drop("block"), keys, apart, sets, tile, rare), "links")
+            if not more.isEmpty():
+                found = components(edges.unionByName(more))
     nodes = same.join(found.select(F.col("u").alias("node"), "root"), "node", "left").withColumn("root", F.coalesce("root", "node"))
     least = nodes.groupBy("root").agg(F.min("rep").alias("component_id"))
     top = nodes.join(least, "root").select("n_shingles", "high", "low", "copies", "component_id")
@@ -372,11 +418,34 @@ def link(docs: DataFrame, tile: int = TILE, name_bits: int = 64, rare: int = RAR
     return null_ids(alone.unionByName(grouped), "component_id")
 
 
-def _others(outside: DataFrame, n: int, known: DataFrame, keys: DataFrame, sets: DataFrame, tile: int, rare: int) -> DataFrame:
-    """Links between the ``n`` members ``outside`` and any ``known`` ones (both: node, n_shingles, kind, root) that share a kept shingle."""
-    held = keys.join(known, "node")
-    asked = written(held.join(outside.select("node"), "node", "left_semi"), "asked")
-    held = written(held.join(asked.select("key").distinct(), "key", "left_semi"), "held")
+def _differences(outside: DataFrame, apart: DataFrame) -> DataFrame:
+    """(node, key, asks, holds): the rarest differences from the centre; a member ``outside`` that asks by its own meets in one any member that it links with, unless both link with the one of greatest slack.
+
+    Only of blocks whose members differ less from the centre than from nothing.
+    """
+    out = outside.select("node").withColumn("out", F.lit(True))
+    marked = apart.join(out, "node", "left")
+    limits = marked.groupBy("block").agg(F.sum("d").alias("_d"), F.sum("n_shingles").alias("_s"), F.max("slack").alias("top"), F.max(F.when(F.col("out"), F.col("slack"))).alias("top_out"))
+    marked = written(marked.join(limits.where("_d < _s and top_out is not null").drop("_d", "_s"), "block").select("node", "apart", "slack", "top", "top_out", "out"), "marked")
+    far = written(marked.select("node", "apart").mapInArrow(_spread, "node long, key long"), "far")
+    often = far.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    each = Window.partitionBy("node")
+    ranked = far.join(often, "key").select("node", "key", F.row_number().over(each.orderBy("n", "key")).alias("rank"), F.count(F.lit(1)).over(each).alias("n"))
+    least = lambda top: F.greatest(F.lit(1), F.ceil(-(F.col("slack") + F.col(top)) / (2 * (DEN + NUM))))  # noqa: E731  differences that a linked pair has in common
+    within = lambda top: F.col("rank") <= F.col("n") - least(top) + 1
+    ranked = ranked.join(marked.drop("apart"), "node").select("node", "key", (F.col("out").isNotNull() & within("top")).alias("asks"), within("top_out").alias("holds"))
+    return marked.where("out").select("node", F.lit(None).cast("long").alias("key"), F.lit(True).alias("asks"), F.lit(False).alias("holds")).unionByName(ranked.where("asks or holds"))
+
+
+def _others(outside: DataFrame, n: int, known: DataFrame, keys: DataFrame, apart: DataFrame, sets: DataFrame, tile: int, rare: int) -> DataFrame:
+    """Links between the ``n`` members ``outside`` and any ``known`` ones (both: node, n_shingles, kind, root) that share a kept shingle or a rare difference."""
+    apart = written(_differences(outside, apart), "differences")
+    holders = written(keys.join(known.select("node"), "node", "left_semi").unionByName(apart.where("holds").select("node", "key")), "holders")
+    asks = keys.join(outside.select("node"), "node", "left_semi").withColumn("far", F.lit(False)).unionByName(apart.where("asks").select("node", "key", F.lit(True).alias("far")))
+    cost = asks.join(holders.groupBy("key").agg(F.count(F.lit(1)).alias("n")), "key", "left").groupBy("node", "far").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"))
+    way = written(cost.groupBy("node").agg(F.min(F.struct("n", "far"))["far"].alias("far")), "ways")
+    asked = written(asks.where("key is not null").join(way, ["node", "far"]).join(known, "node").drop("far"), "asked")
+    held = written(holders.join(asked.select("key").distinct(), "key", "left_semi").join(known, "node"), "held")
     often = written(held.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > rare).select("key"), "often")
     group = F.pmod(F.xxhash64("node"), F.lit(-(-n // GATHERED)))
     columns = ["hot", "by", "node", "n_shingles", "kind", "root"]

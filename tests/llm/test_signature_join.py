@@ -92,6 +92,37 @@ def test_documents(spark):
     assert got == [(0, 0, 2), (0, 0, 2), (2, 2, 1), (2, 2, 2), (3, 2, 2), (3, 2, 2)]
 
 
+@pytest.mark.parametrize("n", [150, 300])
+def test_near_copies_that_link_with_none_meet_few(spark, monkeypatch, n):
+    import inkwell.llm.signature_join as module
+
+    rng = random.Random(n)
+    hub = ["h%d" % i for i in range(120)]
+    texts = [" ".join(hub)]
+    for i in range(n):  # half of them differ too much from the hub, and from each other
+        w = list(hub)
+        for k in range(rng.randint(1, 2) if i % 2 else rng.randint(4, 7)):
+            w[rng.randrange(120)] = "v%d" % rng.randrange(20) if k % 4 == 3 else "x%d.%d" % (i, k)
+        texts.append(" ".join(w))
+    rows = list(enumerate(texts))
+    made = {}
+
+    def written(df, name, *more):
+        made[name] = held(df, name, *more)
+        return made[name]
+
+    held = module.written
+    monkeypatch.setattr(module, "written", written)
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in link(spark.createDataFrame(rows, "doc_id long, text string"), tile=16, rare=4).collect()}
+    want = brute(rows)
+    assert got == want
+    assert sum(c == i for i, (_, c) in want.items()) > n // 4
+    one, two, pairs = (made[x] for x in ("one", "two", "pairs"))
+    left = one.withColumnsRenamed({"kind": "kind_a", "tile": "tile_a"}).join(pairs, ["hot", "by", "kind_a", "tile_a"]).count()
+    right = two.join(pairs, ["hot", "by", "kind", "tile"]).count()
+    assert left + right < 20 * n, (left, right)  # rows that join the sets
+
+
 def test_tree_keeps_every_link():
     rng = np.random.Generator(np.random.PCG64(1))
     base = np.unique(rng.integers(0, 2**63, 300, dtype=np.uint64))
